@@ -52,15 +52,15 @@ def _sets(column, words: int):
 
 
 def signatures(docs: DataFrame, words: int, bins: int) -> DataFrame:
-    """(doc_id, rid, n, sig) of each document row; n is the number of words."""
+    """(doc_id, th, rid, n, sig) of each document row; n is the number of words."""
 
     def sign(batches):
         for batch in batches:
             for part in text.slices(batch):
                 rid, n, hashes, rows = _sets(part.column("text"), words)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), text.longs(rid), text.longs(n), text.to_binary(text.one_permutation(hashes, rows, part.num_rows, bins))], names=["doc_id", "rid", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), text.longs(rid), text.longs(n), text.to_binary(text.one_permutation(hashes, rows, part.num_rows, bins))], names=["doc_id", "th", "rid", "n", "sig"])
 
-    return spread.slim(docs).select("doc_id", "text").mapInArrow(sign, "doc_id long, rid long, n long, sig binary")
+    return spread.slim(docs).mapInArrow(sign, "doc_id long, th long, rid long, n long, sig binary")
 
 
 def shingle_sets(docs: DataFrame, rids: DataFrame, words: int) -> DataFrame:
@@ -90,7 +90,7 @@ def shingle_sets(docs: DataFrame, rids: DataFrame, words: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bins: int = BINS, recall: float = RECALL) -> DataFrame:
-    """doc_id, rid, class_id, label, n_links of each document row."""
+    """doc_id, th, rid, label, n, class_id, n_links of each document row."""
     base = spread.stored(signatures(docs, words, bins), "signatures")
     records = base.where("n > 0").groupBy("rid").agg(F.count(F.lit(1)).alias("weight"), F.first("sig").alias("sig"))
     records = spread.stored(records, "records")
@@ -101,10 +101,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, b
     groups = spread.stored(spread.components(edges).withColumnRenamed("label", "grp").withColumnRenamed("id", "rid"), "groups")
     sets = shingle_sets(docs, groups.select("rid"), words).join(groups, "rid").groupBy("rid").agg(F.first("grp").alias("grp"), F.first("items").alias("items"))
     linked = similar.exact(sets.join(records.select("rid", "weight"), "rid"), threshold)
-    keyed = base.select("doc_id", "rid", "n").join(records.select("rid", "weight"), "rid", "left").join(linked, "rid", "left")
-    keyed = spread.stored(keyed.select("doc_id", "rid", "n", F.coalesce("label", "rid").alias("label"), F.when(F.col("n") > 0, F.col("weight") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links")), "classes")
+    keyed = base.select("doc_id", "th", "rid", "n").join(records.select("rid", "weight"), "rid", "left").join(linked, "rid", "left")
+    keyed = spread.stored(keyed.select("doc_id", "th", "rid", "n", F.coalesce("label", "rid").alias("label"), F.when(F.col("n") > 0, F.col("weight") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links")), "classes")
     least = keyed.where("n > 0 and n_links > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return keyed.join(least, "label", "left").select("doc_id", "rid", "label", "n", F.when((F.col("n") > 0) & (F.col("n_links") > 0), F.col("least")).otherwise(F.col("doc_id")).alias("class_id"), "n_links")
+    return keyed.join(least, "label", "left").select("doc_id", "th", "rid", "label", "n", F.when((F.col("n") > 0) & (F.col("n_links") > 0), F.col("least")).otherwise(F.col("doc_id")).alias("class_id"), "n_links")
+
+
+def one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """One document of each class, first by (doc_id, text hash), with its own columns; of equal rows one."""
+    found = classes(docs, **settings).where("n_links > 0")
+    first = found.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    others = found.select("label", F.struct("doc_id", "th").alias("place")).distinct().join(first, "label").where("place != first").select(F.col("place.doc_id").alias("__d"), F.col("place.th").alias("__h"))
+    left = docs.join(others, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (spread.text_key() == F.col("__h")), "left_anti")
+    twice = found.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    marked = left.join(twice, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (spread.text_key() == F.col("__h")), "left")
+    single, equal = marked.where("__n is null"), marked.where("__n is not null")
+    return single.select(*docs.columns).union(equal.dropDuplicates(["__d", "__h"]).select(*docs.columns))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
