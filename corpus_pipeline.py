@@ -1,9 +1,55 @@
-"""A training corpus from raw documents, stage by stage, each one of the subpackage's operators."""
+"""A training corpus from raw documents, stage by stage, each one of the subpackage's operators.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the
+last return the columns of ``documents``. ``run`` writes each stage's result to the shared
+folder and reads it again as the next one's input."""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import decontaminate, line_dedup, ngram_join, packing, quality, spread
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality.good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of like lines the first stays; documents of which no line is left go."""
+    return line_dedup.dedup_lines(docs)
+
+
+def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of like documents stays: that of the least doc_id."""
+    return ngram_join.one_of_each(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a verbatim window of a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, in batches of like length: one row a document."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", join_ngrams),
+    ("benchmark decontamination", decontaminate_benchmark),
+    ("packing", pack_lengths),
+]
+
+#: The classifier, the fuzzy joins and the dynamic program are not expressible in SQL.
+ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = spread.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
