@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import spread, text
 from tidemark.llm.decontaminate import WORD
 
-SAMPLE = 3000
-BUCKETS, DIM, SEGMENT, GRAMS = 1 << 17, 8, 8, (3, 4, 5)
+SAMPLE = 4000
+BUCKETS, DIM, SEGMENT, GRAMS = 1 << 19, 8, 8, (3, 4, 5)
 WARM, ROUNDS, STEPS, STEP = 30, 12, 8, 0.05
 
 
@@ -119,14 +119,14 @@ def train(texts: list[str], labels: np.ndarray, rate: float, seed: int = 7) -> M
     which, rows, bag, at = _words(pa.array(texts, pa.string()))
     n_words, per_word = len(at) - 1, np.repeat(1 / np.maximum(np.diff(at), 1), np.diff(at))
     rng = np.random.default_rng(seed)
-    table, out = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, 2))
+    table, out = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, 2))
     bias = np.zeros(2)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, out, bias)]
     balance = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     t = 0
 
     def scalars():
-        return _mean((table @ (out[:, 1] - out[:, 0]))[bag], at)[which]
+        return _mean((table @ (out[:, 1] - out[:, 0]).astype(np.float32))[bag].astype(np.float64), at)[which]
 
     def step(low, high, owner):
         nonlocal t
@@ -144,7 +144,7 @@ def train(texts: list[str], labels: np.ndarray, rate: float, seed: int = 7) -> M
         by_gram = np.bincount(bag, np.repeat(by_word, np.diff(at)) * per_word, BUCKETS)
         direction = out[:, 1] - out[:, 0]
         half = by_gram @ table
-        grads = [by_gram[:, None] * direction, np.stack([-half, half], 1), np.array([-d.sum(), d.sum()])]
+        grads = [(by_gram[:, None] * direction).astype(np.float32), np.stack([-half, half], 1), np.array([-d.sum(), d.sum()])]
         for p_, g, (m, v) in zip((table, out, bias), grads, moments, strict=True):
             m *= 0.9
             m += 0.1 * g
