@@ -19,9 +19,11 @@ from tidemark.llm import spread, text
 LIMIT = 64
 #: Signatures this similar are tied (far below the threshold of the exact check that follows), ...
 ALIKE = 0.5
-#: ... and a record leaves a large bucket if it is this similar to the bucket's pivot: whatever is
-#: within the threshold of it is then tied to the pivot as well.
-SAME = 0.85
+#: ... in a large bucket, to its pivot, from this on ...
+NEAR_PIVOT = 0.35
+#: ... and a record leaves a large bucket if it is this similar to the pivot: whatever is within 0.2 of it
+#: is then, with room for the signatures' error, tied to the pivot as well.
+SAME = 0.7
 MAX_DEPTH = 4
 #: Records of a group that are verified in one piece.
 TILE = 256
@@ -113,8 +115,8 @@ def candidates(records: DataFrame, buckets: DataFrame, bins: int, dtype, thresho
     """Edges (a, b) that tie every two records which share a bucket and look alike, through others or directly.
 
     records: (rid, sig), stored; buckets: (path, rid). A small bucket is compared by brute force.
-    In a large one all are compared with its pivot; those alike are tied to it, and those all but
-    equal leave; the rest is split again by sampled bins or, at the last depth, cut into blocks
+    In a large one all are compared with its pivot; those near are tied to it, and the nearest
+    leave; the rest is split again by sampled bins or, at the last depth, cut into blocks
     whose pairs are compared."""
     split = splitter(bins, np.dtype(dtype).itemsize, threshold)
     sig = records.select("rid", "sig")
@@ -130,7 +132,7 @@ def candidates(records: DataFrame, buckets: DataFrame, bins: int, dtype, thresho
             return out
         star = large.join(sig, "rid").join(sig.select(F.col("rid").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
         star = spread.stored(star.mapInArrow(_compare(bins, dtype), "path long, rid long, pivot long, est double"), "star")
-        out = out.union(star.where((F.col("est") >= ALIKE) & (F.col("rid") != F.col("pivot"))).select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct())
+        out = out.union(star.where((F.col("est") >= NEAR_PIVOT) & (F.col("rid") != F.col("pivot"))).select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct())
         rest = star.where(F.col("est") < SAME).select("path", "rid")
         depth += 1
         if depth >= MAX_DEPTH:
