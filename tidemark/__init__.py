@@ -1,0 +1 @@
+"""Prediction-market analytics as Spark DataFrame operators."""
