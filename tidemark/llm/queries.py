@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm import decontaminate, line_dedup, ngram_join, packing, quality, secrets, substring_dedup, telephony, toxicity, warc
+from tidemark.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
