@@ -12,7 +12,7 @@ windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(lis
 lengths AS (SELECT DISTINCT n FROM windows),
 places AS (SELECT rid, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lengths WHERE len(w) >= n)),
 found AS (SELECT rid, p, n, item_id FROM places JOIN windows USING (n, g)),
-hit AS (SELECT rid, count(DISTINCT at) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS at FROM found) GROUP BY rid),
+hit AS (SELECT rid, count(DISTINCT word_at) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS word_at FROM found) GROUP BY rid),
 items AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
 """
