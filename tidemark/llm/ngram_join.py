@@ -98,8 +98,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, b
     buckets = records.select(F.explode(F.array(*tokens)).alias("path"), "rid")
 
     edges = similar.candidates(records, buckets, bins, np.uint32, threshold)
-    groups = spread.stored(spread.components(edges).withColumnRenamed("label", "grp").withColumnRenamed("id", "rid"), "groups")
-    sets = shingle_sets(docs, groups.select("rid"), words).join(groups, "rid").groupBy("rid").agg(F.first("grp").alias("grp"), F.first("items").alias("items"))
+    groups = similar.counted(edges)
+    sets = shingle_sets(docs, groups.select("rid"), words).join(groups, "rid").groupBy("rid").agg(F.first("grp").alias("grp"), F.first("c").alias("c"), F.first("items").alias("items"))
     linked = similar.exact(sets.join(records.select("rid", "weight"), "rid"), threshold)
     keyed = base.select("doc_id", "th", "rid", "n").join(records.select("rid", "weight"), "rid", "left").join(linked, "rid", "left")
     keyed = spread.stored(keyed.select("doc_id", "th", "rid", "n", F.coalesce("label", "rid").alias("label"), F.when(F.col("n") > 0, F.col("weight") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links")), "classes")

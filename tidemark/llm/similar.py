@@ -154,7 +154,7 @@ def _tiled(rows: DataFrame, key: str, rid: str) -> DataFrame:
     """Each record once for each pair of blocks with its own; ``key`` becomes that of the pair."""
     block = F.pmod(F.xxhash64(rid, F.lit(3)), "blocks")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rows = rows.withColumn("block", block).withColumn("other", other)
+    rows = rows.withColumn("block", block).withColumn("other", other).withColumn("alone", F.col("block") == F.col("other"))
     return rows.withColumn(key, F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))).drop("other", "blocks")
 
 
@@ -167,55 +167,77 @@ def sets64(column) -> tuple[np.ndarray, np.ndarray]:
 def exact(members: DataFrame, threshold: float, decode: Callable = sets64) -> DataFrame:
     """(rid, links, label) of records that have a link: Jaccard similarity of at least ``threshold``.
 
-    members: (grp, rid, weight, items), from whose items ``decode`` makes sets of distinct hashes; any two records
-    that may be linked have the same grp. links: the weights of all partners. label: of the connected part.
-    Groups of over TILE records are compared block by block, each pair of blocks in a task of its own."""
-    sized = members.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    rows = members.join(sized, "grp").withColumn("blocks", F.ceil(F.col("c") / F.lit(TILE)).cast("long"))
-    rows = _tiled(rows, "grp", "rid")
+    members: (grp, c, rid, weight, items), c being the size of the group, from whose items ``decode`` makes sets of
+    distinct hashes; any two records that may be linked have the same grp. links: the weights of all partners.
+    label: of the connected part. Groups of over TILE records are compared block by block, each pair of
+    blocks in a task of its own."""
+    rows = _tiled(members.withColumn("blocks", F.ceil(F.col("c") / F.lit(TILE)).cast("long")), "grp", "rid")
 
     def verify(batches):
-        for group in text.groups(batches, "grp"):
-            rid, weight, block = (np.asarray(group.column(k)) for k in ("rid", "weight", "block"))
-            near = jaccard(*decode(group.column("items")), threshold)
-            # pairs within one block are counted in the tile of that block alone
-            count = near & (block[:, None] != block[None, :]) if (block != block[0]).any() else near
-            links = (count * weight[None, :]).sum(1)
-            a, b = np.nonzero(near)
-            label = spanning(a, b, len(rid))
+        for table in text.whole_groups(batches, "grp", "items"):
+            grp, rid, weight, block, alone = (np.asarray(table.column(k)) for k in ("grp", "rid", "weight", "block", "alone"))
+            items, offsets = decode(table.column("items"))
+            bounds = np.append(np.flatnonzero(np.append(True, grp[1:] != grp[:-1])), len(grp))
+            size = np.diff(bounds)
+            links, label = np.zeros(len(rid), np.int64), np.arange(len(rid))
+            first = bounds[:-1][size == 2]
+            near = first[pairs_near(items, offsets, first, threshold)]
+            label[near + 1] = near
+            near = near[alone[near] | (block[near] != block[near + 1])]  # pairs within one block count in its own tile
+            links[near], links[near + 1] = weight[near + 1], weight[near]
+            for low, high in zip(bounds[:-1][size > 2], bounds[1:][size > 2], strict=True):
+                own = slice(low, high)
+                near = jaccard(items[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], threshold)
+                links[own] = ((near if alone[low] else near & (block[own][:, None] != block[own][None, :])) * weight[own][None, :]).sum(1)
+                label[own] = low + spanning(*np.nonzero(near), high - low)
             at = np.flatnonzero((links > 0) | (label != np.arange(len(rid))))
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(links[at].astype(np.int64)), pa.array(rid[label[at]])], names=["rid", "links", "tied"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(links[at]), pa.array(rid[label[at]])], names=["rid", "links", "tied"])
 
-    found = rows.select("grp", "rid", "weight", "block", "items").repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "rid long, links long, tied long")
+    found = rows.select("grp", "rid", "weight", "block", "alone", "items").repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "rid long, links long, tied long")
     found = spread.stored(found, "verified")
     labels = spread.components(found.where("rid != tied").select(F.col("rid").alias("a"), F.col("tied").alias("b")))
     return found.groupBy("rid").agg(F.sum("links").alias("links")).join(labels.withColumnRenamed("id", "rid"), "rid")
 
 
+def counted(edges: DataFrame) -> DataFrame:
+    """(rid, grp, c) of the groups that edges make, stored."""
+    groups = spread.components(edges).select(F.col("id").alias("rid"), F.col("label").alias("grp"))
+    return spread.stored(groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("c")), "grp").select("rid", "grp", "c"), "groups")
+
+
+def pairs_near(items: np.ndarray, offsets: np.ndarray, first: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the sets ``first`` reach the threshold with the set after them."""
+    size = offsets[first + 2] - offsets[first]
+    ends = np.append(0, np.cumsum(size))
+    at = np.repeat(offsets[first] - ends[:-1], size) + np.arange(ends[-1])
+    owner, value = np.repeat(np.arange(len(first)), size), items[at]
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    same = (owner[1:] == owner[:-1]) & (value[1:] == value[:-1])
+    shared = np.bincount(owner[1:][same], minlength=len(first))
+    return (shared > 0) & (shared >= threshold * (size - shared) - 1e-9)
+
+
 def jaccard(items: np.ndarray, offsets: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs of the sets reach the threshold, exactly; the diagonal is false."""
     n = len(offsets) - 1
     size = np.diff(offsets)
-    if n == 2:
-        inter = len(np.intersect1d(items[: offsets[1]], items[offsets[1] :], assume_unique=True))
-        shared = np.array([[0, inter], [inter, 0]], np.float64)
-    else:
-        order = np.argsort(items, kind="stable")
-        owner = text.row_of(offsets)[order]
-        new = np.ones(len(items), bool)
-        new[1:] = items[order][1:] != items[order][:-1]
-        at = np.cumsum(new) - 1
-        common = np.bincount(at) > 1 if len(at) else np.zeros(0, bool)
-        keep = common[at]
-        owner, at = owner[keep], (np.cumsum(common) - 1)[at[keep]]
-        shared = np.zeros((n, n), np.float64)
-        total = int(common.sum())
-        for low in range(0, total, 8192):
-            inside = slice(*np.searchsorted(at, [low, low + 8192]))
-            block = np.zeros((n, min(8192, total - low)), np.float32)
-            block[owner[inside], at[inside] - low] = 1
-            shared += block @ block.T
+    order = np.argsort(items, kind="stable")
+    owner = text.row_of(offsets)[order]
+    new = np.ones(len(items), bool)
+    new[1:] = items[order][1:] != items[order][:-1]
+    at = np.cumsum(new) - 1
+    common = np.bincount(at) > 1 if len(at) else np.zeros(0, bool)
+    keep = common[at]
+    owner, at = owner[keep], (np.cumsum(common) - 1)[at[keep]]
+    shared = np.zeros((n, n), np.float64)
+    total = int(common.sum())
+    for low in range(0, total, 8192):
+        inside = slice(*np.searchsorted(at, [low, low + 8192]))
+        block = np.zeros((n, min(8192, total - low)), np.float32)
+        block[owner[inside], at[inside] - low] = 1
+        shared += block @ block.T
     union = size[:, None] + size[None, :] - shared
     near = (shared > 0) & (shared >= threshold * union - 1e-9)
     np.fill_diagonal(near, False)

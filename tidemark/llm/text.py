@@ -216,20 +216,22 @@ def unsigned(column) -> np.ndarray:
     return np.asarray(column).astype(np.int64, copy=False).view(_U)
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The groups of equal key of a partition that is sorted by it; a group may span batches."""
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, sized: str, limit: int = SLICE_BYTES) -> Iterator[pa.Table]:
+    """A partition that is sorted by ``key``, in tables of whole groups: cut at the first end of a
+    group once column ``sized`` holds ``limit`` bytes."""
     held: list[pa.RecordBatch] = []
-    held_key = None
+    size = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.asarray(batch.column(key))
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
-        for start, stop in zip(cuts, cuts[1:], strict=False):
-            if held and held_key != keys[start]:
+        while batch.num_rows:
+            keys = np.asarray(batch.column(key))
+            ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, batch.num_rows)
+            if held and keys[0] != held[-1].column(key)[-1].as_py() and size >= limit:
                 yield pa.Table.from_batches(held)
-                held = []
-            held_key = keys[start]
-            held.append(batch.slice(start, stop - start))
+                held, size = [], 0
+            sums = np.cumsum(np.diff(_offsets(batch.column(sized))))
+            stop = int(ends[min(int(np.searchsorted(size + sums[ends - 1], limit)), len(ends) - 1)])
+            held.append(batch.slice(0, stop))
+            size += int(sums[stop - 1])
+            batch = batch.slice(stop)
     if held:
         yield pa.Table.from_batches(held)
