@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import spread, text
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = (2 << 20) - 64
 BLOCK_BYTES = 16 << 20
 WORD = text.byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 

@@ -174,7 +174,7 @@ def exact(members: DataFrame, threshold: float, decode: Callable = sets64) -> Da
     rows = _tiled(members.withColumn("blocks", F.ceil(F.col("c") / F.lit(TILE)).cast("long")), "grp", "rid")
 
     def verify(batches):
-        for table in text.whole_groups(batches, "grp", "items"):
+        for table in text.whole_groups(batches, "grp", "items", 1 << 19):
             grp, rid, weight, block, alone = (np.asarray(table.column(k)) for k in ("grp", "rid", "weight", "block", "alone"))
             items, offsets = decode(table.column("items"))
             bounds = np.append(np.flatnonzero(np.append(True, grp[1:] != grp[:-1])), len(grp))

@@ -26,7 +26,7 @@ from tidemark.llm import spread, text
 
 BLOCK = 64
 RATE = 8000
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 # The step sizes and index moves of IMA ADPCM.
 STEPS = np.array(

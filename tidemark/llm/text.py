@@ -13,7 +13,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+#: Just under a power of two, as tables of powers are that long.
+SLICE_BYTES = (2 << 20) - 64
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD1342543DE82EF95 | 1
@@ -106,7 +107,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _power_pair(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(10, int(n).bit_length())
+    size = 1 << max(15, -(-(int(n) - 1).bit_length() // 3) * 3)
     return _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
 
 
