@@ -40,6 +40,8 @@ SHORTEST, RATE = 20, 0.01
 #: Length classes: lower ends, and the length of ordinary strings that stand for each.
 CLASSES, PIECES = np.array([20, 24, 32, 48, 64, 128]), np.array([22, 28, 40, 56, 96, 160])
 SCORES, STEP = 256, 0.125
+#: A finding must itself pass the three tests at so many standard deviations, however rare its like is in ordinary text.
+ACCEPT = 4.0
 HEX = text.byte_class((0x30, 0x39), (0x61, 0x66))
 TOKEN = text.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2F, 0x2F), (0x5F, 0x5F), (0x3D, 0x3D), (0x2D, 0x2D))
 #: Alphabets in the order in which they are tried; the two spellings of the last two symbols of base 64 are one.
@@ -149,7 +151,7 @@ def cutoffs(docs: DataFrame, rate: float = RATE) -> np.ndarray:
     p = (ordinary + 1) / (strings + 1)
     tests = table[1].sum((0, 2))[None, :, None]  # all candidates of that length, whatever their encoding
     good = (p * tests <= rate * found) & (found > 0)
-    return np.where(good.any(-1), SCORES - 1 - np.argmax(good[..., ::-1], -1), -1)
+    return np.where(good.any(-1), np.minimum(SCORES - 1 - np.argmax(good[..., ::-1], -1), int(ACCEPT / STEP)), -1)
 
 
 def base_spans(string: str, buf: np.ndarray | None = None) -> list[tuple[int, str, int]]:
