@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import spread, text
 from tidemark.llm.decontaminate import WORD
 
-SAMPLE = 4000
-BUCKETS, DIM, SEGMENT, GRAMS = 1 << 19, 8, 8, (3, 4, 5)
+SAMPLE = 1500
+BUCKETS, DIM, SEGMENT, GRAMS = 1 << 18, 8, 8, (3, 4, 5)
 WARM, ROUNDS, STEPS, STEP = 30, 12, 8, 0.05
 
 
@@ -61,6 +61,20 @@ def _words(column):
     return which, rows, *_bags(buf, starts[first], ends[first])
 
 
+def _joined(texts: list[str]):
+    """The same for texts of any size: slice by slice, each with distinct words of its own."""
+    whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    which, rows, bags, ends, known = [], [np.zeros(1, np.int64)], [], [np.zeros(1, np.int64)], 0
+    for part in text.slices(whole):
+        w, r, bag, at = _words(part.column("text"))
+        which.append(w + known)
+        known += len(at) - 1
+        rows.append(r[1:] + rows[-1][-1])
+        bags.append(bag.astype(np.int32))
+        ends.append(at[1:] + ends[-1][-1])
+    return np.concatenate(which), np.concatenate(rows), np.concatenate(bags), np.concatenate(ends)
+
+
 def _mean(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Mean between bounds; 0 where there is nothing."""
     sums = np.append(0, np.cumsum(values))
@@ -116,7 +130,7 @@ def train(texts: list[str], labels: np.ndarray, rate: float, seed: int = 7) -> M
     labels = np.asarray(labels, np.float64)
     if not 0 < labels.sum() < len(labels):
         return model
-    which, rows, bag, at = _words(pa.array(texts, pa.string()))
+    which, rows, bag, at = _joined(texts)
     n_words, per_word = len(at) - 1, np.repeat(1 / np.maximum(np.diff(at), 1), np.diff(at))
     rng = np.random.default_rng(seed)
     table, out = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, 2))
