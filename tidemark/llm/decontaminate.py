@@ -128,7 +128,7 @@ def _hits(tests: TestSuffixes, batches, last: bool):
             items = [set(x) for x in part.column("items").to_pylist()]
             for r, w in np.unique(np.stack([row, window], 1), axis=0) if len(row) else ():
                 items[r].update(tests.ids[tests.item[x]] for x in tests.by_window[tests.window_at[w] : tests.window_at[w + 1]])
-            columns = {"doc_id": part.column("doc_id"), "n_words": text.longs(np.diff(rows)), "spans": spans, "items": pa.array([sorted(x for x in i if x is not None) for i in items], pa.list_(pa.int64()))}
+            columns = {"doc_id": part.column("doc_id"), "th": part.column("th"), "n_words": text.longs(np.diff(rows)), "spans": spans, "items": pa.array([sorted(x for x in i if x is not None) for i in items], pa.list_(pa.int64()))}
             if not last:
                 columns["text"] = part.column("text")
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -177,30 +177,29 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document row: doc_id, n_words, spans of hit words (s, e), n_hit, n_items, items, contaminated."""
-    schema = "doc_id long, n_words long, spans array<struct<s:int,e:int>>, items array<long>"
-    out = spread.slim(docs).select("doc_id", "text", F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("items"))
+    """Per document row: doc_id, th, n_words, spans of hit words (s, e), n_hit, n_items, items, contaminated."""
+    schema = "doc_id long, th long, n_words long, spans array<struct<s:int,e:int>>, items array<long>"
+    out = spread.slim(docs).select("doc_id", "th", "text", F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("items"))
     blocks = iter(_blocks(benchmark, block_bytes))
     block, done = next(blocks, ([], [])), 0
     while block is not None:
         following = next(blocks, None)
         last = following is None
         tests = out.sparkSession.sparkContext.broadcast(TestSuffixes(*block, window))
-        out = out.select("doc_id", "text", "spans", "items").mapInArrow(lambda batches, tests=tests, last=last: _hits(tests.value, batches, last), schema if last else f"{schema}, text string")
+        out = out.select("doc_id", "th", "text", "spans", "items").mapInArrow(lambda batches, tests=tests, last=last: _hits(tests.value, batches, last), schema if last else f"{schema}, text string")
         done += 1
         if not last and done % 4 == 0:
             out = spread.stored(out, "decontaminate")
         block = following
     items = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
-    return out.select("doc_id", "n_words", "spans", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
+    return out.select("doc_id", "th", "n_words", "spans", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without a match, with all their columns."""
-    found = report(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    keyed = docs.alias("docs").join(found.alias("found"), F.col("docs.doc_id").cast("long").eqNullSafe(F.col("found.doc_id")), "left_anti")
-    return keyed.select("docs.*")
+    """The documents without a match, with all their columns; of rows that share a doc_id only those whose own text matches go."""
+    found = report(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct()
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (spread.text_key() == F.col("__h")), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
