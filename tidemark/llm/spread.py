@@ -132,6 +132,17 @@ def membership(df: DataFrame, column: str, bits: int) -> list[np.ndarray]:
     return merged_bitmap(df.select(column).mapInArrow(count, "shard long, cells binary"), bits, 1)
 
 
+def join_on_hot(rows: DataFrame, small: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Inner join of stored rows with ``small``, which has one row a key, whatever share of the rows a key has.
+
+    Keys of at least a ``share``-th of all rows are ``share`` at most: their part of ``small`` is broadcast and
+    their rows stay where they are. All others are shuffled, none of them being large."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
+    hot = stored(counts.where(F.col("c") * share >= rows.count()).select(key), "hot")
+    few = small.join(F.broadcast(hot), key)
+    return rows.join(F.broadcast(few), key).union(rows.join(F.broadcast(hot), key, "left_anti").join(small, key))
+
+
 # --- connected components ---------------------------------------------------
 
 
