@@ -70,6 +70,22 @@ def test_substring_dedup(docs, none, rows):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_periodic_text(spark):
+    rng = random.Random(9)
+    texts = [" ".join([f"w{k}"] * k) for k in range(34, 60)] + ["ja nein " * k for k in range(17, 26)] + ["a b c " * 13]
+    for k in (36, 37, 40, 45, 50, 51):
+        texts += [sentence(rng, 60) + f" in{k}x{i}" * k + " " + sentence(rng, 60) for i in range(8)]
+    counts = collections.Counter(tuple(w[i : i + 35]) for t in texts for w in [words9(t)] for i in range(len(w) - 34))
+    want = []
+    for i, t in enumerate(texts):
+        w = words9(t)
+        want.append((i, len(w), len({j for i in range(len(w) - 34) if counts[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)})))
+    assert sum(gone > 0 for _, _, gone in want) > 75
+    for parts in (1, len(texts)):  # together in a slice, and nearly each alone
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+        same(substring_dedup.remove_repeats(df, bits=20).select("doc_id", "n_words", "n_removed").collect(), want)
+
+
 def words4(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
 

@@ -86,11 +86,10 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                 bounds = np.append(0, np.cumsum(n))
                 flat = np.repeat(s - bounds[:-1], n) + np.arange(bounds[-1])
                 each, owner = hashes[flat], np.repeat(np.arange(len(s)), n)
-                order = np.lexsort((each, owner)) if (n > 16).any() else None
-                twice = np.zeros(len(s), bool)  # a run of at most window - gram + 1 windows can repeat one only in periodic text, where it is longer
-                if order is not None:
-                    same = (each[order][1:] == each[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-                    twice[owner[order][1:][same]] = True
+                twice = np.zeros(len(s), bool)  # the sketch counts a run once, also if it holds a window twice, as periodic text does
+                for gap in range(1, int(n.max(initial=1))):
+                    same = np.flatnonzero(each[gap:] == each[:-gap])
+                    twice[owner[same][owner[same] == owner[same + gap]]] = True
                 take = np.flatnonzero(spread.in_bitmap(bitmap.value, anchor, bits) | twice)
                 if not len(take):
                     continue
