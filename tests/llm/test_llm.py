@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, ngram_join, packing, quality, secrets, substring_dedup, telephony, text, toxicity, warc
+from tidemark.llm import decontaminate, line_dedup, ngram_join, packing, quality, secrets, similar, substring_dedup, telephony, text, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid long, score double, th long, spans string, batch string"
 
@@ -145,6 +145,40 @@ def test_large_groups_lose_no_link(spark):
     assert {x.class_id for x in got} == {0} and {x.n_links for x in got} == {319}
 
 
+def shared_buckets(spark, bins, dtype, keys, rows, n):
+    """Signatures in pairs that agree in 0.8 of the bins, of n pairs of which all share each of ``keys`` buckets that the pair shares."""
+    rng = np.random.default_rng(8)
+    sig = rng.integers(0, 8, (2 * n, bins)).astype(dtype)
+    agree = rng.random((n, bins)) < 0.8
+    sig[n:] = np.where(agree, sig[:n], sig[:n] + 8)
+    both = agree[:, : keys * rows].reshape(n, keys, rows).all(2)
+    records = [(i, sig[i].tobytes()) for i in range(2 * n)]
+    buckets = [(10**6 + k, i + side) for i in range(n) for k in range(keys) if both[i, k] for side in (0, n)]
+    return spark.createDataFrame(records, "rid long, sig binary"), spark.createDataFrame(buckets, "path long, rid long"), both.any(1) & (agree.mean(1) >= similar.ALIKE)
+
+
+def tied(edges, n):
+    label = list(range(2 * n))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for e in edges.distinct().collect():
+        label[max(root(e.a), root(e.b))] = min(root(e.a), root(e.b))
+    return np.array([root(i) == root(i + n) for i in range(n)])
+
+
+def test_split_buckets_of_lines_keep_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similar, "LIMIT", 64)
+    bins, keys, n = 24, 8, 800
+    records, buckets, there = shared_buckets(spark, bins, np.uint16, keys, 3, n)
+    found = tied(similar.candidates(records, buckets, bins, np.uint16, similar.draws_for(bins, 0.8, keys, 3, line_dedup.MORE_MISSED)), n)
+    assert there.mean() > 0.99 and found[there].mean() > 0.99
+    assert similar.miss(bins, 0.8, keys, 3, 6) - similar.miss(bins, 0.8, keys, 3, 0, 0) < line_dedup.MORE_MISSED
+
+
 def test_line_dedup(docs, none, rows):
     seen: list[set] = []
     places = []

@@ -97,7 +97,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, b
     tokens = [similar.token(F.lit(run), i, 4) for run in range(runs_for(recall)) for i in _draw(bins, threshold, run)]
     buckets = records.select(F.explode(F.array(*tokens)).alias("path"), "rid")
 
-    edges = similar.candidates(records, buckets, bins, np.uint32, threshold)
+    edges = similar.candidates(records, buckets, bins, np.uint32, 1)
     groups = similar.counted(edges)
     sets = shingle_sets(docs, groups.select("rid"), words).join(groups, "rid").groupBy("rid").agg(F.first("grp").alias("grp"), F.first("c").alias("c"), F.first("items").alias("items"))
     linked = similar.exact(sets.join(records.select("rid", "weight"), "rid"), threshold)

@@ -6,6 +6,7 @@ every pair within the groups found, on the whole shingle sets."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import spread, text
 
 #: Buckets of at most so many records are compared pair by pair, and blocks of larger ones.
-LIMIT = 64
+LIMIT = 256
 #: Signatures this similar are tied (far below the threshold of the exact check that follows), ...
 ALIKE = 0.5
 #: ... in a large bucket, to its pivot, from this on ...
@@ -25,6 +26,8 @@ NEAR_PIVOT = 0.35
 #: is then, with room for the signatures' error, tied to the pivot as well.
 SAME = 0.7
 MAX_DEPTH = 4
+#: A child of a large bucket is what agrees in so many bins.
+SPLIT_BINS = 2
 #: Records of a group that are verified in one piece.
 TILE = 256
 
@@ -96,12 +99,40 @@ def _compare(bins: int, dtype):
     return est
 
 
-def splitter(bins: int, width: int, threshold: float) -> Callable[[DataFrame], DataFrame]:
-    """Chosen-path children: at each node each bin is drawn with probability 1 / (threshold * bins)."""
+def miss(bins: int, threshold: float, keys: int, rows: int, draws: int, splits: int = MAX_DEPTH - 1) -> float:
+    """How often a pair at the threshold shares no compared bucket: none of ``keys`` keys of ``rows`` bins each
+    that all lie in buckets which are split ``splits`` times, by ``draws`` draws each time.
+
+    Summed over how many bins of the two signatures agree, as all draws are from the same signatures. Keys count as
+    drawn with replacement; disjoint ones miss less."""
+    total = 0.0
+    for k in range(bins + 1):
+        share, lost = k / bins, 0.0
+        for _ in range(splits):
+            lost = (1 - share**SPLIT_BINS * (1 - lost)) ** draws
+        total += math.comb(bins, k) * threshold**k * (1 - threshold) ** (bins - k) * (1 - share**rows * (1 - lost)) ** keys
+    return total
+
+
+def draws_for(bins: int, threshold: float, keys: int, rows: int, more: float) -> int:
+    """Draws of a split, so that splitting down to MAX_DEPTH adds at most ``more`` to the miss of the keys themselves."""
+    draws = 1
+    while miss(bins, threshold, keys, rows, draws) > miss(bins, threshold, keys, rows, 0, 0) + more:
+        draws += 1
+    return draws
+
+
+def splitter(bins: int, width: int, draws: int) -> Callable[[DataFrame], DataFrame]:
+    """Chosen-path children: each node draws ``draws`` pairs of bins; a child is what agrees in both."""
 
     def split(rows: DataFrame) -> DataFrame:
-        chosen = [F.when(F.pmod(F.xxhash64("path", F.lit(f"draw{i}")), F.lit(1_000_000)) < int(1_000_000 / (threshold * bins)), token(F.col("path"), i, width)) for i in range(bins)]
-        return rows.select(F.explode(F.filter(F.array(*chosen), lambda x: x.isNotNull())).alias("path"), "rid")
+        children = []
+        for k in range(draws):
+            one = F.pmod(F.xxhash64("path", F.lit(f"draw{k}")), F.lit(bins))
+            two = F.pmod(one + 1 + F.pmod(F.xxhash64("path", F.lit(f"other{k}")), F.lit(bins - 1)), F.lit(bins))
+            pair = F.least(one, two).cast("int"), F.greatest(one, two).cast("int")
+            children.append(F.xxhash64("path", *pair, *(F.col("sig").substr(i * width + 1, F.lit(width)) for i in pair)))
+        return rows.select(F.explode(F.array_distinct(F.array(*children))).alias("path"), "rid")
 
     return split
 
@@ -111,14 +142,14 @@ def token(path, i: int, width: int, bins: int = 1):
     return F.xxhash64(path, F.lit(i), F.substring("sig", width * i + 1, width * bins))
 
 
-def candidates(records: DataFrame, buckets: DataFrame, bins: int, dtype, threshold: float) -> DataFrame:
+def candidates(records: DataFrame, buckets: DataFrame, bins: int, dtype, draws: int) -> DataFrame:
     """Edges (a, b) that tie every two records which share a bucket and look alike, through others or directly.
 
     records: (rid, sig), stored; buckets: (path, rid). A small bucket is compared by brute force.
     In a large one all are compared with its pivot; those near are tied to it, and the nearest
-    leave; the rest is split again by sampled bins or, at the last depth, cut into blocks
-    whose pairs are compared."""
-    split = splitter(bins, np.dtype(dtype).itemsize, threshold)
+    leave; the rest is split again by ``draws`` drawn pairs of bins (``miss`` says what that loses) or, at the
+    last depth, cut into blocks whose pairs are compared."""
+    split = splitter(bins, np.dtype(dtype).itemsize, draws)
     sig = records.select("rid", "sig")
     out, depth = None, 0
     while True:
