@@ -179,6 +179,15 @@ def test_split_buckets_of_lines_keep_their_pairs(spark, monkeypatch):
     assert similar.miss(bins, 0.8, keys, 3, 6) - similar.miss(bins, 0.8, keys, 3, 0, 0) < line_dedup.MORE_MISSED
 
 
+def test_split_buckets_of_documents_keep_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similar, "LIMIT", 64)
+    bins, keys, n = 64, 12, 800
+    draws = ngram_join.split_draws(0.8, bins, ngram_join.RECALL)
+    assert similar.miss(bins, 0.8, keys, 1, draws) < 1 - ngram_join.RECALL
+    records, buckets, there = shared_buckets(spark, bins, np.uint32, keys, 1, n)
+    assert there.all() and tied(similar.candidates(records, buckets, bins, np.uint32, draws), n).all()
+
+
 def test_line_dedup(docs, none, rows):
     seen: list[set] = []
     places = []

@@ -2,10 +2,12 @@
 
 A document is the set of its ``words``-word shingles (words: runs of non-space bytes, A-Z lower-cased;
 a text of fewer words is one shingle). Each of several runs splits the sets by the MinHash tokens of sampled
-bins: at every node each bin is drawn with probability 1 / (threshold * bins), so that two sets
+bins: at the root each bin is drawn with probability 1 / (threshold * bins), so that two sets
 at the threshold share one child on average, while others part quickly. Small buckets are compared by
-brute force on the signatures; large ones shed what is all but equal to a pivot and are split again.
-Runs are repeated until a pair at the threshold is missed with less than 1 - ``recall``.
+brute force on the signatures; large ones shed what is all but equal to a pivot and are split again, by drawn
+pairs of bins. Runs are repeated until the roots miss a pair at the threshold with less than 1 - ``recall``, and the draws
+of each further split until all splits down to the last depth add less than half of that (with the runs and
+draws of the default settings 8e-8 and 2e-5).
 Whatever looks alike is then verified exactly, on whole shingle sets.
 
 Equal word sequences are joined once, with their number as weight. Only ids of candidates pass a
@@ -42,6 +44,12 @@ def _draw(bins: int, threshold: float, run: int) -> list[int]:
     return np.flatnonzero(u < 1 / (threshold * bins)).tolist()
 
 
+def split_draws(threshold: float, bins: int, recall: float) -> int:
+    """Draws of each further split: a pair all of whose root buckets are large is lost below them with half of 1 - recall at most."""
+    drawn = {i for run in range(runs_for(recall)) for i in _draw(bins, threshold, run)}
+    return similar.draws_for(bins, threshold, len(drawn), 1, (1 - recall) / 2)
+
+
 def _sets(column, words: int):
     buf, offsets = text.utf8(column)
     buf = text.LOWER[buf]
@@ -97,7 +105,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, b
     tokens = [similar.token(F.lit(run), i, 4) for run in range(runs_for(recall)) for i in _draw(bins, threshold, run)]
     buckets = records.select(F.explode(F.array(*tokens)).alias("path"), "rid")
 
-    edges = similar.candidates(records, buckets, bins, np.uint32, 1)
+    edges = similar.candidates(records, buckets, bins, np.uint32, split_draws(threshold, bins, recall))
     groups = similar.counted(edges)
     sets = shingle_sets(docs, groups.select("rid"), words).join(groups, "rid").groupBy("rid").agg(F.first("grp").alias("grp"), F.first("c").alias("c"), F.first("items").alias("items"))
     linked = similar.exact(sets.join(records.select("rid", "weight"), "rid"), threshold)
