@@ -65,8 +65,8 @@ def signatures(docs: DataFrame, words: int, bins: int) -> DataFrame:
     def sign(batches):
         for batch in batches:
             for part in text.slices(batch):
-                rid, n, hashes, rows = _sets(part.column("text"), words)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), text.longs(rid), text.longs(n), text.to_binary(text.one_permutation(hashes, rows, part.num_rows, bins))], names=["doc_id", "th", "rid", "n", "sig"])
+                rid, n, hashes, counts = _sets(part.column("text"), words)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), text.longs(rid), text.longs(n), text.to_binary(text.one_permutation(hashes, counts, bins))], names=["doc_id", "th", "rid", "n", "sig"])
 
     return spread.slim(docs).mapInArrow(sign, "doc_id long, th long, rid long, n long, sig binary")
 
@@ -78,21 +78,14 @@ def shingle_sets(docs: DataFrame, rids: DataFrame, words: int) -> DataFrame:
     def sets(batches):
         for batch in batches:
             for part in text.slices(batch):
-                rid, _, hashes, rows = _sets(part.column("text"), words)
+                rid, _, hashes, counts = _sets(part.column("text"), words)
                 take = spread.in_bitmap(bitmap.value, rid, bits)
                 _, first = np.unique(rid, return_index=True)
                 once = np.zeros(len(rid), bool)
                 once[first] = True
                 take &= once
-                inside = take[rows] if len(rows) else np.zeros(0, bool)
-                hashes, rows = hashes[inside], rows[inside]
-                order = np.lexsort((hashes, rows))
-                hashes, rows = hashes[order], rows[order]
-                new = np.ones(len(rows), bool)
-                new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-                hashes, rows = hashes[new], rows[new]
-                at = np.flatnonzero(take)
-                yield pa.RecordBatch.from_arrays([text.longs(rid[at]), text.blobs(hashes.view(np.uint8), 8 * np.append(np.searchsorted(rows, at), len(rows)))], names=["rid", "items"])
+                hashes, at = similar.distinct_sets(hashes[np.repeat(take, counts)], counts[take])
+                yield pa.RecordBatch.from_arrays([text.longs(rid[take]), text.blobs(hashes.view(np.uint8), 8 * at)], names=["rid", "items"])
 
     return spread.slim(docs).select("text").mapInArrow(sets, "rid long, items binary")
 

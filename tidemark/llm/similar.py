@@ -142,43 +142,47 @@ def token(path, i: int, width: int, bins: int = 1):
     return F.xxhash64(path, F.lit(i), F.substring("sig", width * i + 1, width * bins))
 
 
-def candidates(records: DataFrame, buckets: DataFrame, bins: int, dtype, draws: int) -> DataFrame:
-    """Edges (a, b) that tie every two records which share a bucket and look alike, through others or directly.
+def in_buckets(signed: Callable[[DataFrame], DataFrame], buckets: DataFrame, bins: int, dtype, draws: int) -> tuple[DataFrame, DataFrame | None]:
+    """(path, rid) of the small buckets in which records meet, each set of records once, and ties (a, b) to the pivots of large ones.
 
-    records: (rid, sig), stored; buckets: (path, rid). A small bucket is compared by brute force.
-    In a large one all are compared with its pivot; those near are tied to it, and the nearest
-    leave; the rest is split again by ``draws`` drawn pairs of bins (``miss`` says what that loses) or, at the
-    last depth, cut into blocks whose pairs are compared."""
+    buckets: (path, rid); signed: gives (rid, sig) of distinct rids. In a large bucket all are compared with its pivot, the
+    least rid; those near are tied to it, and the nearest leave; the rest is split again by ``draws`` drawn pairs of
+    bins (``miss`` says what that loses) or, at the last depth, cut into blocks, each two of which are a small bucket."""
     split = splitter(bins, np.dtype(dtype).itemsize, draws)
-    sig = records.select("rid", "sig")
-    out, depth = None, 0
+    small, ties, sig, depth = None, None, None, 0
     while True:
         whole = Window.partitionBy("path")
-        shared = buckets.withColumn("c", F.count(F.lit(1)).over(whole)).withColumn("pivot", F.min("rid").over(whole)).withColumn("other", F.max("rid").over(whole)).where("c > 1 and other > pivot").drop("other")
-        shared = spread.stored(shared, "buckets")
-        found = _brute_edges(shared.where(F.col("c") <= LIMIT).select("path", "rid"), sig, bins, dtype)
-        out = found if out is None else out.union(found)
-        large = shared.where(F.col("c") > LIMIT)
+        number = F.try_sum(F.shiftrightunsigned(F.xxhash64("rid"), 24)).over(whole)
+        shared = buckets.select("path", "rid", F.count(F.lit(1)).over(whole).alias("c"), F.min("rid").over(whole).alias("pivot"), F.max("rid").over(whole).alias("other"), number.alias("number")).where("c > 1 and other > pivot")
+        shared = spread.stored(shared.select("path", "rid", "c", "pivot", F.xxhash64("c", "pivot", "other", "number").alias("set")), "buckets")
+        found, large = shared.where(F.col("c") <= LIMIT).select(F.col("set").alias("path"), "rid").distinct(), shared.where(F.col("c") > LIMIT)
+        small = found if small is None else small.union(found)
         if large.isEmpty():
-            return out
+            return spread.stored(small, "small"), ties
+        if sig is None:
+            sig = spread.stored(signed(large.select("rid").distinct()), "signatures")
         star = large.join(sig, "rid").join(sig.select(F.col("rid").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
         star = spread.stored(star.mapInArrow(_compare(bins, dtype), "path long, rid long, pivot long, est double"), "star")
-        out = out.union(star.where((F.col("est") >= NEAR_PIVOT) & (F.col("rid") != F.col("pivot"))).select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct())
+        near = star.where((F.col("est") >= NEAR_PIVOT) & (F.col("rid") != F.col("pivot"))).select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
+        ties = near if ties is None else ties.union(near)
         rest = star.where(F.col("est") < SAME).select("path", "rid")
         depth += 1
         if depth >= MAX_DEPTH:
-            return out.union(_tiles(rest, sig, bins, dtype))
+            blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("path")) / F.lit(LIMIT // 2)).cast("long")
+            return spread.stored(small.union(_tiled(rest.withColumn("blocks", blocks), "path", "rid").select("path", "rid")), "small"), ties
         buckets = split(rest.join(sig, "rid"))
 
 
-def _brute_edges(rows: DataFrame, sig: DataFrame, bins: int, dtype) -> DataFrame:
-    return rows.join(sig, "rid").repartition("path").sortWithinPartitions("path", "rid").select("path", "rid", "sig").mapInArrow(_brute(bins, dtype), "a long, b long").distinct()
+def candidates(records: DataFrame, buckets: DataFrame, bins: int, dtype, draws: int) -> DataFrame:
+    """Edges (a, b) that tie every two records which share a bucket and look alike, through others or directly."""
+    sig = records.select("rid", "sig")
+    small, ties = in_buckets(lambda rids: sig.join(rids, "rid", "left_semi"), buckets, bins, dtype, draws)
+    found = _brute_edges(small, sig, bins, dtype)
+    return found if ties is None else found.union(ties)
 
 
-def _tiles(rows: DataFrame, sig: DataFrame, bins: int, dtype) -> DataFrame:
-    """All pairs of a bucket of any size, as pairs of blocks of LIMIT / 2 records."""
-    counted = rows.withColumn("blocks", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("path")) / F.lit(LIMIT // 2)).cast("long"))
-    return _brute_edges(_tiled(counted, "path", "rid"), sig, bins, dtype)
+def _brute_edges(rows: DataFrame, sig: DataFrame, bins: int, dtype) -> DataFrame:
+    return rows.join(sig, "rid").repartition("path").sortWithinPartitions("path", "rid").select("path", "rid", "sig").mapInArrow(_brute(bins, dtype), "a long, b long").distinct()
 
 
 def _tiled(rows: DataFrame, key: str, rid: str) -> DataFrame:
@@ -195,38 +199,70 @@ def sets64(column) -> tuple[np.ndarray, np.ndarray]:
     return data.view(np.uint64), offsets // 8
 
 
-def exact(members: DataFrame, threshold: float, decode: Callable = sets64) -> DataFrame:
-    """(rid, links, label) of records that have a link: Jaccard similarity of at least ``threshold``.
+def bucket_links(small: DataFrame, items: DataFrame, threshold: float, decode: Callable = sets64) -> DataFrame:
+    """Edges (a, b) of records that share a small bucket (path, rid) and whose sets, decoded from (rid, items), reach the
+    threshold: of each connected part within a bucket, one edge of every record to the least."""
+
+    def verify(batches):
+        for table in text.whole_groups(batches, "path", "items", 1 << 19):
+            path, rid = np.asarray(table.column("path")), np.asarray(table.column("rid"))
+            label = _linked(path, *decode(table.column("items")), threshold, lambda *_: None)
+            at = np.flatnonzero(rid[label] != rid)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(rid[label[at]])], names=["a", "b"])
+
+    return small.join(items, "rid").select("path", "rid", "items").repartition("path").sortWithinPartitions("path", "rid").mapInArrow(verify, "a long, b long").distinct()
+
+
+def _linked(group: np.ndarray, items: np.ndarray, offsets: np.ndarray, threshold: float, tell: Callable) -> np.ndarray:
+    """Each record's least index that links within its group connect it with. tell: gets first indices of pairs that
+    link in groups of two, and, for each larger group, its bounds and a matrix of links."""
+    bounds = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+    size, label = np.diff(bounds), np.arange(len(group))
+    first = bounds[:-1][size == 2]
+    near = first[pairs_near(items, offsets, first, threshold)]
+    label[near + 1] = near
+    tell(near, None, None)
+    for low, high in zip(bounds[:-1][size > 2], bounds[1:][size > 2], strict=True):
+        near = jaccard(items[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], threshold)
+        label[low:high] = low + spanning(*np.nonzero(near), high - low)
+        tell(near, low, high)
+    return label
+
+
+def group_links(members: DataFrame, threshold: float, decode: Callable = sets64) -> DataFrame:
+    """(rid, links, tied) of records that have a link: Jaccard similarity of at least ``threshold``.
 
     members: (grp, c, rid, weight, items), c being the size of the group, from whose items ``decode`` makes sets of
-    distinct hashes; any two records that may be linked have the same grp. links: the weights of all partners.
-    label: of the connected part. Groups of over TILE records are compared block by block, each pair of
-    blocks in a task of its own."""
+    distinct hashes; any two records that may be linked have the same grp. links: the weights of partners.
+    tied: the least record that links connect with, within a tile. Groups of over TILE records are compared block by
+    block, each pair of blocks in a task of its own."""
     rows = _tiled(members.withColumn("blocks", F.ceil(F.col("c") / F.lit(TILE)).cast("long")), "grp", "rid")
 
     def verify(batches):
         for table in text.whole_groups(batches, "grp", "items", 1 << 19):
             grp, rid, weight, block, alone = (np.asarray(table.column(k)) for k in ("grp", "rid", "weight", "block", "alone"))
-            items, offsets = decode(table.column("items"))
-            bounds = np.append(np.flatnonzero(np.append(True, grp[1:] != grp[:-1])), len(grp))
-            size = np.diff(bounds)
-            links, label = np.zeros(len(rid), np.int64), np.arange(len(rid))
-            first = bounds[:-1][size == 2]
-            near = first[pairs_near(items, offsets, first, threshold)]
-            label[near + 1] = near
-            near = near[alone[near] | (block[near] != block[near + 1])]  # pairs within one block count in its own tile
-            links[near], links[near + 1] = weight[near + 1], weight[near]
-            for low, high in zip(bounds[:-1][size > 2], bounds[1:][size > 2], strict=True):
-                own = slice(low, high)
-                near = jaccard(items[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], threshold)
-                links[own] = ((near if alone[low] else near & (block[own][:, None] != block[own][None, :])) * weight[own][None, :]).sum(1)
-                label[own] = low + spanning(*np.nonzero(near), high - low)
+            links = np.zeros(len(rid), np.int64)
+
+            def count(near, low, high, links=links, weight=weight, block=block, alone=alone):
+                if low is None:
+                    near = near[alone[near] | (block[near] != block[near + 1])]  # pairs within one block count in its own tile
+                    links[near], links[near + 1] = weight[near + 1], weight[near]
+                else:
+                    own = slice(low, high)
+                    links[own] = ((near if alone[low] else near & (block[own][:, None] != block[own][None, :])) * weight[own][None, :]).sum(1)
+
+            label = _linked(grp, *decode(table.column("items")), threshold, count)
             at = np.flatnonzero((links > 0) | (label != np.arange(len(rid))))
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(links[at]), pa.array(rid[label[at]])], names=["rid", "links", "tied"])
 
-    found = rows.select("grp", "rid", "weight", "block", "alone", "items").repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "rid long, links long, tied long")
-    found = spread.stored(found, "verified")
+    return rows.select("grp", "rid", "weight", "block", "alone", "items").repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "rid long, links long, tied long")
+
+
+def exact(members: DataFrame, threshold: float, decode: Callable = sets64) -> DataFrame:
+    """(rid, links, label) of records that have a link; label: of the connected part."""
+    found = spread.stored(group_links(members, threshold, decode), "verified")
     labels = spread.components(found.where("rid != tied").select(F.col("rid").alias("a"), F.col("tied").alias("b")))
     return found.groupBy("rid").agg(F.sum("links").alias("links")).join(labels.withColumnRenamed("id", "rid"), "rid")
 
@@ -237,16 +273,24 @@ def counted(edges: DataFrame) -> DataFrame:
     return spread.stored(groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("c")), "grp").select("rid", "grp", "c"), "groups")
 
 
+def distinct_sets(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each row, of ``counts`` hashes in order, and their offsets."""
+    out, ends = hashes.copy(), np.append(0, np.cumsum(counts))
+    for low, high in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+        out[low:high].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[ends[:-1][counts > 0]] = True
+    return out[new], np.append(0, np.cumsum(new))[ends]
+
+
 def pairs_near(items: np.ndarray, offsets: np.ndarray, first: np.ndarray, threshold: float) -> np.ndarray:
     """Which of the sets ``first`` reach the threshold with the set after them."""
-    size = offsets[first + 2] - offsets[first]
-    ends = np.append(0, np.cumsum(size))
-    at = np.repeat(offsets[first] - ends[:-1], size) + np.arange(ends[-1])
-    owner, value = np.repeat(np.arange(len(first)), size), items[at]
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
-    same = (owner[1:] == owner[:-1]) & (value[1:] == value[:-1])
-    shared = np.bincount(owner[1:][same], minlength=len(first))
+    size, shared = offsets[first + 2] - offsets[first], np.zeros(len(first), np.int64)
+    for i, (low, high) in enumerate(zip(offsets[first].tolist(), offsets[first + 2].tolist(), strict=True)):
+        both = items[low:high].copy()
+        both.sort()
+        shared[i] = np.count_nonzero(both[1:] == both[:-1])
     return (shared > 0) & (shared >= threshold * (size - shared) - 1e-9)
 
 

@@ -16,17 +16,17 @@ SHARD_BITS = 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, only a session in one process gets one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "/tmp/checkpoints/tidemark"
-    return folder.rstrip("/")
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or "/tmp/checkpoints/tidemark").rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back: lineage ends there and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4_raw").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -40,6 +40,30 @@ def slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), text_key().alias("th"))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def apart(docs: DataFrame, keys: DataFrame, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """The documents whose text key is, or by chance seems to be, among stored ``keys``, and all others, which need no join.
+
+    A bitmap of fixed size tells; where it is full all documents are in the first part and only the join's shuffle is as large as without it."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(membership(keys, keys.columns[0], bits))
+
+    @F.arrow_udf("boolean")
+    def known(key: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(bitmap.value, unsigned(key), bits))
+
+    return docs.where(known(text_key())), docs.where(~known(text_key()))
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -132,17 +156,6 @@ def membership(df: DataFrame, column: str, bits: int) -> list[np.ndarray]:
     return merged_bitmap(df.select(column).mapInArrow(count, "shard long, cells binary"), bits, 1)
 
 
-def join_on_hot(rows: DataFrame, small: DataFrame, key: str, share: int = 1000) -> DataFrame:
-    """Inner join of stored rows with ``small``, which has one row a key, whatever share of the rows a key has.
-
-    Keys of at least a ``share``-th of all rows are ``share`` at most: their part of ``small`` is broadcast and
-    their rows stay where they are. All others are shuffled, none of them being large."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
-    hot = stored(counts.where(F.col("c") * share >= rows.count()).select(key), "hot")
-    few = small.join(F.broadcast(hot), key)
-    return rows.join(F.broadcast(few), key).union(rows.join(F.broadcast(hot), key, "left_anti").join(small, key))
-
-
 # --- connected components ---------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Just under a power of two, as tables of powers are that long.
 SLICE_BYTES = (2 << 20) - 64
@@ -93,10 +94,11 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> _U(27))
-    x = x * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 @lru_cache(8)
@@ -128,13 +130,31 @@ def span(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> n
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U))
 
 
+#: Byte ranges of up to so many bytes are hashed by numpy. The polynomial is one modulo 2 ** 64, in which long periodic
+#: differences cancel out; below this length no difference of two bytes loses more than 20 of its 64 bits.
+SHORT = 32
+
+
 def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """64-bit hashes of the byte ranges; equal bytes have equal hashes wherever they stand."""
-    return span(prefix(_byte_values(seed)[buf], _BASE), starts, ends, _BASE)
+    """64-bit hashes of the byte ranges; equal bytes have equal hashes wherever they stand. Ranges longer than SHORT get xxh3's."""
+    out = span(prefix(_byte_values(seed)[buf], _BASE), starts, ends, _BASE)
+    long = np.flatnonzero(ends - starts > SHORT)
+    if len(long):
+        out[long] = range_hashes(buf, starts[long], ends[long], seed)
+    return out
+
+
+def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """xxh3 of each byte range: one call for each, for ranges that are few for their bytes."""
+    view = memoryview(np.ascontiguousarray(buf))
+    return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), _U, len(starts))
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of each k consecutive word hashes; those that cross rows are the caller's to leave out."""
+    """Hashes of each k consecutive word hashes; those that cross rows are the caller's to leave out.
+
+    A polynomial modulo 2 ** 64 over hashes that are random themselves: two sequences of under 64 words that are built of the
+    same two words agree with 2 ** -38 at most."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, _U)
@@ -142,8 +162,46 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * _power_pair(_WORD_BASE, len(sums))[1][:n] + _U(k))
 
 
+def code_points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of UTF-8 bytes, and the bytes that start none. In bytes that are not UTF-8 each is a character."""
+    raw = buf.tobytes()
+    if raw.isascii():
+        return np.frombuffer(raw, np.uint8), np.zeros(0, np.int64)
+    try:
+        return np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32), np.flatnonzero((buf & 0xC0) == 0x80)
+    except UnicodeDecodeError:
+        return np.frombuffer(raw, np.uint8), np.zeros(0, np.int64)
+
+
+def char_grams(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of each k consecutive characters, by doubling."""
+    if len(codes) < k:
+        return np.zeros(0, _U)
+    power, out, done, width = np.multiply(codes, _U(_WORD_BASE), dtype=_U), None, 0, 1
+    while True:
+        step = _U(pow(_BASE, width, 1 << 64))
+        if k & width:
+            if out is None:
+                out = power
+            else:
+                n = len(codes) - done - width + 1
+                out = out[:n] * step
+                out += power[done : done + n]
+            done += width
+        if done == k:
+            break
+        longer = power[:-width] * step
+        longer += power[width:]
+        power, width = longer, 2 * width
+    out ^= out >> _U(32)
+    out *= _U(0x94D049BB133111EB)
+    out ^= out >> _U(29)
+    return out
+
+
 def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span(prefix(words, _WORD_BASE), starts, ends, _WORD_BASE)
+    """Hashes of ranges of word hashes of any length, by xxh3."""
+    return range_hashes(np.ascontiguousarray(words).view(np.uint8), 8 * starts, 8 * ends)
 
 
 def row_of(offsets: np.ndarray) -> np.ndarray:
@@ -152,26 +210,47 @@ def row_of(offsets: np.ndarray) -> np.ndarray:
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-word shingles and the row of each; a row of 1 to k - 1 words is one shingle."""
+    """Hashes of the k-word shingles in row order, and how many each row has; a row of 1 to k - 1 words is one shingle."""
     counts = np.diff(offsets)
     grams = gram_hashes(words, k)
-    row = row_of(offsets)
-    whole = np.flatnonzero(np.arange(len(words)) + k <= offsets[1:][row]) if len(words) else np.zeros(0, np.int64)
+    size = np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
     short = np.flatnonzero((counts > 0) & (counts < k))
-    hashes = np.concatenate([grams[whole], sequence_hashes(words, offsets[short], offsets[short + 1])]) if len(short) else grams[whole]
-    rows = np.concatenate([row[whole], short]) if len(short) else row[whole]
-    return hashes, rows
-
-
-def one_permutation(hashes: np.ndarray, rows: np.ndarray, n_rows: int, bins: int) -> np.ndarray:
-    """MinHash by one permutation, n_rows x bins of 32 bits: a bin's least hash; an empty bin
+    whole = np.flatnonzero(counts >= k)
+    held = inside(len(grams), offsets[whole], offsets[whole + 1] - k + 1)
+    if not len(short):
+        return grams[held], size
+    out = np.empty(int(size.sum()), _U)
+    first = np.cumsum(size) - size
+    own = np.zeros(len(out), bool)
+    own[first[short]] = True
+    out[~own] = grams[held]
+    out[own] = sequence_hashes(words, offsets[short], offsets[short + 1])
+    return out, size
+
+
+def inside(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n places lie in one of the ranges, none of which overlap or are empty."""
+    edge = np.zeros(n + 1, np.int8)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, ends, -1)
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+
+
+def one_permutation(hashes: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
+    """MinHash by one permutation of ``counts`` hashes for each row, rows x bins of 32 bits: a bin's least hash; an empty bin
     takes that of the first filled bin on a probe sequence that is the same for all rows.
     Rows without hashes are all ones."""
-    empty = np.uint32(0xFFFFFFFF)
+    empty, n_rows = np.uint32(0xFFFFFFFF), len(counts)
     out = np.full(n_rows * bins, empty, np.uint32)
     if len(hashes):
-        at = ((hashes >> _U(32)) * _U(bins)) >> _U(32)
-        np.minimum.at(out, rows * bins + at.astype(np.int64), (hashes & _U(0xFFFFFFFE)).astype(np.uint32))
+        at = hashes >> _U(32)
+        at *= _U(bins)
+        at >>= _U(32)
+        at = at.view(np.int64)
+        at += np.repeat(np.arange(0, n_rows * bins, bins), counts)
+        value = hashes.astype(np.uint32)
+        value &= np.uint32(0xFFFFFFFE)
+        np.minimum.at(out, at, value)
     out = out.reshape(n_rows, bins)
     hole = (out == empty) & (out != empty).any(1)[:, None]
     step = 1
