@@ -26,6 +26,8 @@ NEAR_PIVOT = 0.35
 #: is then, with room for the signatures' error, tied to the pivot as well.
 SAME = 0.7
 MAX_DEPTH = 4
+#: What is left of a large bucket is cut into blocks of LIMIT / 2 at once if there are so many at most; that loses nothing.
+BLOCKS = 8
 #: A child of a large bucket is what agrees in so many bins.
 SPLIT_BINS = 2
 #: Records of a group that are verified in one piece.
@@ -146,8 +148,8 @@ def in_buckets(signed: Callable[[DataFrame], DataFrame], buckets: DataFrame, bin
     """(path, rid) of the small buckets in which records meet, each set of records once, and ties (a, b) to the pivots of large ones.
 
     buckets: (path, rid); signed: gives (rid, sig) of distinct rids. In a large bucket all are compared with its pivot, the
-    least rid; those near are tied to it, and the nearest leave; the rest is split again by ``draws`` drawn pairs of
-    bins (``miss`` says what that loses) or, at the last depth, cut into blocks, each two of which are a small bucket."""
+    least rid; those near are tied to it, and the nearest leave; the rest is cut into blocks, each two of which are a small bucket,
+    or, where that would be many, split again by ``draws`` drawn pairs of bins (``miss`` says what that loses) down to the last depth."""
     split = splitter(bins, np.dtype(dtype).itemsize, draws)
     small, ties, sig, depth = None, None, None, 0
     while True:
@@ -155,22 +157,26 @@ def in_buckets(signed: Callable[[DataFrame], DataFrame], buckets: DataFrame, bin
         number = F.try_sum(F.shiftrightunsigned(F.xxhash64("rid"), 24)).over(whole)
         shared = buckets.select("path", "rid", F.count(F.lit(1)).over(whole).alias("c"), F.min("rid").over(whole).alias("pivot"), F.max("rid").over(whole).alias("other"), number.alias("number")).where("c > 1 and other > pivot")
         shared = spread.stored(shared.select("path", "rid", "c", "pivot", F.xxhash64("c", "pivot", "other", "number").alias("set")), "buckets")
-        found, large = shared.where(F.col("c") <= LIMIT).select(F.col("set").alias("path"), "rid").distinct(), shared.where(F.col("c") > LIMIT)
+        found, large = shared.where(F.col("c") <= LIMIT).select(F.col("set").alias("path"), "rid"), shared.where(F.col("c") > LIMIT)
         small = found if small is None else small.union(found)
         if large.isEmpty():
-            return spread.stored(small, "small"), ties
+            break
         if sig is None:
             sig = spread.stored(signed(large.select("rid").distinct()), "signatures")
         star = large.join(sig, "rid").join(sig.select(F.col("rid").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
         star = spread.stored(star.mapInArrow(_compare(bins, dtype), "path long, rid long, pivot long, est double"), "star")
-        near = star.where((F.col("est") >= NEAR_PIVOT) & (F.col("rid") != F.col("pivot"))).select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
+        near = star.where((F.col("est") >= NEAR_PIVOT) & (F.col("rid") != F.col("pivot"))).select(F.col("rid").alias("a"), F.col("pivot").alias("b"))
         ties = near if ties is None else ties.union(near)
-        rest = star.where(F.col("est") < SAME).select("path", "rid")
+        rest = star.where(F.col("est") < SAME).select("path", "rid", F.count(F.lit(1)).over(whole).alias("n"))
         depth += 1
-        if depth >= MAX_DEPTH:
-            blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("path")) / F.lit(LIMIT // 2)).cast("long")
-            return spread.stored(small.union(_tiled(rest.withColumn("blocks", blocks), "path", "rid").select("path", "rid")), "small"), ties
+        few = F.lit(depth == MAX_DEPTH) | (F.col("n") <= BLOCKS * (LIMIT // 2))
+        tiles = rest.where(few & (F.col("n") > 1)).select("path", "rid", F.ceil(F.col("n") / F.lit(LIMIT // 2)).cast("long").alias("blocks"))
+        small = small.union(_tiled(tiles, "path", "rid").select("path", "rid"))
+        rest = rest.where(~few)
+        if depth == MAX_DEPTH or rest.isEmpty():
+            break
         buckets = split(rest.join(sig, "rid"))
+    return spread.stored(small.distinct(), "small"), None if ties is None else spread.stored(ties.distinct(), "ties")
 
 
 def candidates(records: DataFrame, buckets: DataFrame, bins: int, dtype, draws: int) -> DataFrame:

@@ -129,7 +129,7 @@ def merged_bitmap(parts: DataFrame, bits: int, least: int) -> list[np.ndarray]:
 
     n = 1 << bits - SHARD_BITS
     out = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
-    for x in parts.repartition(min(2 * n, partitions(parts)), "shard").mapInArrow(merge, "shard long, bits binary").toLocalIterator():
+    for x in parts.repartition(min(2 * n, partitions(parts)), "shard").mapInArrow(merge, "shard long, bits binary").collect():
         row, shard = x["shard"] >> 32, x["shard"] & 0xFFFFFFFF
         size = 1 << SHARD_BITS - 3
         out[row][shard * size : (shard + 1) * size] = np.frombuffer(x["bits"], np.uint8)
@@ -165,19 +165,18 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds: each node's neighbours are tied to its least neighbour
     until nothing changes. Links never leave the executors; each round's links are written to
     the shared folder, so that plans stay short and lost executors don't matter."""
-    links = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links")
-    state = None
+    links = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b"), "links")
     while True:
-        both = links.union(links.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # a hub's larger neighbours stay tied to it when it is the least: only other nodes' links move
-        large = links.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least.where("m < a").withColumnRenamed("a", "u"), "u", "left").select(F.col("v").alias("a"), F.coalesce("m", "u").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a > b").distinct()
-        links = stored(small, "links")
-        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == state:
+        ends = links.select(F.col("a").alias("u"), F.col("b").alias("m"), F.lit(False).alias("under")).union(links.select("b", F.lit(None).cast("long"), F.lit(True)))
+        # a hub that is the least of its neighbours is not among these few, which get a shuffle of their own: so Spark can broadcast them or split hubs
+        inner = ends.groupBy("u").agg(F.min("m").alias("m"), F.max("under").alias("under")).where("under and m is not null").select("u", "m").repartition("u")
+        large = links.join(inner, F.col("b") == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
+        large = large.repartition("a").groupBy("a", "b").agg(F.max("moved").alias("moved")).withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        other = F.col("b") > F.col("m")
+        links = stored(large.select(F.when(other, F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"), (other | F.col("moved")).alias("moved")), "links")
+        moved, links = links.where("moved"), links.select("a", "b")
+        if moved.isEmpty():
             break
-        state = now
+    links = links.distinct()
     roots = links.select(F.col("b").alias("id")).distinct()
     return links.select(F.col("a").alias("id"), F.col("b").alias("label")).union(roots.select("id", F.col("id").alias("label")))
