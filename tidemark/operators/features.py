@@ -28,26 +28,62 @@ def lag_features(df: DataFrame, lags: tuple[int, ...] = FeatureConfig.lags) -> D
     return lagged.withColumns(out)
 
 
-def _full(f, c: str, n: int):
-    """f over the last n rows, null unless all of them have a value."""
-    rows = by_market().rowsBetween(-(n - 1), 0)
-    return F.when(F.count(c).over(rows) == n, f(c).over(rows))
+def _summed(df: DataFrame, columns: dict[str, str], windows: tuple[int, ...], squares: str | None) -> DataFrame:
+    """Sums over the last n rows as <name>_sum<n>, null unless all n have a value, and squared deviations of one column.
+
+    Windows are put together from those of 1, 2, 4, ... rows: each step adds what a lag gives, so a row costs the logarithm of a
+    window, not its length, and nothing cancels out as in differences of running sums. Squared deviations of two halves
+    add up with the square of the difference of their means."""
+    w, top = by_market(), max(windows)
+    parts = {1: {f"{k}_s1": F.col(c).cast("double") for k, c in columns.items()}}
+    if squares:
+        parts[1][f"{squares}_q1"] = F.when(F.col(columns[squares]).isNotNull(), F.lit(0.0))
+    df = df.withColumns(parts[1])
+    names = list(parts[1])
+
+    def joined(n: int, m: int, name: str) -> dict:
+        """Of the last n rows and the m before them, with column names ending in ``name``."""
+        out = {f"{k}_s{name}": F.col(f"{k}_s{n}") + F.lag(f"{k}_s{m}", n).over(w) for k in columns}
+        if squares:
+            apart = F.col(f"{squares}_s{n}") / F.lit(float(n)) - F.lag(f"{squares}_s{m}", n).over(w) / F.lit(float(m))
+            out[f"{squares}_q{name}"] = F.col(f"{squares}_q{n}") + F.lag(f"{squares}_q{m}", n).over(w) + apart * apart * F.lit(n * m / (n + m))
+        return out
+
+    made, width = {1}, 1
+    while 2 * width <= top:
+        more = joined(width, width, str(2 * width))
+        df, names, width = df.withColumns(more), names + list(more), 2 * width
+        made.add(width)
+    waiting = {n: (1 << n.bit_length() - 1, n - (1 << n.bit_length() - 1)) for n in windows if n not in made}
+    while waiting:  # one round for each further bit of a window's length
+        more = {}
+        for n, (done, left) in list(waiting.items()):
+            bit = 1 << left.bit_length() - 1
+            more |= joined(done, bit, str(done + bit))
+            waiting[n] = (done + bit, left - bit)
+            if left == bit:
+                del waiting[n]
+        df, names = df.withColumns(more), list(dict.fromkeys(names + list(more)))
+    kept = [f"{k}_s{n}" for n in windows for k in columns] + ([f"{squares}_q{n}" for n in windows] if squares else [])
+    return df.drop(*(c for c in names if c not in kept))
 
 
 def rolling_features(df: DataFrame, windows: tuple[int, ...] = FeatureConfig.windows) -> DataFrame:
-    out = {}
+    """Means, sums and deviations over the last n buckets, null unless each of them has a value."""
+    names = {"__price": "mean_price", "__usd": "total_usd", "__trades": "trade_count", "__momentum": "momentum"}
+    df, out = _summed(df, names, windows, "__price"), {}
     for n in windows:
-        out |= {f"price_ma{n}": _full(F.avg, "mean_price", n), f"price_std{n}": _full(F.stddev_samp, "mean_price", n), f"volume_sum{n}": _full(F.sum, "total_usd", n)}
-        out |= {f"trade_count_ma{n}": _full(F.avg, "trade_count", n), f"momentum_ma{n}": _full(F.avg, "momentum", n)}
-    df = df.withColumns(out)
+        size = F.lit(float(n))
+        out |= {f"price_ma{n}": F.col(f"__price_s{n}") / size, f"price_std{n}": F.sqrt(F.col(f"__price_q{n}") / (size - F.lit(1.0))) if n > 1 else F.lit(None).cast("double"), f"volume_sum{n}": F.col(f"__usd_s{n}")}
+        out |= {f"trade_count_ma{n}": F.col(f"__trades_s{n}") / size, f"momentum_ma{n}": F.col(f"__momentum_s{n}") / size}
+    df = df.withColumns(out).drop(*(f"{k}_s{n}" for k in names for n in windows), *(f"__price_q{n}" for n in windows))
     return df.withColumns({f"price_vs_ma{n}": ratio(F.col("mean_price") - F.col(f"price_ma{n}"), f"price_ma{n}") for n in windows})
 
 
-def market_features(df: DataFrame, markets: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Market columns by market_id. The dimension is broadcast if a count shows that it is small; otherwise Spark joins by shuffle."""
+def market_features(df: DataFrame, markets: DataFrame) -> DataFrame:
+    """Market columns by market_id. Spark broadcasts the dimension if its size in bytes allows, and joins by shuffle otherwise."""
     side = markets.select("market_id", *(c for c in (*PRICES, "close_time") if c in markets.columns))
-    small = side.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    df = df.join(F.broadcast(side) if small else side, "market_id", "left")
+    df = df.join(side, "market_id", "left")
     p = clip(F.col("yes_price").cast("double"), 1e-9, 1 - 1e-9)
     out = {"market_spread": F.abs(F.col("yes_price").cast("double") - F.col("no_price").cast("double")), "market_entropy": -(p * F.log2(p) + (F.lit(1.0) - p) * F.log2(F.lit(1.0) - p))}
     if "close_time" in side.columns:

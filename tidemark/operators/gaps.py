@@ -33,16 +33,20 @@ def gap_rollup(summary: DataFrame) -> DataFrame:
 
 def fill_buckets(bucketed: DataFrame, minutes: int = 5, gap: Gap = Gap()) -> DataFrame:
     """Every bucket between a market's first and last: counts and sums 0, prices carried forward, ratios even."""
-    ends = bucketed.where("market_id is not null").groupBy("market_id").agg(F.min("bucket_time").alias("a"), F.max("bucket_time").alias("b")).where("a is not null")
-    grid = ends.select("market_id", F.explode(F.sequence("a", "b", F.expr(f"interval {minutes} minutes"))).alias("bucket_time"))
-    full = grid.join(bucketed, ["market_id", "bucket_time"], "left")
-    time = F.col("bucket_time")
-    columns = {c: F.col(c) for c in full.columns}
-    columns |= {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("trade_count", "whale_count")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("total_usd", "total_tokens", "whale_usd")}
-    columns |= {c: F.last(c, ignorenulls=True).over(by_market().rowsBetween(Window.unboundedPreceding, 0)) for c in CARRIED}
-    columns |= {c: F.coalesce(c, F.lit(0.5)) for c in ("yes_ratio", "buy_ratio") if c in full.columns}
-    columns["is_empty_bucket"] = F.col("trade_count").isNull()
-    columns["in_gap"] = (time >= F.lit(gap.start).cast("timestamp_ntz")) & (time < F.lit(gap.end).cast("timestamp_ntz"))
+    before = by_market().rowsBetween(Window.unboundedPreceding, 0)
+    step, time = F.expr(f"interval {minutes} minutes"), F.col("bucket_time")
+    known = bucketed.where("market_id is not null and bucket_time is not null")
+    # prices are carried over the buckets there are; then each is repeated up to the next one, so there is one scan and one shuffle
+    known = known.withColumns({c: F.last(c, ignorenulls=True).over(before) for c in CARRIED} | {"__next": F.lead("bucket_time").over(by_market())})
+    grid = F.posexplode(F.when(F.col("__next").isNull(), F.array("bucket_time")).otherwise(F.sequence(time, F.col("__next") - step, step)))
+    full = known.select("*", grid.alias("__empty", "__time"))
+    empty = F.col("__empty") > 0
+    columns = {c: F.col(c) for c in bucketed.columns}
+    columns |= {c: F.when(empty, F.lit(0).cast("long")).otherwise(F.coalesce(c, F.lit(0).cast("long"))) for c in ("trade_count", "whale_count")}
+    columns |= {c: F.when(empty, F.lit(0.0)).otherwise(F.coalesce(c, F.lit(0.0))) for c in ("total_usd", "total_tokens", "whale_usd")}
+    columns |= {c: F.when(empty, F.lit(0.5)).otherwise(F.coalesce(c, F.lit(0.5))) for c in ("yes_ratio", "buy_ratio") if c in bucketed.columns}
+    columns |= {"bucket_time": F.col("__time"), "is_empty_bucket": empty | F.col("trade_count").isNull()}
+    columns["in_gap"] = (F.col("__time") >= F.lit(gap.start).cast("timestamp_ntz")) & (F.col("__time") < F.lit(gap.end).cast("timestamp_ntz"))
     return full.select(*(v.alias(k) for k, v in columns.items()))
 
 

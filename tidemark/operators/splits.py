@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import SplitConfig
+from tidemark.functions.shared import stored
 from tidemark.operators.labels import trainable
 
 
@@ -13,7 +14,14 @@ def positions(df: DataFrame) -> DataFrame:
     """``position`` in (bucket_time, market_id) order: rows before the time, then a number within it.
 
     The running count is over one row per time, so no window has all rows in one partition."""
-    times = df.groupBy("bucket_time").agg(F.count(F.lit(1)).alias("__n"))
+    return _placed(df, _times(df))
+
+
+def _times(df: DataFrame) -> DataFrame:
+    return df.groupBy("bucket_time").agg(F.count(F.lit(1)).alias("__n"))
+
+
+def _placed(df: DataFrame, times: DataFrame) -> DataFrame:
     before = Window.orderBy("bucket_time").rowsBetween(Window.unboundedPreceding, -1)
     times = times.select("bucket_time", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("bucket_time").orderBy("market_id"))
@@ -36,9 +44,10 @@ def split_bounds(n: int, cfg: SplitConfig = SplitConfig()) -> tuple[int, int, in
 def walk_forward_split(df: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
     """Trainable rows with ``split``: train, validation, test, or null in gaps and purged ranges."""
     rows = trainable(df)
-    train, start, stop, test = split_bounds(rows.count(), cfg)
+    times = stored(_times(rows), "times")  # one row a time, from one slim pass over the rows
+    train, start, stop, test = split_bounds(times.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0], cfg)
     at = F.col("position")
-    return positions(rows).withColumn("split", F.when(at < train, "train").when((at >= start) & (at < stop), "validation").when(at >= test, "test"))
+    return _placed(rows, times).withColumn("split", F.when(at < train, "train").when((at >= start) & (at < stop), "validation").when(at >= test, "test"))
 
 
 def split_summary(df: DataFrame) -> DataFrame:

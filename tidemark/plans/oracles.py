@@ -111,7 +111,7 @@ def long(source: str = "rows_") -> str:
 
 LONG = [*DATASET, long()]
 COUNTS = "count(*) AS n, count(*) FILTER (p >= {t} AND y = 1) AS tp, count(*) FILTER (p >= {t} AND y <> 1) AS fp, count(*) FILTER (NOT p >= {t} AND y = 1) AS fn, count(*) FILTER (NOT p >= {t} AND y <> 1) AS tn".format(t=f"{CFG.threshold}::DOUBLE")
-AUC = """scores AS (SELECT strategy, p, sum(y) AS pos, sum(1 - y) AS neg FROM {source} GROUP BY ALL), credit AS (SELECT strategy, pos, neg, pos * (sum(neg) OVER (PARTITION BY strategy ORDER BY p) - neg + 0.5::DOUBLE * neg) AS c FROM scores),
+AUC = """scores AS (SELECT strategy, round(p, 12) AS p, sum(y) AS pos, sum(1 - y) AS neg FROM {source} GROUP BY ALL), credit AS (SELECT strategy, pos, neg, pos * (sum(neg) OVER (PARTITION BY strategy ORDER BY p) - neg + 0.5::DOUBLE * neg) AS c FROM scores),
 auc AS (SELECT strategy, sum(c) / nullif(sum(pos) * sum(neg), 0) AS auc FROM credit GROUP BY strategy)"""
 
 
@@ -198,4 +198,22 @@ ORACLES["gap_rollup"] = q([TRADES, BUCKETS, SUMMARY_OF_GAPS], "SELECT count(*) A
 ORACLES |= {f"long_gap_{k}": q([*BASE, long_gap(k)], "SELECT market_id, bucket_time, is_empty_bucket, in_long_gap FROM flagged") for k in ("edge", "run")}
 ORACLES |= {f"strategy_{n}": q(LONG, f"SELECT market_id, bucket_time, y, round(p, 6) AS p, fires FROM long WHERE strategy = '{n}'") for n in STRATEGIES}
 _ROLLED = {"rolling_mean": ("price_ma", "trade_count_ma", "momentum_ma"), "rolling_std": ("price_std",), "rolling_sum": ("volume_sum",), "price_vs_ma": ("price_vs_ma",)}
-ORACLES |= {k: q([*BASE, long_gap("edge"), LAG, RETURNS, ROLL], f"SELECT market_id, bucket_time, {r(*(f'{c}{n}' for n in WINDOWS for c in names))} FROM versus") for k, names in _ROLLED.items()}
+ORACLES |= {k: q([*BASE, long_gap("edge"), LAG, RETURNS, ROLL], f"SELECT market_id, bucket_time, {', '.join(f'round({c}{n} * (1.0::DOUBLE + 1e-12::DOUBLE), 6) AS {c}{n}' for n in WINDOWS for c in names)} FROM versus") for k, names in _ROLLED.items()}
+_LOW = [c for c in FEATURE_NAMES if not c.endswith(("_lag2", "_lag12", "24", "48"))]
+ORACLES["low_memory_features"] = q(FEATURES, " UNION ALL ".join(f"SELECT '{c}' AS feature, count(x) AS known, round(avg(x), 5) AS mean FROM (SELECT CASE WHEN NOT isinf({c}::DOUBLE) THEN {c}::DOUBLE END AS x FROM featured)" for c in _LOW))
+ORACLES["aligned_features"] = q([TRADES, BUCKETS], "SELECT count(*) AS rows, round(avg(mean_price), 5) AS mean_price, count(*) AS absent, round(avg(trade_count), 5) AS trade_count FROM buckets")
+ORACLES["time_range"] = q([TRADES, BUCKETS], "SELECT market_id, bucket_time, trade_count, round(mean_price, 6) AS mean_price FROM buckets WHERE bucket_time BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'")
+ORACLES["lookback"] = q([TRADES], """SELECT market_id, count(*) AS trades, round(sum(usd_amount), 6) AS usd FROM trades WHERE "timestamp" >= (SELECT max("timestamp") FROM trades) - INTERVAL '3600 minutes' GROUP BY market_id""")
+ORACLES["csv_round_trip"] = q([TRADES], 'SELECT "timestamp", market_id, is_yes, round(price, 6) AS price, round(usd_amount, 6) AS usd_amount, round(token_amount, 6) AS token_amount, is_buy FROM trades')
+ORACLES["stage_sink"] = ORACLES["bucket_ohlcv"]
+ORACLES["convert_markets"] = """SELECT c_custkey::INTEGER::BIGINT AS market_id, c_name AS question, '' AS token1, CASE WHEN c_custkey % 7 <> 0 THEN round(round(c_acctbal, 2)::FLOAT::DOUBLE, 6) END AS volume,
+  CASE WHEN c_custkey % 6 < 4 THEN (1705708800 + c_custkey % 60 * 86400) * 1000 + CASE c_custkey % 6 WHEN 0 THEN 500 WHEN 3 THEN -3600000 ELSE 0 END END::BIGINT AS close_ms, NULL::DOUBLE AS yes_price FROM customer"""
+ORACLES["token_history"] = q([TRADES, RECORDS], """SELECT DISTINCT token_id, "timestamp", price, is_yes, tx_hash FROM parsed WHERE token_id = '7' AND "timestamp" >= 1704500000""")
+ORACLES["latest_trades"] = q([TRADES, RECORDS], 'SELECT token_id, max("timestamp") AS latest FROM parsed GROUP BY token_id')
+ORACLES["newer_trades"] = q([TRADES, RECORDS, 'old AS (SELECT token_id, max("timestamp") AS latest FROM parsed WHERE "timestamp" < 1705300000 GROUP BY token_id)'], 'SELECT DISTINCT token_id, "timestamp", tx_hash FROM parsed LEFT JOIN old USING (token_id) WHERE "timestamp" > coalesce(latest, 0)')
+_RECENT = "recent AS (SELECT * EXCLUDE (top) FROM (SELECT *, max(bucket_time) OVER (PARTITION BY market_id) AS top FROM buckets) WHERE date_diff('minute', bucket_time, top) < 3600)"
+_SCORE, _FIRES, _ = RULES["momentum"]
+ORACLES["latest_signal"] = q(
+    [TRADES, BUCKETS, _RECENT, FILLED.replace("buckets", "recent"), "flagged AS (SELECT * FROM filled)", LAG, RETURNS, f"ranked AS (SELECT *, CASE WHEN {_FIRES} THEN {_SCORE} ELSE 0.5::DOUBLE END AS p, row_number() OVER (PARTITION BY market_id ORDER BY bucket_time DESC) AS n FROM returned)"],
+    "SELECT market_id, bucket_time, round(yes_ratio, 6) AS yes_ratio, round(p, 6) AS p, CASE WHEN p >= 0.55::DOUBLE THEN CASE WHEN yes_ratio > 0.5::DOUBLE THEN 'BID YES' ELSE 'BID NO' END ELSE 'NO BID' END AS signal FROM ranked WHERE n = 1",
+)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.config import FeatureConfig, SplitConfig
 from tidemark.operators import buckets, features, gaps, labels, normalize, splits
-from tidemark.sources import adapters
+from tidemark.sources import adapters, readers
 
 MINUTES = 60
 
@@ -44,5 +44,22 @@ def dataset(spark: SparkSession, sf: str, cfg: FeatureConfig = FeatureConfig())
     return labels.add_labels(featured(spark, sf, cfg))
 
 
+def stages(spark: SparkSession, sf: str, keep: str | None = None) -> dict[str, DataFrame]:
+    """The chain's stages by name. With ``keep``, a folder, each is written there and the next one starts from what was written."""
+    out: dict[str, DataFrame] = {}
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        if keep:
+            readers.write_table(df, f"{keep}/{name}")
+            df = spark.read.parquet(f"{keep}/{name}")
+        out[name] = df
+        return df
+
+    grid = stage("filled", gaps.fill_buckets(stage("bucketed", bucketed(spark, sf)), MINUTES))
+    used = gaps.apply_gap_exclusions(gaps.flag_long_gaps(grid))
+    stage("labeled", labels.add_labels(stage("features", features.build_features(used, markets(spark, sf)))))
+    return out
+
+
 def split(spark: SparkSession, sf: str, cfg: SplitConfig = SplitConfig()) -> DataFrame:
     return splits.walk_forward_split(dataset(spark, sf), cfg)

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import BacktestConfig, BucketConfig, ModelConfig
-from tidemark.operators import backtest, features, gaps, labels, metrics, model, splits, strategies
+from tidemark.config import BacktestConfig, BucketConfig, FeatureConfig, ModelConfig, SourceConfig
+from tidemark.functions.shared import shared_path
+from tidemark.operators import backtest, features, gaps, labels, metrics, model, normalize, splits, strategies
 from tidemark.plans import pipeline as plan
-from tidemark.sources import adapters, convert, runlog
+from tidemark.sources import adapters, convert, readers, runlog
 from tidemark.streaming import live
 
 CFG = BacktestConfig()
 THRESHOLDS = [0.5, 0.55, 0.6, 0.7]
 
 
-def tidy(df: DataFrame, infinite: tuple[str, ...] = ()) -> DataFrame:
-    """Doubles rounded to six digits, counts as longs; where infinities can be, they are named in a column of their own."""
+def tidy(df: DataFrame, infinite: tuple[str, ...] = (), lift: float = 0.0) -> DataFrame:
+    """Doubles rounded to six digits, counts as longs; where infinities can be, they are named in a column of their own.
+
+    Means over windows lie on halves of the last digit, where the order of addition decides; ``lift``, a small share of each value,
+    rounds these up everywhere."""
     out = []
     for c, kind in df.dtypes:
         x = F.col(c)
@@ -26,17 +30,12 @@ def tidy(df: DataFrame, infinite: tuple[str, ...] = ()) -> DataFrame:
             out.append(F.when(F.abs(x) < float("inf"), F.round(x, 6)).alias(c))
             out.append(F.when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").alias(f"{c}_inf"))
         elif kind in ("double", "float"):
-            out.append(F.round(x.cast("double"), 6).alias(c))
+            out.append(F.round(x.cast("double") * F.lit(1.0 + lift) if lift else x.cast("double"), 6).alias(c))
         else:
             out.append(x.cast("long").alias(c) if kind in ("int", "tinyint", "smallint") else x)
     return df.select(*out)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tidemark"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 KEY = ("market_id", "bucket_time")
 
 
@@ -110,7 +109,7 @@ def price_returns(spark, sf):
 def _rolling(*prefixes: str):
     def query(spark, sf):
         df = features.rolling_features(plan.filled(spark, sf))
-        return tidy(df.select(*KEY, *(c for c in df.columns if c.startswith(prefixes))))
+        return tidy(df.select(*KEY, *(c for c in df.columns if c.startswith(prefixes))), lift=1e-12)
 
     return query
 
@@ -135,7 +134,14 @@ def time_features(spark, sf):
 
 def feature_matrix(spark, sf):
     """Each feature's known values and their mean, over all rows."""
-    df = plan.featured(spark, sf)
+    return _known(plan.featured(spark, sf))
+
+
+def low_memory_features(spark, sf):
+    return _known(plan.featured(spark, sf, FeatureConfig.low_memory()))
+
+
+def _known(df: DataFrame) -> DataFrame:
     names = features.feature_columns(df)
     out = []
     for c in names:
@@ -177,6 +183,51 @@ def _played(spark, sf):
     return plan.dataset(spark, sf).where("win is not null")
 
 
+def aligned_features(spark, sf):
+    """A model's features by name: one that is there, one that isn't."""
+    df = normalize.align(plan.bucketed(spark, sf), ["mean_price", "absent", "trade_count"])
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("mean_price"), 5).alias("mean_price"), F.count_if(F.isnan("absent")).alias("absent"), F.round(F.avg("trade_count"), 5).alias("trade_count"))
+
+
+def time_range(spark, sf):
+    return tidy(splits.time_range(plan.bucketed(spark, sf), datetime(2024, 1, 10), datetime(2024, 1, 20)).select(*KEY, "trade_count", "mean_price"))
+
+
+def lookback(spark, sf):
+    """Trades of the last 60 buckets before the latest trade, by market."""
+    trades = plan.trades(spark, sf)
+    now = trades.agg(F.max("timestamp")).first()[0]
+    return tidy(readers.lookback(trades, now, 60, plan.MINUTES).groupBy("market_id").agg(F.count(F.lit(1)).alias("trades"), F.sum("usd_amount").alias("usd")))
+
+
+def csv_round_trip(spark, sf):
+    """Trades as CSV with their columns in another order, read by name."""
+    path = shared_path(spark, "csv")
+    raw = adapters.raw_trades(spark, sf)
+    raw.select(*reversed(raw.columns)).write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    return tidy(readers.load_trades(spark, SourceConfig(trades_path=path, format="csv")))
+
+
+def stage_sink(spark, sf):
+    """Buckets written by a codec, sorted and partitioned, copied once, and read back."""
+    path = shared_path(spark, "stage")
+    readers.write_table(plan.bucketed(spark, sf).withColumn("day", F.to_date("bucket_time")), path, "gzip", ("day",))
+    return tidy(readers.cached(spark, spark.read.parquet(path), f"{path}-copy").drop("day"))
+
+
+def convert_markets(spark, sf):
+    """Raw markets with times in four spellings and some that are none, to canonical ones."""
+    key = F.col("c_custkey")
+    at = F.timestamp_seconds(F.lit(1705708800) + key % 60 * 86400)
+    date, clock = F.date_format(at, "yyyy-MM-dd"), F.date_format(at, "HH:mm:ss")
+    spelled = F.when(key % 6 == 0, F.concat(date, F.lit("T"), clock, F.lit(".5Z"))).when(key % 6 == 1, F.concat(date, F.lit("T"), clock, F.lit("Z"))).when(key % 6 == 2, F.concat(date, F.lit(" "), clock, F.lit(" +00")))
+    spelled = spelled.when(key % 6 == 3, F.concat(date, F.lit("T"), clock, F.lit("+01:00"))).when(key % 6 == 4, date).otherwise("soon")
+    blank = {c: F.lit(None).cast("string").alias(c) for c in ("answer1", "answer2", "market_slug", "ticker", "token1", "token2")}
+    raw = adapters.table(spark, sf, "customer").select(F.concat(F.lit(" "), key.cast("string")).alias("id"), F.concat("c_name", F.lit("  ")).alias("question"), *blank.values(), F.when(key % 7 == 0, "many").otherwise(F.round("c_acctbal", 2).cast("string")).alias("volume"), spelled.alias("closedTime"))
+    out = convert.convert_markets(raw)
+    return tidy(out.select("market_id", "question", "token1", "volume", F.unix_millis("close_time").alias("close_ms"), "yes_price"))
+
+
 def _strategy(name: str):
     def query(spark, sf):
         return tidy(strategies.STRATEGIES[name](_played(spark, sf)).select(*KEY, "y", "p", "fires"))
@@ -257,6 +308,27 @@ def dedup_trades(spark, sf):
     return tidy(live.dedup_trades(live.parse_trades(_records(spark, sf))))
 
 
+def _store(spark, sf) -> DataFrame:
+    path = shared_path(spark, "store")
+    live.dedup_trades(live.parse_trades(_records(spark, sf))).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def token_history(spark, sf):
+    """One token's stored trades since a time."""
+    return tidy(readers.history(_store(spark, sf), "7", 1704500000).select("token_id", "timestamp", "price", "is_yes", "tx_hash"))
+
+
+def latest_trades(spark, sf):
+    return live.latest_timestamps(_store(spark, sf))
+
+
+def newer_trades(spark, sf):
+    """Of all records, those after the latest of their token in a store that ends at a time."""
+    trades = live.dedup_trades(live.parse_trades(_records(spark, sf)))
+    return tidy(live.newer(trades, trades.where("timestamp < 1705300000")).select("token_id", "timestamp", "tx_hash"))
+
+
 def retention(spark, sf):
     store = live.dedup_trades(live.parse_trades(_records(spark, sf)))
     now = store.agg(F.timestamp_seconds(F.max("timestamp"))).first()[0]
@@ -318,7 +390,7 @@ QUERIES = {
     f.__name__.rstrip("_"): f
     for f in (
         normalize_trades, normalize_markets, fills_etl, fills_counts, token_lookup_join, bucket_ohlcv, bucket_whales, gap_summary, gap_rollup, gap_fill, long_gap_edge, long_gap_run, exclusions, lag_features, price_returns,
-        market_features, cross_features, time_features, feature_matrix, labels_, label_stats, walk_forward_split, split_summary, holdout_split, time_chunks, strategy_coverage, metrics_confusion, metrics_logloss_brier, metrics_auc,
+        market_features, cross_features, time_features, feature_matrix, labels_, label_stats, low_memory_features, aligned_features, time_range, lookback, csv_round_trip, stage_sink, convert_markets, token_history, latest_trades, newer_trades, walk_forward_split, split_summary, holdout_split, time_chunks, strategy_coverage, metrics_confusion, metrics_logloss_brier, metrics_auc,
         calibration, backtest_equity, backtest_summary, threshold_sweep, strategy_benchmark, latest_signal, json_trade_parse, dedup_trades, retention, run_history, strategy_roi, model_train_score, feature_importance, stream_buckets,
     )
 }

@@ -25,21 +25,20 @@ def token_lookup(raw_markets: DataFrame, order: str | None = None) -> DataFrame:
     return rows.groupBy("token").agg(F.max_by(F.struct("market_id", "side"), F.struct("seq", "side")).alias("m")).select("token", "m.market_id", "m.side")
 
 
-def _classified(raw: DataFrame, lookup: DataFrame, broadcast_lookup: bool) -> DataFrame:
+def _classified(raw: DataFrame, lookup: DataFrame) -> DataFrame:
     """Every fill with its market, amounts and kind: settlement, unmatched or kept."""
     raw = raw.withColumns({c: F.coalesce(F.trim(c), F.lit("")) for c in ("makerAssetId", "takerAssetId")})
     units = {k: number(F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "0").otherwise(F.trim(c)), "bigint") for k, c in (("token_units", "makerAmountFilled"), ("usd_units", "takerAmountFilled"))}
-    found = raw.withColumns(units).join(F.broadcast(lookup) if broadcast_lookup else lookup, F.col("makerAssetId") == F.col("token"), "left")
+    found = raw.withColumns(units).join(lookup, F.col("makerAssetId") == F.col("token"), "left")
     kind = F.when(F.col("makerAssetId") == "0", "settlement").when(F.col("market_id").isNull() | F.col("token_units").isNull() | F.col("usd_units").isNull(), "unmatched").otherwise("kept")
     return found.withColumn("kind", kind)
 
 
-def convert_fills(raw: DataFrame, lookup: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def convert_fills(raw: DataFrame, lookup: DataFrame) -> DataFrame:
     """Canonical trades: settlement legs and fills of unknown tokens are dropped.
 
-    The lookup is broadcast only if it is counted to be small."""
-    small = lookup.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    rows = _classified(raw, lookup, small).where("kind = 'kept'")
+    Spark broadcasts the lookup if its size in bytes allows, and joins by shuffle otherwise."""
+    rows = _classified(raw.where(F.coalesce(F.trim("makerAssetId"), F.lit("")) != "0"), lookup).where("kind = 'kept'")
     usd, tokens = F.col("usd_units") / F.lit(1e6), F.col("token_units") / F.lit(1e6)
     return rows.select(
         unix_time("timestamp").alias("timestamp"), "market_id", "side", F.when(tokens > 0, usd / tokens).alias("price"), usd.alias("usd_amount"), tokens.alias("token_amount"),
@@ -48,5 +47,5 @@ def convert_fills(raw: DataFrame, lookup: DataFrame, max_broadcast_rows: int = 2
 
 
 def fill_counts(raw: DataFrame, lookup: DataFrame) -> DataFrame:
-    rows = _classified(raw, lookup, False)
+    rows = _classified(raw, lookup)
     return rows.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("kept", "settlement", "unmatched")))

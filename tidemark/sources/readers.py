@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.config import SourceConfig
 from tidemark.operators.normalize import normalize_markets, normalize_trades
@@ -18,7 +19,7 @@ def read_table(spark: SparkSession, path: str, cfg: SourceConfig, schema: str |
     if cfg.format == "parquet":
         return spark.read.parquet(path)
     if cfg.format == "csv":
-        return spark.read.schema(schema).option("header", True).csv(path) if schema else spark.read.option("header", True).csv(path)
+        return _typed(spark.read.option("header", True).csv(path), schema)
     if cfg.format == "jdbc":
         reader = spark.read.format("jdbc").option("url", cfg.jdbc_url).option("dbtable", path)
         if cfg.jdbc_partition_column:
@@ -28,8 +29,14 @@ def read_table(spark: SparkSession, path: str, cfg: SourceConfig, schema: str |
     raise ValueError(f"no such format: {cfg.format}")
 
 
+def _typed(raw: DataFrame, schema: str | None) -> DataFrame:
+    """Columns by their names in the header, in whatever order, with the stated types; what can't be read is null."""
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(schema).fields} if schema else {}
+    return raw.select(*(F.col(f"`{c}`").try_cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in raw.columns))
+
+
 def load_trades(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
-    return normalize_trades(read_table(spark, cfg.trades_path, cfg, None if cfg.columns["timestamp"] != "timestamp" else TRADES_CSV), cfg)
+    return normalize_trades(read_table(spark, cfg.trades_path, cfg, TRADES_CSV), cfg)
 
 
 def load_markets(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
