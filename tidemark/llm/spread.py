@@ -51,8 +51,8 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def apart(docs: DataFrame, keys: DataFrame, bits: int = 24) -> tuple[DataFrame, DataFrame]:
-    """The documents whose text key is, or by chance seems to be, among stored ``keys``, and all others, which need no join.
+def apart(docs: DataFrame, keys: DataFrame, key: Column | None = None, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """The documents whose ``key``, or else text key, is, or by chance seems to be, among stored ``keys``, and all others, which need no join.
 
     A bitmap of fixed size tells; where it is full all documents are in the first part and only the join's shuffle is as large as without it."""
     bitmap = docs.sparkSession.sparkContext.broadcast(membership(keys, keys.columns[0], bits))
@@ -61,7 +61,8 @@ def apart(docs: DataFrame, keys: DataFrame, bits: int = 24) -> tuple[DataFrame,
     def known(key: pa.Array) -> pa.Array:
         return pa.array(in_bitmap(bitmap.value, unsigned(key), bits))
 
-    return docs.where(known(text_key())), docs.where(~known(text_key()))
+    key = text_key() if key is None else key
+    return docs.where(known(key)), docs.where(~known(key))
 
 
 def partitions(df: DataFrame) -> int:

@@ -6,17 +6,17 @@ the same document too, goes.
 
 1. A window's *anchor* is the least hash among the ``gram``-word grams inside it, so equal
    windows have equal anchors, and windows that follow each other mostly share one: such a
-   *run* is one entry. Each partition counts its runs' anchors in a count-min sketch of
-   fixed width; the merged sketch is never below an anchor's count, nor so below a window's.
-2. Runs whose anchor is estimated at two or more, or that hold a window twice, are grouped
-   exactly, first as whole runs, then (where one anchor has different runs) window by window,
+   *run* is one entry, and two if it holds a window twice. Each partition counts its runs' anchors in a
+   count-min sketch of fixed width. The merged sketch is never below an anchor's count, and that is two
+   at least for a window that stands twice, in one run or in two: none is lost.
+2. Runs whose anchor is estimated at two or more are grouped exactly, first as whole runs, then (where one anchor has different runs) window by window,
    by the 64-bit anchor and another 64-bit hash. Nothing that repeats can be lost; a full
    sketch would only pass on more runs. Each slice sends a run once with all its places, so
    a passage that a third of all documents share is a few rows a partition.
 
 Defined cases: a null or empty text has no words; a document of fewer words than a window
 keeps all; equal rows (same doc_id and text) each count as a place and get equal results;
-a null doc_id is kept as a key of its own; other columns are ignored.
+a null doc_id is kept as a key of its own; a very long text is whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,6 +63,21 @@ def _runs(words: np.ndarray, rows: np.ndarray, window: int, gram: int):
     return at[first], np.diff(np.append(first, len(at))), anchor[first]
 
 
+def _windows(words: np.ndarray, s: np.ndarray, n: np.ndarray, window: int):
+    """Hashes of all windows by where they start, and which runs hold one of them twice."""
+    hashes = text.gram_hashes(words, window)
+    bounds = np.append(0, np.cumsum(n))
+    place = np.repeat(s - bounds[:-1], n)
+    place += np.arange(bounds[-1])
+    each, twice = hashes[place], np.zeros(len(s), bool)
+    for gap in range(1, int(n.max(initial=1))):  # only in periodic text is a run longer than window - gram + 1
+        same = np.flatnonzero(each[gap:] == each[:-gap])
+        if len(same):
+            owner = np.searchsorted(bounds, same, "right")
+            twice[owner[owner == np.searchsorted(bounds, same + gap, "right")] - 1] = True
+    return hashes, twice
+
+
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = BITS) -> DataFrame:
     """(d, h, spans): for each document with repeated windows, their places as (s, n): n windows from word s on."""
 
@@ -71,7 +86,8 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
         for batch in batches:
             for part in text.slices(batch):
                 *_, rows, words = _word_hashes(part.column("text"))
-                yield from counts.add(_runs(words, rows, window, gram)[2])
+                s, n, anchor = _runs(words, rows, window, gram)
+                yield from counts.add(np.concatenate([anchor, anchor[_windows(words, s, n, window)[1]]]))
         yield from counts.flush()
 
     bitmap = docs.sparkSession.sparkContext.broadcast(spread.merged_bitmap(docs.select("text").mapInArrow(sketch, "shard long, cells binary"), bits, 2))
@@ -81,21 +97,15 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
             for part in text.slices(batch):
                 *_, rows, words = _word_hashes(part.column("text"))
                 s, n, anchor = _runs(words, rows, window, gram)
-                whole = text.sequence_hashes(words, s, s + n + window - 1)
-                hashes = text.gram_hashes(words, window)
-                bounds = np.append(0, np.cumsum(n))
-                flat = np.repeat(s - bounds[:-1], n) + np.arange(bounds[-1])
-                each, owner = hashes[flat], np.repeat(np.arange(len(s)), n)
-                twice = np.zeros(len(s), bool)  # the sketch counts a run once, also if it holds a window twice, as periodic text does
-                for gap in range(1, int(n.max(initial=1))):
-                    same = np.flatnonzero(each[gap:] == each[:-gap])
-                    twice[owner[same][owner[same] == owner[same + gap]]] = True
-                take = np.flatnonzero(spread.in_bitmap(bitmap.value, anchor, bits) | twice)
+                hashes, twice = _windows(words, s, n, window)
+                take = np.flatnonzero(spread.in_bitmap(bitmap.value, anchor, bits))
                 if not len(take):
                     continue
-                take = take[np.lexsort((whole[take], anchor[take]))]
+                whole = text.sequence_hashes(words, s[take], s[take] + n[take] + window - 1)
+                order = np.lexsort((whole, anchor[take]))
+                take, whole = take[order], whole[order]
                 new = np.ones(len(take), bool)
-                new[1:] = (whole[take[1:]] != whole[take[:-1]]) | (anchor[take[1:]] != anchor[take[:-1]])
+                new[1:] = (whole[1:] != whole[:-1]) | (anchor[take[1:]] != anchor[take[:-1]])
                 group = np.flatnonzero(new)
                 lead = take[group]
                 row = text.row_of(rows)[s[take]]
@@ -107,7 +117,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                 ends = np.append(0, np.cumsum(size))
                 inner = hashes[np.repeat(s[lead] - ends[:-1], size) + np.arange(ends[-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [text.longs(anchor[lead]), text.longs(whole[lead]), text.longs(np.diff(at).astype(np.int64)), pa.array(twice[lead]), pa.ListArray.from_arrays(pa.array(at), places), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), text.longs(inner))],
+                    [text.longs(anchor[lead]), text.longs(whole[group]), text.longs(np.diff(at).astype(np.int64)), pa.array(twice[lead]), pa.ListArray.from_arrays(pa.array(at), places), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), text.longs(inner))],
                     names=["m", "run", "cnt", "twice", "places", "windows"],
                 )
 
@@ -130,7 +140,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     # whole runs need no count; they are spread over groups of their own
     tally = F.sum("weight").over(Window.partitionBy("m", "w", F.when(F.col("w").isNull(), F.col("s"))))
     spans = spans.withColumn("tally", tally).where("w is null or (weight = 1 and tally > 1)")
-    return spans.groupBy("d", "h").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    return spans.groupBy("d", "h").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
 
 
 def removed(batches, window: int = WINDOW):
@@ -176,8 +186,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
 
 def _with_spans(docs: DataFrame, window: int, gram: int, bits: int, digest: bool) -> DataFrame:
     own = spread.slim(docs)
-    found = repeated_intervals(own, window, gram, bits)
-    joined = own.join(found, own.doc_id.eqNullSafe(found.d) & (own.th == found.h), "left").select("doc_id", "text", F.coalesce("spans", F.expr("cast(array() as array<struct<s:int,n:int>>)")).alias("spans"))
+    found = spread.stored(repeated_intervals(own, window, gram, bits), "spans")
+    none = F.expr("cast(array() as array<struct<s:int,n:int>>)")
+    likely, others = spread.apart(own, found.select("h"), F.col("th"))
+    joined = likely.join(found, likely.doc_id.eqNullSafe(found.d) & (likely.th == found.h), "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
+    joined = joined.union(others.select("doc_id", "text", none))
 
     def apply(batches):
         for part, buf, offsets, starts, ends, rows, keep in removed(batches, window):
