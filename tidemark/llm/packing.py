@@ -5,27 +5,21 @@ global histogram of lengths goes through a dynamic program that finds the at mos
 ``buckets`` boundaries with the least padding, exactly; every document is padded to its bucket's
 boundary. Within a bucket, documents are numbered and cut into batches of at most ``budget`` padded tokens.
 
-Lengths from 4096 on are rounded up to 12 significant bits, so that the histogram that the driver sees has a bounded
-number of rows. Numbering is by salted groups with offsets, so no bucket is ever one task.
+The histogram that the driver sees has a row for each length that occurs, so at most as many as the longest document has
+words, and the program is linear in it. Numbering is by salted groups with offsets, so no bucket is ever one task.
 Only DataFrame functions run on the executors. Defined cases: a null or empty text has length 0, counted as
 one padded token; a document longer than the budget is a batch of its own; equal rows
-take different slots; a null doc_id is numbered too; other columns are ignored.
+take different slots; an empty table gives no rows; a null doc_id is numbered too; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import spread
 
-BUCKETS, BUDGET, GROUP_ROWS, EXACT_BELOW = 8, 16384, 4096, 4096
-
-
-def binned(length: Column) -> Column:
-    """The padded length that a boundary must reach: the length, or 12 significant bits of it rounded up."""
-    unit = F.pow(F.lit(2.0), F.floor(F.log2(length.cast("double"))) - 11)
-    return F.when(length < EXACT_BELOW, F.greatest(length, F.lit(1))).otherwise((F.ceil(length / unit) * unit)).cast("long")
+BUCKETS, BUDGET, GROUP_ROWS = 8, 16384, 16384
 
 
 def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
@@ -73,17 +67,17 @@ def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket, padded, batch, slot of every document row."""
     own = spread.slim(docs).select("doc_id", "th", F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n_tokens"))
-    own = spread.stored(own.withColumn("need", binned(F.col("n_tokens"))), "lengths")
+    own = spread.stored(own.withColumns({"need": F.greatest("n_tokens", F.lit(1).cast("long")), "uid": F.monotonically_increasing_id()}), "lengths")
     histogram = [(x.need, x.n) for x in own.groupBy("need").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()]
     bounds = boundaries(histogram, buckets)
     groups = max(1, -(-sum(n for _, n in histogram) // GROUP_ROWS))
     bucket, padded = F.lit(None).cast("int"), F.lit(None).cast("long")
     for i, bound in reversed(list(enumerate(bounds))):
         bucket, padded = F.when(F.col("need") <= bound, i).otherwise(bucket), F.when(F.col("need") <= bound, bound).otherwise(padded)
-    placed = own.select("doc_id", "th", "n_tokens", bucket.alias("bucket"), padded.cast("long").alias("padded"), F.pmod(F.xxhash64("doc_id", "th"), F.lit(groups)).alias("salt"))
+    placed = own.select("doc_id", "th", "n_tokens", bucket.alias("bucket"), padded.cast("long").alias("padded"), "uid", F.pmod(F.xxhash64("uid"), F.lit(groups)).alias("salt"))
     before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("bucket", "salt").agg(F.count(F.lit(1)).alias("n")).select("bucket", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own_number = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("doc_id", "th")) - 1
+    own_number = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("doc_id", "th", "uid")) - 1
     numbered = placed.withColumn("number", own_number).join(offsets, ["bucket", "salt"]).withColumn("number", F.col("number") + F.col("start"))
     size = F.greatest(F.floor(F.lit(budget) / F.col("padded")), F.lit(1))
     return numbered.select("doc_id", "n_tokens", "bucket", "padded", F.floor(F.col("number") / size).cast("long").alias("batch"), F.pmod("number", size).cast("int").alias("slot"))
