@@ -16,7 +16,8 @@ bitmap of fixed size on the second reading; the exact join on the id follows.
 Result: one row per document row: doc_id, class_id (least doc_id of its class), n_links (other
 documents at the threshold, copies included). Defined cases: a null or empty text has no
 set, no links and a class of its own; equal rows are links of each other; a null doc_id takes
-part, and a class of null ids only has a null class_id; other columns are ignored.
+part, and a class of null ids only has a null class_id; very long texts are whole sets; an empty table gives no rows;
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -110,14 +111,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, b
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """One document of each class, first by (doc_id, text hash), with its own columns; of equal rows one."""
-    found = classes(docs, **settings).where("n_links > 0")
+    found = spread.stored(classes(docs, **settings).where("n_links > 0").select("doc_id", "th", "label"), "linked")
     first = found.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("first"))
-    others = found.select("label", F.struct("doc_id", "th").alias("place")).distinct().join(first, "label").where("place != first").select(F.col("place.doc_id").alias("__d"), F.col("place.th").alias("__h"))
-    left = docs.join(others, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (spread.text_key() == F.col("__h")), "left_anti")
-    twice = found.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    marked = left.join(twice, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (spread.text_key() == F.col("__h")), "left")
-    single, equal = marked.where("__n is null"), marked.where("__n is not null")
-    return single.select(*docs.columns).union(equal.dropDuplicates(["__d", "__h"]).select(*docs.columns))
+    places = found.groupBy("label", F.struct("doc_id", "th").alias("place")).agg(F.count(F.lit(1)).alias("rows")).join(first, "label")
+    d, h, n = spread.free_names(docs, "d", "h", "rows")
+    # 0 for those that go, and the number of equal rows for those that stay
+    told = places.select(F.col("place.doc_id").alias(d), F.col("place.th").alias(h), F.when(F.col("place") == F.col("first"), F.col("rows")).otherwise(F.lit(0)).alias(n)).where(F.col(n) != 1)
+    told = spread.stored(told, "told")
+    likely, others = spread.apart(docs, told.select(h))
+    joined = likely.join(told, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (spread.text_key() == F.col(h)), "left").where(F.coalesce(n, F.lit(1)) != 0)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single, equal = joined.where(F.col(n).isNull()), joined.where(F.col(n).isNotNull())
+    return others.union(single.select(*columns)).union(equal.dropDuplicates([d, h]).select(*columns))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
