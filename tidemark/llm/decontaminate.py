@@ -4,7 +4,7 @@ Each slice of the documents is a shard with a suffix array of its own: word posi
 sorted by the ``window`` words that follow. A suffix that cannot match is left out: one with a word
 that no benchmark item has before the shortest window ends. All test suffixes are
 binary-searched in every shard; the range found holds every verbatim occurrence, which is then
-extended to its longest match. Documents with a match go.
+extended to its longest match, whose length and places are reported. Documents with a match go.
 
 The test set is read in blocks of bounded size, each broadcast alone and passed over all documents,
 so neither the number of items nor of documents is limited. A shard never leaves its task and
@@ -14,7 +14,8 @@ Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window
 words of an item; an item of fewer words, but not none, is one window. Defined cases: a null or
 empty text has no words and is clean; items with equal windows all count; items of equal
 id count once; a null item_id hits but is in no list; equal document rows get equal
-results; no benchmark rows: all is clean; other columns are ignored.
+results; no benchmark rows: all is clean; no documents: no rows; very long texts are whole (a shard of their own); of equally
+long matches the first in the document counts, then that of the least item_id; columns may have any names.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def _hits(tests: TestSuffixes, batches, last: bool):
     """Adds a block's hits to each document's spans and items."""
     for batch in batches:
         for part in text.slices(batch, limit=SHARD_BYTES):
-            rows, (row, where, window, length, *_), hashes = _shard(tests, part.column("text"))
+            rows, (row, where, window, length, words), hashes = _shard(tests, part.column("text"))
             old, owner = _flat(part.column("spans"))
             delta = np.zeros(len(hashes) + 1, np.int64)
             np.add.at(delta, where, 1)
@@ -128,12 +129,51 @@ def _hits(tests: TestSuffixes, batches, last: bool):
             items = [set(x) for x in part.column("items").to_pylist()]
             for r, w in np.unique(np.stack([row, window], 1), axis=0) if len(row) else ():
                 items[r].update(tests.ids[tests.item[x]] for x in tests.by_window[tests.window_at[w] : tests.window_at[w + 1]])
-            columns = {"doc_id": part.column("doc_id"), "th": part.column("th"), "n_words": text.longs(np.diff(rows)), "spans": spans, "items": pa.array([sorted(x for x in i if x is not None) for i in items], pa.list_(pa.int64()))}
+            longest = _longest(tests, rows, _extended(tests, rows, row, where, window, length, words), part.column("longest"))
+            columns = {"doc_id": part.column("doc_id"), "th": part.column("th"), "n_words": text.longs(np.diff(rows)), "spans": spans, "longest": longest, "items": pa.array([sorted(x for x in i if x is not None) for i in items], pa.list_(pa.int64()))}
             if not last:
                 columns["text"] = part.column("text")
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def _extended(tests: TestSuffixes, rows, row, where, window, length, words):
+    """Maximal verbatim matches that start with an occurrence of a window: document row, place, length, item and place in it."""
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 5
+    size = np.diff(tests.window_at)[window]
+    ends = np.append(0, np.cumsum(size))
+    which = tests.by_window[np.repeat(tests.window_at[window] - ends[:-1], size) + np.arange(ends[-1])]
+    row, p, n = np.repeat(row, size), np.repeat(where, size), np.repeat(length, size)
+    q, item = tests.starts[which], tests.item[which]
+    starts = (p == rows[row]) | (q == tests.rows[item]) | (words[np.maximum(p - 1, 0)] != tests.words[np.maximum(q - 1, 0)])
+    row, p, n, q, item = (x[starts] for x in (row, p, n, q, item))
+    live = np.arange(len(p))
+    while len(live):
+        at, to = p[live] + n[live], q[live] + n[live]
+        live = live[(at < rows[row[live] + 1]) & (to < tests.rows[item[live] + 1])]
+        at, to = p[live] + n[live], q[live] + n[live]
+        live = live[words[at] == tests.words[to]]
+        n[live] += 1
+    return row, p - rows[row], n, item, q - tests.rows[item]
+
+
+LONGEST = "struct<length:long,doc_pos:long,item_id:long,item_pos:long>"
+
+
+def _longest(tests: TestSuffixes, rows, found, before):
+    """Each row's longest match so far: of equally long ones the first, then that of the least item."""
+    row, p, n, item, q = found
+    best = before.to_pylist()
+    ids = np.array([np.iinfo(np.int64).max if i is None else i for i in tests.ids], np.int64)[item] if len(item) else item
+    order = np.lexsort((q, ids, p, -n, row))
+    for j in order[np.unique(row[order], return_index=True)[1]] if len(row) else ():
+        now, old = (int(n[j]), int(p[j]), tests.ids[item[j]], int(q[j])), best[row[j]]
+        rank = lambda x: (-x[0], x[1], np.iinfo(np.int64).max if x[2] is None else x[2], x[3])
+        if rank(now) < rank((old["length"], old["doc_pos"], old["item_id"], old["item_pos"])):
+            best[row[j]] = dict(zip(("length", "doc_pos", "item_id", "item_pos"), now, strict=True))
+    return pa.array(best, pa.struct([(k, pa.int64()) for k in ("length", "doc_pos", "item_id", "item_pos")]))
+
+
 def _flat(lists):
     """Fields s and e of a list<struct> column, flat, and the row of each entry."""
     ends = lists.offsets.to_numpy()
@@ -148,25 +188,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         for batch in batches:
             for part in text.slices(batch, limit=SHARD_BYTES):
                 rows, found, _ = _shard(tests, part.column("text"))
-                if not len(found[0]):
-                    continue
-                row, where, window_, length, words = found
-                size = np.diff(tests.window_at)[window_]
-                ends = np.append(0, np.cumsum(size))
-                which = tests.by_window[np.repeat(tests.window_at[window_] - ends[:-1], size) + np.arange(ends[-1])]
-                row, p, n = np.repeat(row, size), np.repeat(where, size), np.repeat(length, size)
-                q, item = tests.starts[which], tests.item[which]
-                starts = (p == rows[row]) | (q == tests.rows[item]) | (words[np.maximum(p - 1, 0)] != tests.words[np.maximum(q - 1, 0)])
-                row, p, n, q, item = (x[starts] for x in (row, p, n, q, item))
-                live = np.ones(len(p), bool)
-                while live.any():
-                    at, to = p + n, q + n
-                    live &= (at < rows[row + 1]) & (to < tests.rows[item + 1])
-                    live &= words[np.minimum(at, len(words) - 1)] == tests.words[np.minimum(to, len(tests.words) - 1)]
-                    n = n + live
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), text.longs(p - rows[row]), pa.array([tests.ids[i] for i in item], pa.int64()), text.longs(q - tests.rows[item]), text.longs(n)], names=["doc_id", "doc_pos", "item_id", "item_pos", "length"]
-                )
+                row, p, n, item, q = _extended(tests, rows, *found)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), text.longs(p), pa.array([tests.ids[i] for i in item], pa.int64()), text.longs(q), text.longs(n)], names=["doc_id", "doc_pos", "item_id", "item_pos", "length"])
 
     own, out, schema = spread.slim(docs), None, "doc_id long, doc_pos long, item_id long, item_pos long, length long"
     for ids, texts in _blocks(benchmark, block_bytes):
@@ -177,31 +201,34 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document row: doc_id, th, n_words, spans of hit words (s, e), n_hit, n_items, items, contaminated."""
-    schema = "doc_id long, th long, n_words long, spans array<struct<s:int,e:int>>, items array<long>"
-    out = spread.slim(docs).select("doc_id", "th", "text", F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("items"))
+    """Per document row: doc_id, th, n_words, spans of hit words (s, e), longest match (length, doc_pos, item_id, item_pos; 0 and nulls
+    where there is none), n_hit, n_items, items, contaminated."""
+    schema = f"doc_id long, th long, n_words long, spans array<struct<s:int,e:int>>, longest {LONGEST}, items array<long>"
+    out = spread.slim(docs).select("doc_id", "th", "text", F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("spans"), F.expr(f"cast(struct(0L, null, null, null) as {LONGEST})").alias("longest"), F.expr("cast(array() as array<long>)").alias("items"))
     blocks = iter(_blocks(benchmark, block_bytes))
     block, done = next(blocks, ([], [])), 0
     while block is not None:
         following = next(blocks, None)
         last = following is None
         tests = out.sparkSession.sparkContext.broadcast(TestSuffixes(*block, window))
-        out = out.select("doc_id", "th", "text", "spans", "items").mapInArrow(lambda batches, tests=tests, last=last: _hits(tests.value, batches, last), schema if last else f"{schema}, text string")
+        out = out.select("doc_id", "th", "text", "spans", "longest", "items").mapInArrow(lambda batches, tests=tests, last=last: _hits(tests.value, batches, last), schema if last else f"{schema}, text string")
         done += 1
         if not last and done % 4 == 0:
             out = spread.stored(out, "decontaminate")
         block = following
     items = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
-    return out.select("doc_id", "th", "n_words", "spans", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
+    return out.select("doc_id", "th", "n_words", "spans", "longest", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a match, with all their columns; of rows that share a doc_id only those whose own text matches go."""
-    found = report(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (spread.text_key() == F.col("__h")), "left_anti")
+    d, h = spread.free_names(docs, "d", "h")
+    found = spread.stored(report(docs, benchmark, window).where("longest.length > 0").select(F.col("doc_id").alias(d), F.col("th").alias(h)).distinct(), "contaminated")
+    likely, others = spread.apart(docs, found.select(h))
+    return others.union(likely.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (spread.text_key() == F.col(h)), "left_anti"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", *(F.col(f"longest.{c}").alias(f"longest_{c}") for c in ("length", "doc_pos", "item_id", "item_pos")))

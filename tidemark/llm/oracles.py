@@ -7,14 +7,18 @@ _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPE
 
 OP4 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
-i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, p, p + least(len(w), 10) - 1), ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+i AS (SELECT row_number() OVER () AS irow, item_id, {_WORDS} AS w FROM benchmark),
+each AS (SELECT irow, item_id, least(len(w), 10) AS n, p AS q, array_to_string(list_slice(w, p, p + least(len(w), 10) - 1), ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+windows AS (SELECT DISTINCT item_id, n, g FROM each),
 lengths AS (SELECT DISTINCT n FROM windows),
 places AS (SELECT rid, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lengths WHERE len(w) >= n)),
 found AS (SELECT rid, p, n, item_id FROM places JOIN windows USING (n, g)),
 hit AS (SELECT rid, count(DISTINCT word_at) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS word_at FROM found) GROUP BY rid),
-items AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY rid)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+items AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY rid),
+long AS (SELECT rid, n + count(*) - 1 AS length, min(p) - 1 AS p, item_id, min(q) - 1 AS q FROM (SELECT rid, p, n, irow, item_id, q, p - row_number() OVER (PARTITION BY rid, irow, p - q ORDER BY p) AS island FROM places JOIN each USING (n, g)) GROUP BY rid, irow, item_id, p - q, n, island),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY length DESC, p, item_id NULLS LAST, q) AS k FROM long) WHERE k = 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(length, 0)::BIGINT AS longest_length, best.p::BIGINT AS longest_doc_pos, best.item_id AS longest_item_id, best.q::BIGINT AS longest_item_pos
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN best USING (rid)
 """
 
 OP9 = r"""
