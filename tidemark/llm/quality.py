@@ -3,28 +3,33 @@
 The text view has shares of symbols, capitals, digits and bars, word lengths, and how many words are
 distinct or repeat the one before; the page-metadata view has source, lang and the stated
 number of characters. A logistic regression is fitted to each view. In every round each view
-labels the documents of an unlabelled pool that it is most sure of, for the other view to
+labels the documents without a label that it is most sure of, of all there are, for the other view to
 learn from. On a part of the labelled sample that neither has seen, each view's logit is
 calibrated and a last regression weighs the two; a view that knows nothing gets no weight.
 
-Fitting takes at most ``SAMPLE`` labelled and ``POOL`` unlabelled documents (least hashes of doc_id first): of these, only
-features reach the driver. All documents are scored from whole texts. Defined cases: a null
+Fitting takes at most ``SAMPLE`` labelled documents (least hashes of doc_id first) and, a round, ``MOVED`` pseudo-labels of each
+view and class: of these, only features reach the driver. All documents are scored from whole texts. Defined cases: a null
 or empty text has features of its own (nothing of anything); nulls in source, lang or n_chars are a value of their own;
 without labels of both classes all score the base rate (1 if there are none); a null doc_id
-is scored; of contradicting labels the smaller counts; other columns pass through.
+is scored; of contradicting labels the smaller counts; of equally sure documents the least doc_id, then text hash, comes first;
+very long texts are whole; an empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import spread, text
 from tidemark.llm.toxicity import calibrate
 
-SAMPLE, POOL = 8000, 8000
+SAMPLE = 8000
 ROUNDS, MOVED, SURE = 5, 200, 0.95
 HASHED = 32
 _UPPER = text.byte_class((0x41, 0x5A))
@@ -109,25 +114,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.last.logit(self.combined(views)), -30, 30)))
 
 
-def co_train(views: tuple[np.ndarray, ...], y: np.ndarray, pool: tuple[np.ndarray, ...], seed: int = 7) -> Model:
+def halves(y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Three quarters of the labelled rows to fit on and the rest to calibrate on."""
+    order = np.random.default_rng(seed).permutation(len(y))
+    return order[len(order) // 4 :], order[: len(order) // 4]
+
+
+def co_train(views: tuple[np.ndarray, ...], y: np.ndarray, surest: Callable) -> Model:
+    """``surest`` gets the round and both views' models, and gives (view, label, features of the other view) of pseudo-labels."""
     model = Model(float(y.mean()) if len(y) else 1.0)
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(y))
-    fit, rest = order[len(order) // 4 :], order[: len(order) // 4]
+    fit, rest = halves(y)
     if not 0 < y[fit].sum() < len(fit) or not 0 < y[rest].sum() < len(rest):
         return model
     xs, ys = [v[fit] for v in views], [y[fit].astype(float) for _ in views]
-    free = np.ones(len(pool[0]), bool)
-    for _ in range(ROUNDS):
-        learned = [Logistic(x, t) for x, t in zip(xs, ys, strict=True)]
-        for i, view in enumerate(learned):
-            p = 1 / (1 + np.exp(-view.logit(pool[i])))
-            for sure, label in ((p, 1.0), (1 - p, 0.0)):
-                at = np.flatnonzero(free & (sure >= SURE))
-                at = at[np.argsort(-sure[at], kind="stable")[:MOVED]]
-                free[at] = False
-                other = 1 - i
-                xs[other], ys[other] = np.concatenate([xs[other], pool[other][at]]), np.concatenate([ys[other], np.full(len(at), label)])
+    for turn in range(ROUNDS):
+        for view, label, x in surest(turn, [Logistic(x, t) for x, t in zip(xs, ys, strict=True)]):
+            other = 1 - view
+            xs[other], ys[other] = np.concatenate([xs[other], x]), np.concatenate([ys[other], np.full(len(x), label)])
     model.views = [Logistic(x, t) for x, t in zip(xs, ys, strict=True)]
     seen = tuple(v[rest] for v in views)
     model.scales = [calibrate(v.logit(x), y[rest], float(y.mean())) for v, x in zip(model.views, seen, strict=True)]
@@ -141,33 +144,82 @@ def _metadata(docs: DataFrame) -> list:
     return [(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model:
+WIDTH = 9
+_FEATURES = "doc_id long, th long, quality int, x array<double>, source string, lang string, n_chars double"
+
+
+def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    x = np.asarray(batch.column("x").flatten()).reshape(-1, WIDTH)
+    return x, meta_view(batch.column("source"), batch.column("lang"), batch.column("n_chars"))
+
+
+def featured(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """Text features and metadata of the labelled sample (quality 0 or 1) and of every document without a label (-1), stored."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    near = F.xxhash64("doc_id")
-    chosen = known.orderBy(near, "doc_id").limit(sample)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    others = ids.where("doc_id is not null").join(known, "doc_id", "left_anti").distinct().orderBy(near, "doc_id").limit(pool)
-    chosen = chosen.union(others.select("doc_id", F.lit(-1).alias("quality")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *_metadata(docs)).join(F.broadcast(chosen), "doc_id")
-
-    def features(batches):
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("used", F.lit(True))
+    marks = spread.stored(known.join(chosen.select("doc_id", "used"), "doc_id", "left"), "marks")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), spread.text_key().alias("th"), *_metadata(docs))
+
+    def rows(batches):
         for batch in batches:
-            x = np.concatenate([text_view(batch.column("text")), meta_view(batch.column("source"), batch.column("lang"), batch.column("n_chars"))], 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+            x = text_view(batch.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, WIDTH, dtype=np.int32)), pa.array(x.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), lists, *(batch.column(c) for c in ("source", "lang", "n_chars"))], names=["doc_id", "th", "x", "source", "lang", "n_chars"])
+
+    found = slim.mapInArrow(rows, "doc_id long, th long, x array<double>, source string, lang string, n_chars double")
+    found = found.join(marks, "doc_id", "left").where("quality is null or used")
+    return spread.stored(found.select("doc_id", "th", F.coalesce("quality", F.lit(-1)).alias("quality"), "x", "source", "lang", "n_chars"), "features")
+
 
-    table = rows.mapInArrow(features, "doc_id long, quality int, x array<double>").toArrow().to_pandas()
-    if not len(table):
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    table = featured(docs, labels, sample)
+    labelled = table.where("quality >= 0").orderBy("doc_id", "th", "source", "lang", "n_chars").toArrow()
+    if not labelled.num_rows:
         return Model(1.0)
-    x, y = np.stack(table["x"]), table["quality"].to_numpy()
-    order = np.lexsort((*x.T, table["doc_id"].to_numpy()))
-    x, y = x[order], y[order]
-    cut = x.shape[1] - (2 * HASHED + 3)
-    views = lambda at: (x[at, :cut], x[at, cut:])
-    return co_train(views(y >= 0), y[y >= 0], views(y < 0))
+    batch = labelled.combine_chunks().to_batches()[0]
+    views, y = _views(batch), np.asarray(batch.column("quality"))
+    free, moved = table.where("quality < 0"), set()
+
+    def surest(turn: int, learned: list[Logistic]):
+        """The MOVED rows of each class that each view is most sure of, among all that are unlabelled still."""
+        shared = docs.sparkSession.sparkContext.broadcast((learned, moved))
+
+        def best(batches):
+            models, gone = shared.value
+            held: dict[tuple[int, int], pa.Table] = {}
+            for batch in batches:
+                views = _views(batch)
+                keys = list(zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), strict=True))
+                new = np.array([k not in gone for k in keys], bool)
+                for i, model in enumerate(models):
+                    p = 1 / (1 + np.exp(-model.logit(views[i])))
+                    for label, sure in ((1, p), (0, 1 - p)):
+                        at = np.flatnonzero(new & (sure >= SURE))
+                        at = at[np.argsort(-sure[at], kind="stable")[:MOVED]]
+                        part = pa.Table.from_batches([batch.take(pa.array(at))]).append_column("sure", pa.array(sure[at]))
+                        part = pa.concat_tables([held[i, label], part]) if (i, label) in held else part
+                        held[i, label] = part.sort_by([("sure", "descending"), ("doc_id", "ascending"), ("th", "ascending")]).slice(0, MOVED)
+            for (i, label), part in held.items():
+                part = part.append_column("view", pa.array(np.full(len(part), i, np.int32))).append_column("label", pa.array(np.full(len(part), label, np.int32)))
+                yield from part.select(["view", "label", "sure", "doc_id", "th", "x", "source", "lang", "n_chars"]).combine_chunks().to_batches()
+
+        top = spread.stored(free.mapInArrow(best, "view int, label int, sure double, doc_id long, th long, x array<double>, source string, lang string, n_chars double"), "surest")
+        each = [top.where((F.col("view") == i) & (F.col("label") == label)).orderBy(F.desc("sure"), "doc_id", "th").limit(MOVED) for i in (0, 1) for label in (1, 0)]
+        got = reduce(DataFrame.union, each).toArrow()  # 4 * MOVED rows at most
+        for i in (0, 1):
+            for label in (1, 0):
+                part = got.filter((pc.field("view") == i) & (pc.field("label") == label))
+                if part.num_rows:
+                    batch = part.combine_chunks().to_batches()[0]
+                    moved.update(zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), strict=True))
+                    yield i, float(label), _views(batch)[1 - i]
+
+    return co_train(views, y, surest)
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """The documents with their score as one more column."""
+    """The documents with their score as one more column, of that name or, where they have it, the next free one."""
+    (column,) = spread.free_names(docs, column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -179,8 +231,8 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
 def good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that aren't rejected, with their own columns."""
-    name = "__quality"
-    return scored(docs, fit(docs, labels), name).where(F.col(name) >= threshold).select(*docs.columns)
+    (name,) = spread.free_names(docs, "quality")
+    return scored(docs, fit(docs, labels), name).where(F.col(name) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
