@@ -7,14 +7,17 @@ normal scores, of which the largest says how far the string is from random.
 
 How often ordinary text looks so random is counted over all documents: their words, without
 the candidates, are joined and cut into strings of the lengths in question, and scored in the
-same way. That gives p-values per encoding and length class, and in each class the cut-off on the
-score is the largest at which the expected share of false discoveries stays below ``rate``.
+same way. That gives p-values per encoding and length class; below the scores that ordinary strings reach, the tail is
+carried on as an exponential, so that p-values have no floor. In each class the cut-off on the
+score is the largest at which the expected share of false discoveries stays below ``rate``. Candidates count
+once for each distinct string, and not at all if they consist of one or two symbols (rules, padding).
 The table of counts has a fixed number of cells.
 
 Patterns (fixed): assign, access, hex, as leftmost matches that don't overlap, of which those too short are dropped.
 Findings that overlap one of them are not added. Defined cases: a null or empty text has
 no spans; equal rows get equal results; a null doc_id passes through; places are code points,
-ends exclusive; other columns are ignored.
+ends exclusive; very long texts are whole; a finding's score on a cell's edge counts to the higher cell; an empty table gives no
+rows; random strings under ``SHORTEST`` characters are not looked for; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ CLASSES, PIECES = np.array([20, 24, 32, 48, 64, 128]), np.array([22, 28, 40, 56,
 SCORES, STEP = 256, 0.125
 #: A finding must itself pass the three tests at so many standard deviations, however rare its like is in ordinary text.
 ACCEPT = 4.0
+#: The tail is fitted between the scores that so many ordinary strings, and the square of that, come up to.
+FEW = 10
 HEX = text.byte_class((0x30, 0x39), (0x61, 0x66))
 TOKEN = text.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2F, 0x2F), (0x5F, 0x5F), (0x3D, 0x3D), (0x2D, 0x2D))
 #: Alphabets in the order in which they are tried; the two spellings of the last two symbols of base 64 are one.
@@ -120,35 +125,71 @@ def _gather(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return buf[np.repeat(starts - bounds[:-1], size) + np.arange(bounds[-1])], bounds
 
 
+def _varied(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which strings have three different bytes at least."""
+    starts = bounds[:-1]
+    if not len(starts):
+        return np.zeros(0, bool)
+    owner, low, high = text.row_of(bounds), np.minimum.reduceat(data, starts), np.maximum.reduceat(data, starts)
+    return np.bincount(owner[(data != low[owner]) & (data != high[owner])], minlength=len(starts)) > 0
+
+
+def _tail(ordinary: np.ndarray, strings: float) -> np.ndarray:
+    """Share of ordinary strings with at most each score cell; where few have so little, as the fitted exponential goes on."""
+    p = (ordinary + 1) / (strings + 1)
+    known = np.flatnonzero(ordinary >= FEW)
+    if not len(known) or not strings:
+        return p
+    first = known[0]
+    later = known[ordinary[known] >= FEW * FEW]
+    if len(later) and later[0] > first:
+        slope = max(np.log(ordinary[later[0]] / ordinary[first]) / (later[0] - first), 0.0)
+        below = np.arange(first)
+        p[:first] = np.minimum(p[:first], ordinary[first] / strings * np.exp(-slope * (first - below)))
+    return p
+
+
 def cutoffs(docs: DataFrame, rate: float = RATE) -> np.ndarray:
     """The highest score cell, per encoding and length class, that still counts as random; -1 for none."""
 
     def count(batches):
         cells = len(ALPHABETS) * len(CLASSES) * SCORES
-        total = np.zeros((2, cells), np.int64)
+        total, found = np.zeros(cells, np.int64), []
         for batch in batches:
             for part in text.slices(batch, limit=1 << 20):
                 buf, offsets = text.utf8(part.column("text"))
                 starts, ends, long = _tokens(buf, offsets)
                 data, bounds = _gather(buf, starts[long], ends[long])
                 encoding, score = scores(data, bounds)
-                total[1] += np.bincount(_cell(encoding, np.diff(bounds), score), minlength=cells)
+                varied = _varied(data, bounds)
+                found.append(np.unique(np.stack([_cell(encoding, np.diff(bounds), score)[varied], text.range_hashes(data, bounds[:-1][varied], bounds[1:][varied]).view(np.int64)], 1), axis=0))
                 data, _ = _gather(buf, starts[~long], ends[~long])
                 sizes = np.tile(PIECES, len(data) // int(PIECES.sum()) + 1)
                 bounds = np.append(0, np.cumsum(sizes))
                 bounds = bounds[bounds <= len(data)]
                 encoding, score = scores(data[: bounds[-1]], bounds)
-                total[0] += np.bincount(_cell(encoding, np.diff(bounds), score), minlength=cells)
-        at = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], names=["cell", "ordinary", "found"])
-
-    counted = docs.select("text").mapInArrow(count, "cell long, ordinary long, found long").groupBy("cell").agg(F.sum("ordinary").alias("ordinary"), F.sum("found").alias("found"))
+                total += np.bincount(_cell(encoding, np.diff(bounds), score), minlength=cells)
+                if sum(map(len, found)) > 1 << 16:
+                    yield from told(found)
+                    found = []
+        yield from told(found)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.nulls(len(at), pa.int64())], names=["cell", "ordinary", "string"])
+
+    def told(found):
+        if found:
+            each = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(each[:, 0]), pa.array(np.zeros(len(each), np.int64)), pa.array(each[:, 1])], names=["cell", "ordinary", "string"])
+
+    # one row a cell and string, then one a cell
+    strings = docs.select("text").mapInArrow(count, "cell long, ordinary long, string long").groupBy("cell", "string").agg(F.sum("ordinary").alias("ordinary"))
+    counted = strings.groupBy("cell").agg(F.sum("ordinary").alias("ordinary"), F.count("string").alias("found"))
     table = np.zeros((2, len(ALPHABETS), len(CLASSES), SCORES))
     for x in counted.toLocalIterator():
         table[:, *np.unravel_index(x["cell"], table.shape[1:])] = x["ordinary"], x["found"]
     ordinary, found = table.cumsum(-1)
     strings = table[0].sum((0, 2))[None, :, None]
-    p = (ordinary + 1) / (strings + 1)
+    p = np.array([[_tail(ordinary[i, j], strings[0, j, 0]) for j in range(len(CLASSES))] for i in range(len(ALPHABETS))])
     tests = table[1].sum((0, 2))[None, :, None]  # all candidates of that length, whatever their encoding
     good = (p * tests <= rate * found) & (found > 0)
     return np.where(good.any(-1), np.minimum(SCORES - 1 - np.argmax(good[..., ::-1], -1), int(ACCEPT / STEP)), -1)
