@@ -12,7 +12,9 @@ Fitting takes at most ``SAMPLE`` labelled documents of each class (least hashes
 held out: crc32 of the doc_id's text modulo 5 is 0 for those. Labels, lang, source and doc_id are no inputs.
 Every whole text is scored. Defined cases: a null or empty text gets the base rate's
 score; without labels of both classes every score is the base rate (0 if there are none); a null doc_id is
-held out (the CRC of nothing is 0); of contradicting labels the larger counts; other columns pass through.
+held out (the CRC of nothing is 0); of contradicting labels the larger counts, of several texts of a labelled doc_id the one
+of the least hash; of equally toxic segments the first counts; very long texts are whole; an empty table gives no rows;
+other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -212,13 +214,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for value in (0, 1):
         part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
-    texts = spread.slim(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "th", "text", "toxic").dropDuplicates(["doc_id", "th"])
+    texts = spread.slim(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("th", "text", "toxic"), "th").alias("x")).select("doc_id", "x.*")
     rows = sorted(((x.doc_id, x.th, x.text, x.toxic) for x in texts.toLocalIterator()), key=lambda x: x[:2])
     return train([x[2] for x in rows], np.array([x[3] for x in rows]), rate)
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """The documents with their score as one more column."""
+    """The documents with their score as one more column, of that name or, where they have it, the next free one."""
+    (column,) = spread.free_names(docs, column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
