@@ -23,10 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or "/tmp/checkpoints/tidemark").rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "lz4_raw") -> DataFrame:
     """Written to the shared folder and read back: lineage ends there and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4_raw").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,13 +3,14 @@
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are stored as the 8-bit samples
 of a WAV file (8 kHz, mono, G.711 mu-law). Reading back takes the samples from the file's
 data chunk and computes features: energy, peak and sign changes of the mu-law expansion, energy
-and peak of the A-law one and of the bytes as 64-byte IMA ADPCM blocks, and the CRC of the mu-law PCM
-resampled to 16 kHz. ``pcm`` gives that PCM itself, for any of the three codecs.
+and peak of the A-law one and of the bytes as 64-byte IMA ADPCM blocks. The mu-law PCM, resampled to ``STORED`` Hz,
+is stored as well, and its CRC is taken from what is read back. ``pcm`` gives PCM of any of the three codecs at 4 or 16 kHz.
 
 Samples are decoded as whole arrays: expansions are one gather; ADPCM, sequential within a block,
 is one step over all blocks of a slice for each nibble. Defined cases: a null or empty text is 64 zero
 bytes; a text that fills 64 bytes gets no padding; a null doc_id and equal rows pass through;
-bytes that are not a WAV file of this kind raise an error; other columns are ignored.
+very long texts are whole files; an empty table gives no rows; bytes that are not a WAV file of this kind raise an error;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import spread, text
 
 BLOCK = 64
 RATE = 8000
+#: Rate of the PCM that ``features`` stores; 16 kHz would take four bytes a payload byte.
+STORED = 4000
 SLICE = 1 << 20
 
 # The step sizes and index moves of IMA ADPCM.
@@ -95,6 +99,14 @@ def double_rate(pcm: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def half_rate(pcm: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Half of the samples: every second one, a quarter of it from each neighbour; a row's ends repeat. Rows have an even number."""
+    x = pcm.astype(np.int32)
+    before = np.append(0, x[:-1])
+    before[offsets[:-1]] = x[offsets[:-1]]
+    return ((before[0::2] + 2 * x[0::2] + x[1::2] + 2) >> 2).astype(np.int16)
+
+
 def wav(samples: bytes) -> bytes:
     """A mu-law WAV file of one channel."""
     fmt = struct.pack("<HHIIHHH", 7, 1, RATE, RATE, 1, 8, 0)
@@ -159,24 +171,30 @@ def features(media: DataFrame) -> DataFrame:
             turn[at] = 0
             power = (block * block).sum(1)
             table = [np.add.reduceat(mu * mu, at), np.maximum.reduceat(np.abs(mu), at), np.add.reduceat(turn, at), np.add.reduceat(a * a, at), np.maximum.reduceat(np.abs(a), at), np.add.reduceat(power, blocks), np.maximum.reduceat(np.abs(block).max(1), blocks)]
-            pcm, samples = memoryview(double_rate(MU_LAW[data], ends).view(np.uint8)), memoryview(data)
+            samples = memoryview(data)
             out = []
             for i, (s, e) in enumerate(zip(ends, ends[1:], strict=False)):
                 v = [int(x[i]) for x in table]
                 own = samples[s:e]
                 out.append((int(e - s), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-BLOCK:]), int(offsets[i + 1] - offsets[i]), hashlib.sha256(view[offsets[i] : offsets[i + 1]]).hexdigest(),
-                            f"mulaw:{v[0]}:{v[1]}:{v[2]};alaw:{v[3]}:{v[4]};adpcm:{v[5]}:{v[6]};pcm16k:{zlib.crc32(pcm[4 * s : 4 * e]):08x}"))
+                            f"mulaw:{v[0]}:{v[1]}:{v[2]};alaw:{v[3]}:{v[4]};adpcm:{v[5]}:{v[6]}"))
             columns = list(zip(*out, strict=True))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            resampled = text.blobs(half_rate(MU_LAW[data], ends).astype("<i2").view(np.uint8), ends)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), resampled], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"])
 
-    return media.mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    told = media.mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
+    told = spread.stored(told, "pcm", "zstd")
+    mark = F.concat(F.col("feature"), F.lit(f";pcm{STORED // 1000}k:"), F.lower(F.lpad(F.hex(F.crc32("pcm")), 8, "0")))
+    return told.withColumn("feature", mark).drop("pcm")
 
 
-def pcm(media: DataFrame, codec: str = "mulaw") -> DataFrame:
-    """doc_id, rate, pcm: little-endian 16-bit samples at 16 kHz, for a caller to store."""
+def pcm(media: DataFrame, codec: str = "mulaw", rate: int = 2 * RATE) -> DataFrame:
+    """doc_id, rate, pcm: little-endian 16-bit samples at 16 kHz or 4 kHz, for a caller to store."""
     if codec not in ("mulaw", "alaw", "adpcm"):
         raise ValueError(f"no such codec: {codec}")
+    if rate not in (2 * RATE, RATE // 2) or (codec == "adpcm" and rate < RATE):
+        raise ValueError(f"no such rate: {rate}")
 
     def rows(batches):
         for part, _, _, data, ends in _payloads(batches):
@@ -184,10 +202,10 @@ def pcm(media: DataFrame, codec: str = "mulaw") -> DataFrame:
                 x, at = decode_adpcm(data).reshape(-1), ends // BLOCK * (2 * (BLOCK - 4) + 1)
             else:
                 x, at = (MU_LAW if codec == "mulaw" else A_LAW)[data], ends
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.full(part.num_rows, 2 * RATE, np.int32)), text.blobs(double_rate(x, at).astype("<i2").view(np.uint8), 4 * at)], names=["doc_id", "rate", "pcm"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.full(part.num_rows, rate, np.int32)), text.blobs((double_rate if rate > RATE else half_rate)(x, at).astype("<i2").view(np.uint8), 4 * at if rate > RATE else at)], names=["doc_id", "rate", "pcm"])
 
     return media.mapInArrow(rows, "doc_id long, rate int, pcm binary")
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spread.stored(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media"))
+    return features(spread.stored(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media", "zstd"))

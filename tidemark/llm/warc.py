@@ -8,12 +8,13 @@ at least ``least`` bytes the one with the largest page_id is the response, other
 Index: each capture is a line ``key page_id archive offset length kind``, keyed by the URL with its host
 reversed. Lines are range-partitioned and sorted, cut into compressed blocks, and each partition has a
 sparse directory of its blocks' first keys; above them stands one row per partition. A lookup finds
-partitions by binary search in that top level, whose size is the number of partitions, joins
-their directories, finds blocks by binary search again, decompresses those and range-reads the records.
+partitions by binary search in that top level, whose size is the number of partitions, meets
+their directories there, finds blocks by binary search again, decompresses those and range-reads the records.
 
 Defined cases: a null html is an empty payload, a null url an empty one; equal rows are captures of
 their own, of which one can be the response; a null page_id ranks last; spaces and control
-characters in URLs are escaped in headers and keys; other columns are ignored.
+characters in URLs are escaped in headers and keys; very long pages are whole records, larger than an archive if need be; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import spread
 
 LEAST, ARCHIVE_BYTES, BLOCK_LINES = 1000, 64 << 20, 256
+#: A lookup that finds so many records at most reads their ranges; a larger one joins the places with the archives.
+RANGES = 4096
 _SAFE = "".join(chr(c) for c in range(0x21, 0x7F))
 
 
@@ -68,9 +71,17 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 def write_archives(pages: DataFrame, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(archive, offset, data) of all records, stored in the shared folder."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("uid"))
-    shared = own.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "uid")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "top")
-    marked = own.join(shared, "digest", "left").withColumn("revisit", F.coalesce((F.octet_length("html") >= least) & (F.col("uid") != F.col("top.uid")), F.lit(False)))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
+    copies = own.where(F.octet_length("html") >= least).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("c"))
+    shared = spread.stored(copies.where("c > 1").select("digest", "top", F.xxhash64("digest").alias("key")), "shared")
+    # a payload that stands alone meets no join; of equal rows of the top page one is numbered first, within one evaluation
+    likely, alone = spread.apart(own, shared.select("key"), F.xxhash64("digest"))
+    joined = likely.join(shared.drop("key"), "digest", "left").withColumn("equal", F.col("page_id").eqNullSafe(F.col("top.page_id")) & (F.col("top.n") > 1))
+    copies = Window.partitionBy("digest").orderBy("url")
+    first = joined.where("not equal or top is null").withColumn("number", F.when(F.col("page_id").eqNullSafe(F.col("top.page_id")), 1).otherwise(2))
+    joined = first.union(joined.where("equal and top is not null").withColumn("number", F.row_number().over(copies)))
+    marked = joined.select("page_id", "url", "html", "digest", (F.col("top").isNotNull() & (F.octet_length("html") >= least) & (F.col("number") > 1)).alias("revisit"), F.col("top.page_id").alias("refers"))
+    marked = marked.union(alone.select("page_id", "url", "html", "digest", F.lit(False), F.lit(None).cast("long")))
 
     def rows(batches):
         task, number, offset = TaskContext.get().partitionId(), 0, 0
@@ -90,8 +101,7 @@ def write_archives(pages: DataFrame, least: int = LEAST, archive_bytes: int = AR
                 offset += len(member)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(offsets, pa.int64()), pa.array(members, pa.binary())], names=["archive", "offset", "data"])
 
-    slim = marked.select("page_id", "url", "html", "digest", "revisit", F.col("top.page_id").alias("refers"))
-    return spread.stored(slim.mapInArrow(rows, "archive string, offset long, data binary"), "warc")
+    return spread.stored(marked.mapInArrow(rows, "archive string, offset long, data binary"), "warc")
 
 
 def captures(archives: DataFrame) -> DataFrame:
@@ -151,23 +161,27 @@ def lookup(index: DataFrame, archives: DataFrame, urls: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.int32()), pa.array([k for _, k in pairs], pa.string())], names=["part", "key"])
 
     routed = urls.select(F.coalesce("url", F.lit("")).alias("url")).mapInArrow(route, "part int, key string").distinct()
-    directory = index.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("block", "first", "last"))).alias("blocks"))
+    # each partition's directory comes first, then its keys in a stream: no key carries the directory
+    blocks = index.select("part", F.lit(0).alias("kind"), F.col("first").alias("key"), "last", "block")
+    both = blocks.union(routed.select("part", F.lit(1), "key", F.lit(None).cast("string"), F.lit(None).cast("int"))).repartition("part").sortWithinPartitions("part", "kind", "block", "key")
 
     def find(batches):
+        own, ids, low, high = None, [], [], []
         for batch in batches:
-            table = batch.column("blocks")
-            known: dict[int, tuple[list, list, list]] = {}
             out = []
-            for i, (part, key) in enumerate(zip(batch.column("part").to_pylist(), batch.column("key").to_pylist(), strict=True)):
-                if part not in known:
-                    blocks = table[i].as_py()
-                    known[part] = [b["block"] for b in blocks], [b["first"] for b in blocks], [b["last"] for b in blocks]
-                ids, low, high = known[part]
-                out += [(part, ids[j], key) for j in range(bisect_left(high, key), bisect_right(low, key))]
+            for part, kind, key, last, block in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "key", "last", "block")), strict=True):
+                if part != own:
+                    own, ids, low, high = part, [], [], []
+                if kind == 0:
+                    ids.append(block)
+                    low.append(key)
+                    high.append(last)
+                else:
+                    out += [(part, ids[j], key) for j in range(bisect_left(high, key), bisect_right(low, key))]
             columns = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], names=["part", "block", "key"])
 
-    wanted = routed.join(directory, "part").select("part", "key", "blocks").mapInArrow(find, "part int, block int, key string").groupBy("part", "block").agg(F.collect_set("key").alias("keys"))
+    wanted = both.mapInArrow(find, "part int, block int, key string").groupBy("part", "block").agg(F.collect_set("key").alias("keys"))
 
     def read(batches):
         for batch in batches:
@@ -181,7 +195,7 @@ def lookup(index: DataFrame, archives: DataFrame, urls: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], names=["archive", "offset"])
 
-    places = index.join(wanted, ["part", "block"]).select("keys", "data").mapInArrow(read, "archive string, offset long")
+    places = spread.stored(index.join(wanted, ["part", "block"]).select("keys", "data").mapInArrow(read, "archive string, offset long"), "places")
 
     def records(batches):
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -194,7 +208,12 @@ def lookup(index: DataFrame, archives: DataFrame, urls: DataFrame) -> DataFrame:
                 out.append({"page_id": number["warc-record-id"], "url": headers["warc-target-uri"], "payload": None if revisit else body, "digest": headers["warc-payload-digest"][5:], "record_type": headers["warc-type"], "refers_to": number["warc-refers-to"]})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return archives.join(places, ["archive", "offset"]).select("data").mapInArrow(records, "page_id long, url string, payload binary, digest string, record_type string, refers_to long")
+    few = places.limit(RANGES + 1).count() <= RANGES
+    if few:
+        # range reads: the filters reach the Parquet scan, whose row groups and pages of other archives and offsets are left out
+        at = places.collect()
+        archives = archives.where(F.col("archive").isin(sorted({x.archive for x in at})) & F.col("offset").isin(sorted({x.offset for x in at})))
+    return archives.join(F.broadcast(places) if few else places, ["archive", "offset"]).select("data").mapInArrow(records, "page_id long, url string, payload binary, digest string, record_type string, refers_to long")
 
 
 def report(pages: DataFrame, least: int = LEAST) -> DataFrame:
