@@ -13,7 +13,7 @@ aggregated by component, with partial sums before the shuffle.
 
 Defined cases: a null or empty text has no lines; equal rows (same doc_id and text) are one
 document, and get the same verdicts; a null doc_id sorts first; very long lines are whole
-sets; documents may end up empty; other columns pass through ``dedup_lines``.
+sets; an empty table gives no rows; documents may end up empty; other columns pass through ``dedup_lines``, whatever their names.
 """
 
 from __future__ import annotations
@@ -164,10 +164,10 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, bands: int = BANDS, row
         members = items.join(groups, "rid").withColumn("weight", F.lit(1).cast("long"))
         edges = edges.union(similar.group_links(members, threshold, _decoder(chars)).where("rid != tied").select("rid", "tied"))
     linked = spread.components(edges).withColumnRenamed("id", "lid")
+    # stored, so that joins have a plain shuffle on both sides: Spark then splits a line or component that stands everywhere
     known = placed.groupBy("lid").agg(F.count(F.lit(1)).alias("c")).join(linked, "lid", "left").where("c > 1 or label is not null").select("lid", F.coalesce("label", "lid").alias("label"))
-    # a line or component that stands everywhere is on both sides of joins only, which Spark splits
-    places = spread.stored(placed.select("lid", F.struct("doc_id", "th", "no").alias("place")).join(known, "lid").select("label", "place"), "places")
-    firsts = places.groupBy("label").agg(F.min("place").alias("first"))
+    places = spread.stored(placed.select("lid", F.struct("doc_id", "th", "no").alias("place")).join(spread.stored(known, "known"), "lid").select("label", "place"), "places")
+    firsts = spread.stored(places.groupBy("label").agg(F.min("place").alias("first")), "firsts")
     gone = places.join(firsts, "label").where("place != first").groupBy("place.doc_id", "place.th").agg(F.sort_array(F.collect_set("place.no")).alias("removed")).withColumnsRenamed({"doc_id": "d", "th": "h"})
     heads = lines.where("lid is null").select("doc_id", "th", F.col("no").cast("long").alias("n_lines"))
     return heads.join(gone, heads.doc_id.eqNullSafe(gone.d) & (heads.th == gone.h), "left").select("doc_id", "th", "n_lines", F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"))
