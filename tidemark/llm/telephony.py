@@ -30,6 +30,8 @@ BLOCK = 64
 RATE = 8000
 #: Rate of the PCM that ``features`` stores; 16 kHz would take four bytes a payload byte.
 STORED = 4000
+#: Compression level of the stored tables.
+LEVEL = 9
 SLICE = 1 << 20
 
 # The step sizes and index moves of IMA ADPCM.
@@ -99,12 +101,10 @@ def double_rate(pcm: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def half_rate(pcm: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Half of the samples: every second one, a quarter of it from each neighbour; a row's ends repeat. Rows have an even number."""
+def half_rate(pcm: np.ndarray) -> np.ndarray:
+    """Half of the samples: the mean of each two. Rows have an even number."""
     x = pcm.astype(np.int32)
-    before = np.append(0, x[:-1])
-    before[offsets[:-1]] = x[offsets[:-1]]
-    return ((before[0::2] + 2 * x[0::2] + x[1::2] + 2) >> 2).astype(np.int16)
+    return ((x[0::2] + x[1::2] + 1) >> 1).astype(np.int16)
 
 
 def wav(samples: bytes) -> bytes:
@@ -180,11 +180,11 @@ def features(media: DataFrame) -> DataFrame:
                             f"mulaw:{v[0]}:{v[1]}:{v[2]};alaw:{v[3]}:{v[4]};adpcm:{v[5]}:{v[6]}"))
             columns = list(zip(*out, strict=True))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            resampled = text.blobs(half_rate(MU_LAW[data], ends).astype("<i2").view(np.uint8), ends)
+            resampled = text.blobs(half_rate(MU_LAW[data]).astype("<i2").view(np.uint8), ends)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), resampled], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"])
 
     told = media.mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
-    told = spread.stored(told, "pcm", "zstd")
+    told = spread.stored(told, "pcm", "zstd", LEVEL)
     mark = F.concat(F.col("feature"), F.lit(f";pcm{STORED // 1000}k:"), F.lower(F.lpad(F.hex(F.crc32("pcm")), 8, "0")))
     return told.withColumn("feature", mark).drop("pcm")
 
@@ -202,10 +202,10 @@ def pcm(media: DataFrame, codec: str = "mulaw", rate: int = 2 * RATE) -> DataFra
                 x, at = decode_adpcm(data).reshape(-1), ends // BLOCK * (2 * (BLOCK - 4) + 1)
             else:
                 x, at = (MU_LAW if codec == "mulaw" else A_LAW)[data], ends
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.full(part.num_rows, rate, np.int32)), text.blobs((double_rate if rate > RATE else half_rate)(x, at).astype("<i2").view(np.uint8), 4 * at if rate > RATE else at)], names=["doc_id", "rate", "pcm"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.full(part.num_rows, rate, np.int32)), text.blobs((double_rate(x, at) if rate > RATE else half_rate(x)).astype("<i2").view(np.uint8), 4 * at if rate > RATE else at)], names=["doc_id", "rate", "pcm"])
 
     return media.mapInArrow(rows, "doc_id long, rate int, pcm binary")
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spread.stored(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media", "zstd"))
+    return features(spread.stored(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media", "zstd", LEVEL))
