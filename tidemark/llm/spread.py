@@ -86,7 +86,7 @@ def cells(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 class Sketch:
     """Counts of one partition for two hash rows, kept sparse and saturating at ``least``."""
 
-    def __init__(self, bits: int, least: int, hold: int = 2_000_000):
+    def __init__(self, bits: int, least: int, hold: int = 1_000_000):
         self.bits, self.least, self.hold, self.parts, self.size = bits, least, hold, [], 0
 
     def add(self, values: np.ndarray) -> Iterator[pa.RecordBatch]:
