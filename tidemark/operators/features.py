@@ -112,7 +112,8 @@ def time_features(df: DataFrame) -> DataFrame:
 
 
 def build_features(filled: DataFrame, markets: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
-    df = market_features(rolling_features(lag_features(filled, cfg.lags), cfg.windows), markets)
+    # rolling windows first: their steps pass rows on while these are still narrow
+    df = market_features(lag_features(rolling_features(filled, cfg.windows), cfg.lags), markets)
     return time_features(cross_features(df) if cfg.cross_features else df)
 
 

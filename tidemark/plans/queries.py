@@ -142,12 +142,12 @@ def low_memory_features(spark, sf):
 
 
 def _known(df: DataFrame) -> DataFrame:
+    """One group for each feature instead of two aggregates for each, which would not fit into compiled code."""
     names = features.feature_columns(df)
-    out = []
-    for c in names:
-        x = F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
-        out.append(F.struct(F.lit(c).alias("feature"), F.count(x).alias("known"), F.round(F.avg(x), 5).alias("mean")))
-    return df.agg(F.array(*out).alias("all")).select(F.inline("all"))
+    values = (F.col(c).cast("double") for c in names)
+    each = df.select(F.posexplode(F.array(*(F.when(F.abs(x) < float("inf"), x) for x in values))).alias("at", "x"))
+    found = each.groupBy("at").agg(F.count("x").alias("known"), F.round(F.avg("x"), 5).alias("mean"))
+    return found.select(F.get(F.array(*map(F.lit, names)), "at").alias("feature"), "known", "mean")
 
 
 def labels_(spark, sf):
