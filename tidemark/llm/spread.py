@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or "/tmp/checkpoints/tidemark").rstrip("/")
 
 
-def stored(df: DataFrame, name: str, codec: str = "lz4_raw", level: int = 3) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy", level: int = 3) -> DataFrame:
     """Written to the shared folder and read back: lineage ends there and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", level).parquet(path)
