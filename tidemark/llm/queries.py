@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, line_dedup, ngram_join, packing, quality, secrets, substring_dedup, telephony, toxicity, warc
+from tidemark.llm import decontaminate, hard_negatives, language, line_dedup, merkle, ngram_join, packing, quality, secrets, substring_dedup, telephony, toxicity, warc
 from tidemark.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
@@ -16,4 +16,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_language_id": language.op11_language_id,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }

@@ -268,6 +268,29 @@ def one_permutation(hashes: np.ndarray, counts: np.ndarray, bins: int) -> np.nda
     return filled
 
 
+def word_bags(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, grams: tuple[int, ...], buckets: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word's n-grams of bytes, with a mark at either end, and of itself; and offsets of each word's."""
+    size = ends - starts + 2
+    bounds = np.append(0, np.cumsum(size))
+    padded = np.empty(bounds[-1], np.uint8)
+    inner = np.ones(len(padded), bool)
+    inner[bounds[:-1]] = inner[bounds[1:] - 1] = False
+    padded[bounds[:-1]], padded[bounds[1:] - 1] = 0x3C, 0x3E
+    padded[inner] = buf[np.repeat(starts - bounds[:-1] - 1, size - 2) + np.flatnonzero(inner)]
+    counts = np.stack([np.ones_like(size), *(np.maximum(size - n + 1, 0) for n in grams)], 1)
+    at = np.append(0, np.cumsum(counts.sum(1)))
+    begin = at[:-1, None] + np.cumsum(counts, 1) - counts
+    out = np.empty(at[-1], np.int64)
+    out[begin[:, 0]] = (byte_hashes(padded, bounds[:-1], bounds[1:], seed) % _U(buckets)).astype(np.int64)
+    sums = prefix(_byte_values(seed)[padded], _BASE)
+    for k, n in enumerate(grams, 1):
+        owner = np.repeat(np.arange(len(size)), counts[:, k])
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(counts[:, k]) - counts[:, k], counts[:, k])
+        first = bounds[:-1][owner] + step
+        out[begin[owner, k] + step] = (span(sums, first, first + n, _BASE) % _U(buckets)).astype(np.int64)
+    return out, at
+
+
 def to_binary(matrix: np.ndarray) -> pa.Array:
     """Rows of a contiguous matrix as binary values."""
     matrix = np.ascontiguousarray(matrix)
