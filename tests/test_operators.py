@@ -1,6 +1,7 @@
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,63 @@ def test_backtest_is_a_fold_in_order(spark, kelly):
     assert backtest.backtest_summary(backtest.backtest(df, ["s"], ["i"], cfg), ["s"], cfg).where("s = 'a'").first().total_pnl == pytest.approx(bank - cfg.bankroll)
 
 
+def fold(plays, cfg):
+    """index, bankroll and peak of each trade of (index, y, p)."""
+    bank = peak = cfg.bankroll
+    out = []
+    for i, y, p in plays:
+        odds = 1 - cfg.fee
+        stake = min(bank * max(0, min((p * odds - (1 - p)) / odds, cfg.kelly_cap)) if cfg.kelly else cfg.max_position, cfg.max_position, bank / 2)
+        if p >= cfg.threshold and stake >= 1 and bank >= 10:
+            bank += stake * odds if y == 1 else -stake
+            peak = max(peak, bank)
+            out.append((i, bank, peak))
+    return out
+
+
+@pytest.mark.parametrize("cfg", [BacktestConfig(kelly=k, bankroll=b, max_position=m, kelly_cap=c) for k, b, m, c in [(False, 100.0, 10.0, 0.25), (False, 31.5, 10.0, 0.25), (True, 60.0, 10.0, 0.25), (True, 300.0, 25.0, 0.9), (False, 9.0, 10.0, 0.25), (False, 100.0, 0.5, 0.25)]])
+def test_backtest_in_chunks_equals_the_fold(spark, cfg):
+    """Keys of one row to many chunks, among them ones that go bust, and repeated rows."""
+    rng = __import__("random").Random(7)
+    plays = {k: [(i, float(rng.random() < share), round(rng.uniform(0.5, 0.8), 6)) for i in range(n)] for k, n, share in [("a", 700, 0.5), ("b", 1, 1.0), ("c", 33, 0.6), ("d", 400, 0.3), ("e", 500, 0.55), ("f", 16, 0.5)]}
+    df = spark.createDataFrame([(k, "x", *r) for k, rows in plays.items() for r in rows], "k string, l string, i long, y double, p double").repartition(5)
+    got = backtest.backtest(df, ["k", "l"], ["i"], cfg, chunk=16).collect()
+    for k, rows in plays.items():
+        own = sorted((x for x in got if x.k == k), key=lambda x: x.seq)
+        want = fold(rows, cfg)
+        assert [x.i for x in own] == [x[0] for x in want] and [x.seq for x in own] == list(range(1, len(want) + 1))
+        assert [x.equity for x in own] == pytest.approx([x[1] for x in want]) and [x.peak for x in own] == pytest.approx([x[2] for x in want])
+        assert [x.drawdown for x in own] == pytest.approx([x[2] - x[1] for x in want], abs=1e-6)
+    assert backtest.backtest(df.limit(0), ["k", "l"], ["i"], cfg).count() == 0
+
+
+def test_backtest_chunks_are_spread_over_tasks(spark):
+    """One key of all rows: no task has more than twice its share."""
+    df = spark.range(40_000).select(F.lit("a").alias("k"), "id", (F.xxhash64("id") % 2 == 0).cast("double").alias("y"), F.lit(0.6).alias("p")).repartition(3)
+    chunks = backtest.chunked(df, ["k"], ["id"], BacktestConfig(), 512)
+    per_task = chunks.groupBy(F.shiftright("chunk", 32)).agg(F.sum(F.size("rows")).alias("n")).collect()
+    assert len(per_task) == 4 and max(x.n for x in per_task) <= 2 * 40_000 / 4
+    order = [x.id for c in chunks.orderBy("chunk").collect() for x in c.rows]
+    assert order == sorted(order) and len(order) == 40_000
+
+
+@pytest.mark.parametrize("kelly", [False, True])
+def test_maps_of_chunks_equal_replays(kelly):
+    rng = np.random.default_rng(3)
+    for _ in range(25):
+        n, cfg = int(rng.integers(1, 300)), BacktestConfig(kelly=kelly, max_position=float(rng.choice([0.5, 2, 10, 50])), kelly_cap=float(rng.choice([0.05, 0.25, 0.9])))
+        y, p = (rng.random(n) < 0.5).astype(float), rng.uniform(0.45, 0.99, n)
+        total, high, trades, top = backtest.summary(y, p, cfg)
+        after = lambda b: backtest.replay(y, p, b, cfg)[3]  # noqa: B023, E731
+        equity = after(max(high, 10) + 1.5)
+        assert len(equity) == trades and (not trades or (equity[-1] == pytest.approx(max(high, 10) + 1.5 + total) and max(equity.max() - max(high, 10) - 1.5, 0) == pytest.approx(top)))
+        if high > backtest.BUST:
+            left, a, c = backtest.pieces(y, p, high, cfg)
+            for b in rng.uniform(10, high, 60):
+                at = np.searchsorted(left, b, "right") - 1
+                assert a[at] * b + c[at] == pytest.approx((after(b) if len(after(b)) else [b])[-1])
+
+
 def test_fills(spark):
     raw = spark.createDataFrame([("1704067200", "A", "0", "2000000", "1000000", "h1"), ("1704067200", "0", "A", "1", "1", "h2"), ("x", "B", "1", "0", "5", "h3"), ("1", None, "0", "1", "1", "h4"), ("1", "A", "0", "zz", "1", "h5")], "timestamp string, makerAssetId string, takerAssetId string, makerAmountFilled string, takerAmountFilled string, transactionHash string")
     lookup = convert.token_lookup(spark.createDataFrame([("1", "A", "B", 1), ("2", "A", "", 2), (None, "C", "D", 3)], "id string, token1 string, token2 string, seq long"), "seq")

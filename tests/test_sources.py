@@ -28,6 +28,46 @@ def test_csv_is_read_by_name(spark, tmp_path):
         readers.read_table(spark, "x", SourceConfig(format="orc"))
 
 
+def test_csv_files_have_headers_of_their_own(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    (folder / "1.csv").write_text("timestamp,market_id,side,price,usd_amount,token_amount\n2024-01-01 00:00:01,1,token1,0.5,100,200\n")
+    (folder / "2.csv").write_text('price,"market_id",usd_amount,extra,timestamp,side,token_amount,price\n0.25,2,50,"x,y",2024-01-01 00:00:02,token2,200,9\n')
+    (folder / "3.csv").write_text("market_id,timestamp,side,price,usd_amount\n3,2024-01-01 00:00:03,token1,0.75,75\n")
+    (folder / "4.csv").write_text("")
+    (folder / "5.csv").write_text("timestamp,market_id,side,price,usd_amount,token_amount\n")
+    cfg = SourceConfig(trades_path=str(folder), format="csv")
+    got = readers.load_trades(spark, cfg).orderBy("market_id").collect()
+    assert [(x.market_id, x.is_yes, x.price, x.usd_amount, x.token_amount, x.timestamp.second) for x in got] == [(1, 1, 0.5, 100.0, 200.0, 1), (2, 0, 0.25, 50.0, 200.0, 2), (3, 1, 0.75, 75.0, None, 3)]
+    raw = readers.read_csv(spark, str(folder)).orderBy("market_id").collect()
+    assert [x.extra for x in raw] == [None, "x,y", None]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "1.csv").write_text("")
+    assert readers.read_csv(spark, str(tmp_path / "none"), "a long").count() == 0
+
+
+def test_sinks_are_clustered(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.range(20_000).select((F.col("id") * 7919 % 50).alias("market_id"), (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("id") * 31 % 14_400).cast("int"))).alias("bucket_time"), F.col("id").alias("v"))
+    df = df.withColumn("day", F.to_date("bucket_time")).repartition(7)
+    readers.write_table(df, str(tmp_path / "out"), partition_by=("day",), files=4)
+    days = sorted((tmp_path / "out").glob("day=*"))
+    assert len(days) == 10
+    for day in days:
+        files = sorted(day.glob("*.parquet"))
+        assert 1 <= len(files) <= 2
+        for file in files:
+            rows = [(x["market_id"], x["bucket_time"]) for x in pq.read_table(file, partitioning=None).to_pylist()]
+            assert rows == sorted(rows)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20_000
+    plain = readers.cached(spark, df.limit(3), str(tmp_path / "copy"))
+    assert plain.count() == 3 and readers.cached(spark, df, str(tmp_path / "copy")).count() == 3
+    (tmp_path / "copy" / "_SUCCESS").unlink()
+    assert readers.cached(spark, df, str(tmp_path / "copy")).count() == 20_000
+    assert readers.cached(spark, df.drop("v"), str(tmp_path / "copy")).columns == ["market_id", "bucket_time", "day"]
+
+
 def test_sinks_copies_and_history(spark, tmp_path):
     df = spark.createDataFrame([(2, T0, 0.5), (1, T0, 0.25), (1, T0 + timedelta(minutes=5), 0.75)], "market_id long, bucket_time timestamp_ntz, mean_price double")
     readers.write_table(df.coalesce(1), str(tmp_path / "out"), "zstd")
@@ -98,6 +138,15 @@ def test_gap_fill_carries_over_nulls_and_drops_what_has_no_place(spark):
     assert [(x.market_id, x.mean_price, x.trade_count, x.yes_ratio, x.is_empty_bucket) for x in got] == [(1, 0.5, 1, 1.0, False), (1, 0.5, 0, 0.5, True), (1, 0.5, 1, 1.0, False), (1, 0.5, 0, 0.5, True), (1, 0.7, 1, 1.0, False), (2, 0.1, 1, 1.0, False)]
 
 
+def test_gap_fill_keeps_repeated_rows_and_drops_rows_off_the_grid(spark):
+    kind = "market_id long, bucket_time timestamp_ntz, trade_count long, whale_count long, total_usd double, total_tokens double, whale_usd double, open_price double, close_price double, high_price double, low_price double, mean_price double, vwap double, momentum double, yes_ratio double"
+    row = lambda m, at, price: (m, T0 + timedelta(minutes=at), 1, 0, 5.0, 1.0, 0.0, *[price] * 7, 1.0)
+    table = [row(1, 0, 0.5), row(1, 5, 0.6), row(1, 5, 0.6), row(1, 20, 0.7), row(2, 1, 0.1), row(2, 4, 0.9), row(2, 8, 0.9), row(2, 13, 0.9), row(2, 14, 0.9), row(2, 16, 0.2), row(2, 24, 0.9), row(3, 0, 0.1), row(3, 7, 0.9), row(3, 12, 0.9)]
+    got = gaps.fill_buckets(spark.createDataFrame(table, kind).repartition(3), 5).orderBy("market_id", "bucket_time").collect()
+    shown = [(x.market_id, (x.bucket_time - T0).seconds // 60, x.mean_price, x.trade_count) for x in got]
+    assert shown == [(1, 0, 0.5, 1), (1, 5, 0.6, 1), (1, 5, 0.6, 1), (1, 10, 0.6, 0), (1, 15, 0.6, 0), (1, 20, 0.7, 1), (2, 1, 0.1, 1), (2, 6, 0.1, 0), (2, 11, 0.1, 0), (2, 16, 0.2, 1), (2, 21, 0.2, 0), (3, 0, 0.1, 1), (3, 5, 0.1, 0), (3, 10, 0.1, 0)]
+
+
 def test_a_model_is_trained_stopped_early_stored_and_scored(spark, tmp_path):
     filled = gaps.apply_gap_exclusions(gaps.flag_long_gaps(gaps.fill_buckets(buckets(spark), 5)))
     df = splits.walk_forward_split(labels.add_labels(features.build_features(filled, market_table(spark), FeatureConfig.low_memory()))).cache()

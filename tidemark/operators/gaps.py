@@ -32,21 +32,30 @@ def gap_rollup(summary: DataFrame) -> DataFrame:
 
 
 def fill_buckets(bucketed: DataFrame, minutes: int = 5, gap: Gap = Gap()) -> DataFrame:
-    """Every bucket between a market's first and last: counts and sums 0, prices carried forward, ratios even."""
+    """Every bucket between a market's first and last: counts and sums 0, prices carried forward, ratios even.
+
+    The grid starts at a market's first row. Of several rows of one time all stay, in any order; rows off the grid
+    go, but the grid reaches as far as the last of them."""
     before = by_market().rowsBetween(Window.unboundedPreceding, 0)
     step, time = F.expr(f"interval {minutes} minutes"), F.col("bucket_time")
     known = bucketed.where("market_id is not null and bucket_time is not null")
+    passed = F.timestamp_diff("MICROSECOND", F.first("bucket_time").over(before), time)
+    known = known.withColumn("__off", F.pmod(passed, F.lit(minutes * 60_000_000)))
+    known = known.withColumns({"__slot": time - F.make_dt_interval(secs=F.col("__off") / F.lit(1e6)), "__on": F.col("__off") == 0})
     # prices are carried over the buckets there are; then each is repeated up to the next one, so there is one scan and one shuffle
-    known = known.withColumns({c: F.last(c, ignorenulls=True).over(before) for c in CARRIED} | {"__next": F.lead("bucket_time").over(by_market())})
-    grid = F.posexplode(F.when(F.col("__next").isNull(), F.array("bucket_time")).otherwise(F.sequence(time, F.col("__next") - step, step)))
-    full = known.select("*", grid.alias("__empty", "__time"))
-    empty = F.col("__empty") > 0
+    carried = {c: F.last(F.when(F.col("__on"), F.col(c)), ignorenulls=True).over(before) for c in CARRIED}
+    known = known.withColumns(carried | {"__next": F.lead("__slot").over(by_market()), "__same": F.coalesce(F.lag("__slot").over(by_market()) == F.col("__slot"), F.lit(False))})
+    slot, following = F.col("__slot"), F.col("__next")
+    own = F.when(F.col("__on") | ~F.col("__same"), F.array(F.struct(slot.alias("time"), (~F.col("__on")).alias("empty")))).otherwise(F.array())
+    ahead = F.when(following > slot + step, F.transform(F.sequence(slot + step, following - step, step), lambda x: F.struct(x.alias("time"), F.lit(True).alias("empty")))).otherwise(F.array())
+    full = known.withColumn("__at", F.explode(F.concat(own, ahead)))
+    empty = F.col("__at.empty")
     columns = {c: F.col(c) for c in bucketed.columns}
     columns |= {c: F.when(empty, F.lit(0).cast("long")).otherwise(F.coalesce(c, F.lit(0).cast("long"))) for c in ("trade_count", "whale_count")}
     columns |= {c: F.when(empty, F.lit(0.0)).otherwise(F.coalesce(c, F.lit(0.0))) for c in ("total_usd", "total_tokens", "whale_usd")}
     columns |= {c: F.when(empty, F.lit(0.5)).otherwise(F.coalesce(c, F.lit(0.5))) for c in ("yes_ratio", "buy_ratio") if c in bucketed.columns}
-    columns |= {"bucket_time": F.col("__time"), "is_empty_bucket": empty | F.col("trade_count").isNull()}
-    columns["in_gap"] = (F.col("__time") >= F.lit(gap.start).cast("timestamp_ntz")) & (F.col("__time") < F.lit(gap.end).cast("timestamp_ntz"))
+    columns |= {"bucket_time": F.col("__at.time"), "is_empty_bucket": empty | F.col("trade_count").isNull()}
+    columns["in_gap"] = (F.col("__at.time") >= F.lit(gap.start).cast("timestamp_ntz")) & (F.col("__at.time") < F.lit(gap.end).cast("timestamp_ntz"))
     return full.select(*(v.alias(k) for k, v in columns.items()))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.config import SourceConfig
 from tidemark.operators.normalize import normalize_markets, normalize_trades
@@ -19,7 +23,7 @@ def read_table(spark: SparkSession, path: str, cfg: SourceConfig, schema: str |
     if cfg.format == "parquet":
         return spark.read.parquet(path)
     if cfg.format == "csv":
-        return _typed(spark.read.option("header", True).csv(path), schema)
+        return read_csv(spark, path, schema)
     if cfg.format == "jdbc":
         reader = spark.read.format("jdbc").option("url", cfg.jdbc_url).option("dbtable", path)
         if cfg.jdbc_partition_column:
@@ -29,10 +33,28 @@ def read_table(spark: SparkSession, path: str, cfg: SourceConfig, schema: str |
     raise ValueError(f"no such format: {cfg.format}")
 
 
-def _typed(raw: DataFrame, schema: str | None) -> DataFrame:
-    """Columns by their names in the header, in whatever order, with the stated types; what can't be read is null."""
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """CSV files with headers, whose columns may differ from file to file in number and order.
+
+    One line a file is read ahead, by a small job of its own; files of one header are one typed scan. A column that a file doesn't have is null,
+    of columns of one name the first counts, what can't be read is null, and files without any line are left out."""
+    files = [unquote(f) for f in spark.read.text(path).inputFiles()]
+    with ThreadPoolExecutor(16) as pool:
+        first = list(pool.map(lambda f: spark.read.text(f).head(1), files))
+    groups: dict[str, list[str]] = {}
+    for file, line in zip(files, first, strict=True):
+        if line and line[0].value.strip():
+            groups.setdefault(line[0].value, []).append(file)
     kinds = {f.name: f.dataType for f in StructType.fromDDL(schema).fields} if schema else {}
-    return raw.select(*(F.col(f"`{c}`").try_cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in raw.columns))
+    scans = []
+    for line, some in sorted(groups.items()):
+        names = [x.strip() for x in next(csv.reader([line.removeprefix("\ufeff")]))]
+        raw = spark.read.schema(StructType([StructField(f"_{i}", StringType()) for i in range(len(names))])).option("header", True).csv(some)
+        place = {name: F.col(f"_{i}") for i, name in reversed(list(enumerate(names)))}
+        scans.append(raw.select(*(place[c].try_cast(kinds[c]).alias(c) if c in kinds else place[c].alias(c) for c in dict.fromkeys(names))))
+    if not scans:
+        return spark.createDataFrame([], StructType([StructField(c, k) for c, k in kinds.items()]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
 def load_trades(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
@@ -43,15 +65,23 @@ def load_markets(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
     return normalize_markets(read_table(spark, cfg.markets_path, cfg, MARKETS_CSV))
 
 
-def write_table(df: DataFrame, path: str, codec: str = "snappy", partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ("market_id", "bucket_time")) -> None:
-    """Parquet, sorted within its partitions so that statistics prune."""
-    keys = [c for c in sort_by if c in df.columns]
-    (df.sortWithinPartitions(*keys) if keys else df).write.mode("overwrite").option("compression", codec).partitionBy(*partition_by).parquet(path)
+def write_table(df: DataFrame, path: str, codec: str = "snappy", partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ("market_id", "bucket_time"), files: int | None = None) -> None:
+    """Parquet, clustered by the partition columns and then ``sort_by``: each task has a range of them, in order, so that a partition has few
+    files and statistics prune. The number of files follows Spark's target size of partitions, or is ``files``."""
+    keys = [*partition_by, *(c for c in sort_by if c in df.columns and c not in partition_by)]
+    if keys:
+        df = df.repartitionByRange(*([files] if files else []), *keys).sortWithinPartitions(*keys)
+    df.write.mode("overwrite").option("compression", codec).partitionBy(*partition_by).parquet(path)
 
 
 def cached(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """A copy at ``path``, written once and used from then on."""
-    df.write.mode("ignore").parquet(path)
+    """A copy at ``path``, written once and used from then on; one that was never finished, or has other columns, is written anew."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        copy = spark.read.parquet(path)
+        if dict(copy.dtypes) == dict(df.dtypes):
+            return copy
+    df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
