@@ -20,14 +20,16 @@ from tidemark.llm import spread, text
 LIMIT = 256
 #: Signatures this similar are tied (far below the threshold of the exact check that follows), ...
 ALIKE = 0.5
-#: ... in a large bucket, to its pivot, from this on ...
+#: ... in a large bucket, to each of its pivots, from this on ...
 NEAR_PIVOT = 0.35
-#: ... and a record leaves a large bucket if it is this similar to the pivot: whatever is within 0.2 of it
-#: is then, with room for the signatures' error, tied to the pivot as well.
+#: ... and a record leaves a large bucket if it is this similar to a pivot: whatever is within 0.2 of it
+#: is then, with room for the signatures' error, tied to that pivot as well.
 SAME = 0.7
 MAX_DEPTH = 4
 #: What is left of a large bucket is cut into blocks of LIMIT / 2 at once if there are so many at most; that loses nothing.
 BLOCKS = 8
+#: Pivots of a large bucket.
+PIVOTS = 4
 #: A child of a large bucket is what agrees in so many bins.
 SPLIT_BINS = 2
 #: Records of a group that are verified in one piece.
@@ -93,14 +95,29 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _compare(bins: int, dtype):
+    """Of each record its likeness to the nearest of its bucket's pivots, and the pivots that are near."""
+
     def est(batches):
         for batch in batches:
-            x, y = text.from_binary(batch.column("sig"), dtype, bins), text.from_binary(batch.column("pivot_sig"), dtype, bins)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("rid"), batch.column("pivot"), pa.array(_alike(x, y))], names=["path", "rid", "pivot", "est"])
+            sig, rid = text.from_binary(batch.column("sig"), dtype, bins), np.asarray(batch.column("rid"))
+            pivot = np.stack([np.asarray(batch.column(f"pivot{k}")) for k in range(PIVOTS)], 1)
+            alike = np.stack([_alike(sig, text.from_binary(batch.column(f"sig{k}"), dtype, bins)) for k in range(PIVOTS)], 1)
+            near = (alike >= NEAR_PIVOT) & (pivot != rid[:, None])
+            ends = np.append(0, np.cumsum(near.sum(1))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("rid"), pa.array(alike.max(1)), pa.ListArray.from_arrays(pa.array(ends), pa.array(pivot[near]))], names=["path", "rid", "est", "near"])
 
     return est
 
 
+def _star(large: DataFrame, sig: DataFrame, bins: int, dtype) -> DataFrame:
+    """(path, rid, est, near) of the records of large buckets, each bucket having PIVOTS pivots: the least rids by as many orders."""
+    picked = large.groupBy("path").agg(*(F.min_by("rid", F.xxhash64("rid", F.lit(k))).alias(f"pivot{k}") for k in range(PIVOTS)))
+    drawn = picked.select("path", F.posexplode(F.array(*(f"pivot{k}" for k in range(PIVOTS)))).alias("k", "pivot")).join(sig, F.col("pivot") == F.col("rid"))
+    own = lambda c, k: F.first(F.when(F.col("k") == k, F.col(c)), ignorenulls=True)
+    signed = drawn.groupBy("path").agg(*(own("pivot", k).alias(f"pivot{k}") for k in range(PIVOTS)), *(own("sig", k).alias(f"sig{k}") for k in range(PIVOTS)))
+    return large.select("path", "rid").join(sig, "rid").join(signed, "path").mapInArrow(_compare(bins, dtype), "path long, rid long, est double, near array<long>")
+
+
 def miss(bins: int, threshold: float, keys: int, rows: int, draws: int, splits: int = MAX_DEPTH - 1) -> float:
     """How often a pair at the threshold shares no compared bucket: none of ``keys`` keys of ``rows`` bins each
     that all lie in buckets which are split ``splits`` times, by ``draws`` draws each time.
@@ -147,25 +164,24 @@ def token(path, i: int, width: int, bins: int = 1):
 def in_buckets(signed: Callable[[DataFrame], DataFrame], buckets: DataFrame, bins: int, dtype, draws: int) -> tuple[DataFrame, DataFrame | None]:
     """(path, rid) of the small buckets in which records meet, each set of records once, and ties (a, b) to the pivots of large ones.
 
-    buckets: (path, rid); signed: gives (rid, sig) of distinct rids. In a large bucket all are compared with its pivot, the
-    least rid; those near are tied to it, and the nearest leave; the rest is cut into blocks, each two of which are a small bucket,
+    buckets: (path, rid); signed: gives (rid, sig) of distinct rids. In a large bucket all are compared with its pivots,
+    PIVOTS records drawn by hash; those near are tied to each, and the nearest leave; the rest is cut into blocks, each two of which are a small bucket,
     or, where that would be many, split again by ``draws`` drawn pairs of bins (``miss`` says what that loses) down to the last depth."""
     split = splitter(bins, np.dtype(dtype).itemsize, draws)
     small, ties, sig, depth = None, None, None, 0
     while True:
         whole = Window.partitionBy("path")
         number = F.try_sum(F.shiftrightunsigned(F.xxhash64("rid"), 24)).over(whole)
-        shared = buckets.select("path", "rid", F.count(F.lit(1)).over(whole).alias("c"), F.min("rid").over(whole).alias("pivot"), F.max("rid").over(whole).alias("other"), number.alias("number")).where("c > 1 and other > pivot")
-        shared = spread.stored(shared.select("path", "rid", "c", "pivot", F.xxhash64("c", "pivot", "other", "number").alias("set")), "buckets")
+        shared = buckets.select("path", "rid", F.count(F.lit(1)).over(whole).alias("c"), F.min("rid").over(whole).alias("least"), F.max("rid").over(whole).alias("other"), number.alias("number")).where("c > 1 and other > least")
+        shared = spread.stored(shared.select("path", "rid", "c", F.xxhash64("c", "least", "other", "number").alias("set")), "buckets")
         found, large = shared.where(F.col("c") <= LIMIT).select(F.col("set").alias("path"), "rid"), shared.where(F.col("c") > LIMIT)
         small = found if small is None else small.union(found)
         if large.isEmpty():
             break
         if sig is None:
             sig = spread.stored(signed(large.select("rid").distinct()), "signatures")
-        star = large.join(sig, "rid").join(sig.select(F.col("rid").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-        star = spread.stored(star.mapInArrow(_compare(bins, dtype), "path long, rid long, pivot long, est double"), "star")
-        near = star.where((F.col("est") >= NEAR_PIVOT) & (F.col("rid") != F.col("pivot"))).select(F.col("rid").alias("a"), F.col("pivot").alias("b"))
+        star = spread.stored(_star(large, sig, bins, dtype), "star")
+        near = star.select(F.col("rid").alias("a"), F.explode("near").alias("b"))
         ties = near if ties is None else ties.union(near)
         rest = star.where(F.col("est") < SAME).select("path", "rid", F.count(F.lit(1)).over(whole).alias("n"))
         depth += 1
