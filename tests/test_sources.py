@@ -166,15 +166,110 @@ def test_a_model_is_trained_stopped_early_stored_and_scored(spark, tmp_path):
     assert fitted.stages[-1].getNumTrees <= 8
 
 
-def test_scored_stream_equals_the_batch_decision(spark, tmp_path):
-    table, markets = buckets(spark, 2, 60), market_table(spark, 2)
-    table.write.parquet(str(tmp_path / "in"))
-    score = lambda df: df.withColumn("p", sigmoid(F.col("price_change_lag1") * 20))
-    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
-    live.score_stream(stream, spark, str(tmp_path / "store"), str(tmp_path / "out"), str(tmp_path / "cp"), markets, score, 0.5).awaitTermination()
-    got = {(x.market_id, x.bucket_time, x.signal) for x in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {(x.market_id, x.bucket_time, x.signal) for x in live.latest_signal(table, markets, score, 0.5).collect()}
-    assert got == want and len(got) == 2
+def test_scored_stream_goes_on_after_a_failed_batch(spark, tmp_path):
+    """Three micro-batches, the second of which fails once: each gives its signals once, as the batch decision on all that came so far."""
+    table, markets = buckets(spark, 3, 150).cache(), market_table(spark, 3)
+    cuts = [T0 + timedelta(minutes=5 * n) for n in (0, 60, 90, 150)]
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = table.where((F.col("bucket_time") >= F.lit(a).cast("timestamp_ntz")) & (F.col("bucket_time") < F.lit(b).cast("timestamp_ntz")))
+        part = part.where("market_id < 2") if n == 1 else part  # the third market is not touched
+        part.coalesce(1).write.parquet(str(tmp_path / f"parts{n}"))
+    (tmp_path / "in").mkdir()
+    failed = []
+
+    def score(df):
+        if len(list((tmp_path / "in").glob("*"))) == 2 and not failed:
+            failed.append(1)
+            raise RuntimeError("once")
+        return df.withColumn("p", sigmoid(F.col("price_change_lag1") * 20))
+
+    def run():
+        stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        live.score_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), markets, score, 0.5).awaitTermination()
+
+    seen = []
+    for n in range(3):
+        file = next((tmp_path / f"parts{n}").glob("*.parquet"))
+        file.rename(tmp_path / "in" / f"{n}.parquet")
+        if n == 1:
+            with pytest.raises(Exception, match="once"):
+                run()
+        run()
+        arrived = table.where(F.col("bucket_time") < F.lit(cuts[n + 1]).cast("timestamp_ntz"))
+        arrived = arrived.where(~((F.col("market_id") == 2) & F.col("bucket_time").between(F.lit(cuts[1]).cast("timestamp_ntz"), F.lit(cuts[2] - timedelta(minutes=1)).cast("timestamp_ntz"))))
+        touched = {0, 1} if n == 1 else {0, 1, 2}
+        want = {(x.market_id, x.bucket_time, x.signal, round(x.p, 9)) for x in live.latest_signal(arrived, markets, lambda df: df.withColumn("p", sigmoid(F.col("price_change_lag1") * 20)), 0.5).collect() if x.market_id in touched}
+        rows = spark.read.parquet(str(tmp_path / "out")).where(F.col("batch") > max(seen, default=-1)).collect()  # batches without data come between
+        got = [(x.market_id, x.bucket_time, x.signal, round(x.p, 9)) for x in rows]
+        seen += [x.batch for x in rows]
+        assert set(got) == want and len(got) == len(want)
+    assert failed and spark.read.parquet(str(tmp_path / "out")).count() == len(seen) == 8
+    table.unpersist()
+
+
+def test_state_keeps_the_last_buckets_only(spark, tmp_path):
+    table = buckets(spark, 2, 200)
+    (tmp_path / "in").mkdir()
+    table.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "in" / "0.parquet")
+    again = table.where("market_id = 1").orderBy(F.desc("bucket_time")).limit(1).withColumn("mean_price", F.lit(0.123))
+    stream = lambda: spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = []
+    keep = lambda df, n: got.append([(x.market_id, x.bucket_time, x.mean_price, x.trade_count) for x in df.collect()])
+    start = lambda: live.rings(stream(), 10, 5).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    start()
+    again.coalesce(1).write.parquet(str(tmp_path / "more"))
+    next((tmp_path / "more").glob("*.parquet")).rename(tmp_path / "in" / "1.parquet")
+    start()
+    first, second = [x for x in got if x]
+    newest = max(x[1] for x in first)
+    want = [(x.market_id, x.bucket_time, x.mean_price, x.trade_count) for x in table.collect() if x.bucket_time > newest - timedelta(minutes=50)]
+    assert sorted(first) == sorted(want)
+    assert sorted(second) == sorted((m, t, 0.123 if t == newest else p, c) for m, t, p, c in want if m == 1)
+
+
+def trade_lines(n, start=1704067200, step=40, tag="h"):
+    return [f'{{"timestamp": {start + step * i}, "price": "0.{i % 9 + 1}", "size": "10", "outcome": "YES", "token_id": "t{i % 2}", "hash": "{tag}{i}"}}' for i in range(n)]
+
+
+def test_closed_buckets_of_a_stream_equal_the_batch(spark, tmp_path):
+    """Four files in order of time, the third with a repeat within the watermark and a trade that is far too late."""
+    lines = trade_lines(400)
+    (tmp_path / "in").mkdir()
+    for n in range(4):
+        some = lines[100 * n : 100 * n + 100] + ([lines[195], '{"timestamp": 1704067205, "price": "0.9", "size": "10", "token_id": "t1", "hash": "late"}'] if n == 2 else [])
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(some))
+        __import__("os").utime(tmp_path / "in" / f"{n}.json", (1700000000 + n, 1700000000 + n))
+    query = live.bucket_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), files_per_batch=1)
+    query.awaitTermination()
+    states = [[s["numRowsTotal"] for s in p["stateOperators"]] for p in query.recentProgress]
+    assert sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]) >= 1
+    assert max(s[0] for s in states) <= 40  # buckets that are open, of 107 that there were
+    got = {(x.token_id, x.bucket_time): (x.trade_count, x.open_price, x.close_price, round(x.vwap, 9)) for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    trades = live.parse_trades(spark.createDataFrame([(x,) for x in lines], "value string"))
+    rows = trades.withColumn("event_time", F.timestamp_seconds("timestamp"))
+    want = {(x.token_id, x.bucket_time): (x.trade_count, x.open_price, x.close_price, round(x.vwap, 9)) for x in live.stream_buckets(rows, tiebreak="tx_hash").collect()}
+    closed = datetime(2024, 1, 1) + timedelta(seconds=399 * 40 - 600)
+    assert got == {k: v for k, v in want.items() if k[1] + timedelta(minutes=5) <= closed} and len(got) > 80
+
+
+def test_compaction_drops_rewrites_and_leaves_dates(spark, tmp_path):
+    for n, lines in enumerate([*(trade_lines(40, 1704067200 + 7 * n, 7200, f"h{n}-") for n in range(3)), trade_lines(3, 1704067200 + 86400 * 5, 60, "new")]):  # as micro-batches write them
+        trades = live.parse_trades(spark.createDataFrame([(x,) for x in lines], "value string")).coalesce(1)
+        trades.withColumns({"date": F.to_date(F.timestamp_seconds("timestamp")), "batch": F.lit(n)}).write.mode("append").partitionBy("date", "batch").parquet(str(tmp_path / "out"))
+    store, now = str(tmp_path / "out"), datetime(2024, 1, 6, 6)
+    before = spark.read.parquet(store)
+    dates = lambda: {x.name: sorted((y.name, y.stat().st_mtime_ns) for y in x.rglob("*.parquet")) for x in (tmp_path / "out").glob("date=*")}
+    kept = {tuple(x) for x in live.prune(before, 3, now).select(*live.STORE).collect()}
+    rows, files = before.count(), dates()
+    assert rows == 123 and len(files) == 5 and len(files["date=2024-01-03"]) == 3 and len(files["date=2024-01-06"]) == 1
+    assert live.compact(spark, store, 3, now) == {"dropped": 2, "rewritten": 2}
+    after = dates()
+    assert set(after) == {"date=2024-01-03", "date=2024-01-04", "date=2024-01-06"} and all(len(x) == 1 for x in after.values())
+    assert after["date=2024-01-06"] == files["date=2024-01-06"]  # untouched
+    got = [tuple(x) for x in spark.read.parquet(store).select(*live.STORE).collect()]
+    assert set(got) == kept and len(got) == len(kept)
+    assert live.compact(spark, store, 3, now)["dropped"] == 0 and spark.read.parquet(store).count() == len(kept)
 
 
 def test_stages_may_be_kept(spark, tmp_path):

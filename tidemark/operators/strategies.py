@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import BacktestConfig
+from tidemark.config import BacktestConfig, FeatureConfig
 from tidemark.functions.numeric import clip, finite, finite_or, sigmoid
+from tidemark.functions.shared import stored
 
 
 def _yes() -> Column:
@@ -74,6 +75,8 @@ def contrarian(df: DataFrame, side: float = 0.65, price: float = 0.65) -> DataFr
     return _played(df, F.lit(0.5) + F.lit(0.5) * strength, fires, against=True)
 
 
+#: What the strategies look at first, of all lags and windows.
+FEATURES = FeatureConfig(lags=(3,), windows=(24,), cross_features=False)
 STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {"baseline": baseline, "random": random, "momentum": momentum, "reversion": reversion, "volume": volume, "closing": closing, "contrarian": contrarian}
 
 
@@ -104,7 +107,7 @@ def strategy_benchmark(df: DataFrame, cfg: BacktestConfig = BacktestConfig()) ->
     """One row per strategy: coverage, status, metrics and backtest."""
     from tidemark.operators import backtest, metrics
 
-    long = long_form(test_period(df))
+    long = stored(long_form(test_period(df)), "played")  # all parts read these few columns instead of making the features anew
     valid = long.where(finite("p") & finite("y")).withColumn("p", clip("p", 1e-7, 1 - 1e-7))
     state = valid.groupBy("strategy").agg(F.when(F.count(F.lit(1)) < 10, "too few rows").when(F.min("y") == F.max("y"), "one class").otherwise("ok").alias("status"))
     parts = [

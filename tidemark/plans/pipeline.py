@@ -61,5 +61,5 @@ def stages(spark: SparkSession, sf: str, keep: str | None = None) -> dict[str, D
     return out
 
 
-def split(spark: SparkSession, sf: str, cfg: SplitConfig = SplitConfig()) -> DataFrame:
-    return splits.walk_forward_split(dataset(spark, sf), cfg)
+def split(spark: SparkSession, sf: str, cfg: SplitConfig = SplitConfig(), wanted: FeatureConfig = FeatureConfig()) -> DataFrame:
+    return splits.walk_forward_split(dataset(spark, sf, wanted), cfg)

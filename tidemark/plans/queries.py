@@ -180,7 +180,7 @@ def time_chunks(spark, sf):
 
 
 def _played(spark, sf):
-    return plan.dataset(spark, sf).where("win is not null")
+    return plan.dataset(spark, sf, strategies.FEATURES).where("win is not null")
 
 
 def aligned_features(spark, sf):
@@ -278,7 +278,7 @@ def threshold_sweep(spark, sf):
 
 
 def strategy_benchmark(spark, sf):
-    df = strategies.strategy_benchmark(plan.split(spark, sf))
+    df = strategies.strategy_benchmark(plan.split(spark, sf, wanted=strategies.FEATURES))
     return tidy(df.select("strategy", "coverage", "status", "n", "auc", "brier", "trades", "total_pnl"))
 
 

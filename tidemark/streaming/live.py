@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from tidemark.config import BucketConfig, FeatureConfig
 from tidemark.functions.numeric import number, parsed_time
+from tidemark.functions.shared import stored
 from tidemark.operators.buckets import bucket_columns, finish
 from tidemark.operators.features import build_features
 from tidemark.operators.gaps import fill_buckets
 
 RECORD = "timestamp string, created_at string, time string, price string, size string, amount string, outcome string, token_id string, transaction_hash string, transactionHash string, hash string"
+#: The batch number of what a compaction has merged.
+MERGED = -1
 STORE = ("token_id", "timestamp", "price", "usd_amount", "token_amount", "is_yes", "tx_hash")
 
 
@@ -64,18 +74,63 @@ def prune(store: DataFrame, keep_days: int, now: datetime) -> DataFrame:
 
 def trade_stream(spark: SparkSession, path: str, token: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Deduplicated trades from landed JSON lines, with event_time and a watermark."""
-    lines = spark.readStream.text(path)
-    trades = parse_trades(lines, token).withColumn("event_time", F.timestamp_seconds("timestamp"))
-    return trades.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["token_id", "tx_hash"])
+    return watched(parse_trades(spark.readStream.text(path), token), late)
+
+
+def watched(trades: DataFrame, late: str) -> DataFrame:
+    """A stream's trades with event_time, a watermark and no repeats within it."""
+    timed = trades.withColumn("event_time", F.timestamp_seconds("timestamp"))
+    return timed.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["token_id", "tx_hash"])
 
 
 def ingest_stream(spark: SparkSession, path: str, sink: str, checkpoint: str, token: str | None = None, trigger: str | None = None) -> StreamingQuery:
-    """Appends new trades to a store that is partitioned by date; without a trigger interval it stops when all is read."""
+    """Appends new trades to a store that is partitioned by date and micro-batch, so that a batch that is replayed replaces what
+    it wrote before. Without a trigger interval it stops when all is read."""
     rows = trade_stream(spark, path, token).withColumn("date", F.to_date("event_time"))
-    writer = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).partitionBy("date").outputMode("append")
+
+    def append(df: DataFrame, number_: int) -> None:
+        df.withColumn("batch", F.lit(number_)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(sink)
+
+    writer = rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
 
 
+def compact(spark: SparkSession, store: str, keep_days: int, now: datetime, most_files: int = 1) -> dict[str, int]:
+    """Retention and merging of small files in a store that ``ingest_stream`` wrote; how many dates were dropped and rewritten.
+
+    Dates before the last ``keep_days`` are dropped whole; the date on the edge, and dates of more than ``most_files`` files, are rewritten, clustered by
+    token and time, with one row of each trade; all others are left as they are. No batch may be written meanwhile. If it is interrupted,
+    trades of a date may stand twice until the next compaction; ``dedup_trades`` reads over that."""
+    edge = (now - timedelta(days=keep_days)).date()
+    files: dict[str, int] = {}
+    for name in spark.read.parquet(store).inputFiles():
+        date = re.search(r"/date=([^/]+)/", name).group(1)
+        files[date] = files.get(date, 0) + 1
+    old = sorted(d for d in files if d < edge.isoformat())
+    changed = sorted(d for d, n in files.items() if d not in old and (n > most_files or d == edge.isoformat()))
+    if changed:
+        rows = prune(spark.read.parquet(store).where(F.col("date").cast("string").isin(changed)), keep_days, now)
+        rows = stored(dedup_trades(rows).withColumn("batch", F.lit(MERGED)), "compacted")
+        by = ("date", "token_id", "timestamp", "tx_hash")
+        clustered = rows.repartitionByRange(*by).sortWithinPartitions("date", "batch", *by[1:])
+        clustered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(store)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for date in [*old, *changed]:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{store}/date={date}")
+        system = folder.getFileSystem(conf)
+        for part in [folder] if date in old else [x.getPath() for x in system.listStatus(folder) if x.getPath().getName() != f"batch={MERGED}"]:
+            system.delete(part, True)
+    return {"dropped": len(old), "rewritten": len(changed)}
+
+
+def bucket_stream(spark: SparkSession, path: str, sink: str, checkpoint: str, cfg: BucketConfig = BucketConfig(), token: str | None = None, late: str = "10 minutes", files_per_batch: int | None = None) -> StreamingQuery:
+    """Buckets from landed JSON lines in one append query: parsed, deduplicated within the watermark, aggregated by window. A bucket is written
+    once, when the watermark (the latest trade less ``late``) has passed its end, and its state goes; trades that come after that are dropped."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else spark.readStream
+    out = stream_buckets(watched(parse_trades(reader.text(path), token), late), cfg, tiebreak="tx_hash")
+    return out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def stream_buckets(stream: DataFrame, cfg: BucketConfig = BucketConfig(), key: str = "token_id", time: str = "event_time", tiebreak: str | None = None) -> DataFrame:
     """The batch path's buckets over a stream, whose time column is a timestamp with a watermark."""
     rows = stream.withColumn("timestamp", F.col(time))
@@ -103,13 +158,50 @@ def latest_signal(buckets: DataFrame, markets: DataFrame, score: Callable[[DataF
     return decide(score(latest_rows(build_features(filled, markets, cfg))), threshold)
 
 
-def score_stream(stream: DataFrame, spark: SparkSession, store: str, sink: str, checkpoint: str, markets: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float, minutes: int = 5) -> StreamingQuery:
-    """Per micro-batch of bucketed trades (market_id, bucket_time, ...): appends them to the store and writes signals of the markets it touched."""
+def rings(stream: DataFrame, last: int = 60, minutes: int = 5, ttl: timedelta = timedelta(days=1)) -> DataFrame:
+    """Per micro-batch the last buckets of each market that it touched, from state: a ring of the buckets within ``last`` of the newest.
+
+    A bucket that comes again replaces the one of its time. A market is forgotten when the watermark, ``ttl`` behind the latest bucket of all, has passed
+    its own latest one by as much; buckets that are older than the watermark are dropped."""
+    schema = to_arrow_schema(StructType([f for f in stream.schema if f.name != "market_id"]))
+    span, keep = timedelta(minutes=last * minutes), int(ttl.total_seconds() * 1000)
+
+    def turn(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = [pa.Table.from_pandas(f[schema.names], schema, preserve_index=False) for f in frames]
+        if state.exists:
+            parts.insert(0, pa.ipc.open_stream(bytes(state.get[0])).read_all())
+        table = pa.concat_tables(parts)
+        time = np.asarray(table.column("bucket_time").cast("timestamp[us]"))
+        order = np.argsort(time, kind="stable")
+        newest = np.append(time[order][1:] != time[order][:-1], True)  # of equal times the one that came last
+        kept = order[newest & (time[order] > time.max() - np.timedelta64(span))]
+        table = table.take(pa.array(kept))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, schema) as writer:
+            writer.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+        state.setTimeoutTimestamp(int(time.max().astype("datetime64[ms]").astype(np.int64)) + keep)
+        out = table.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int8(): pd.Int8Dtype(), pa.int32(): pd.Int32Dtype()}.get)
+        out.insert(0, "market_id", key[0])
+        yield out
+
+    out = StructType([stream.schema["market_id"], *(f for f in stream.schema if f.name != "market_id")])
+    known = stream.where("market_id is not null and bucket_time is not null").withColumn("__at", F.col("bucket_time").cast("timestamp"))
+    known = known.withWatermark("__at", f"{int(ttl.total_seconds())} seconds")
+    return known.groupBy("market_id").applyInPandasWithState(turn, out, "ring binary", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def score_stream(stream: DataFrame, sink: str, checkpoint: str, markets: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float, minutes: int = 5, last: int = 60, ttl: timedelta = timedelta(days=1)) -> StreamingQuery:
+    """Per micro-batch of buckets (market_id, bucket_time, ...) the signals of the markets it touched, from their last buckets, which are kept as state.
+
+    Signals go to a folder of the batch in ``sink`` (column ``batch``), which a replay of the batch writes anew: after a failure
+    the stream goes on where it stopped, and each batch gives its signals once."""
 
     def batch(df: DataFrame, number_: int) -> None:
-        df.write.mode("append").parquet(store)
-        touched = df.select("market_id").distinct()
-        history = spark.read.parquet(store).join(touched, "market_id", "left_semi")
-        latest_signal(history, markets, score, threshold, minutes=minutes).write.mode("append").parquet(sink)
+        latest_signal(df, markets, score, threshold, minutes=minutes, last=last).write.mode("overwrite").parquet(f"{sink}/batch={number_}")
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    ring = rings(stream, last, minutes, ttl)
+    return ring.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
