@@ -27,7 +27,7 @@ NEAR_PIVOT = 0.35
 SAME = 0.7
 MAX_DEPTH = 4
 #: What is left of a large bucket is cut into blocks of LIMIT / 2 at once if there are so many at most; that loses nothing.
-BLOCKS = 8
+BLOCKS = 16
 #: Pivots of a large bucket.
 PIVOTS = 4
 #: A child of a large bucket is what agrees in so many bins.
@@ -111,11 +111,10 @@ def _compare(bins: int, dtype):
 
 def _star(large: DataFrame, sig: DataFrame, bins: int, dtype) -> DataFrame:
     """(path, rid, est, near) of the records of large buckets, each bucket having PIVOTS pivots: the least rids by as many orders."""
-    picked = large.groupBy("path").agg(*(F.min_by("rid", F.xxhash64("rid", F.lit(k))).alias(f"pivot{k}") for k in range(PIVOTS)))
-    drawn = picked.select("path", F.posexplode(F.array(*(f"pivot{k}" for k in range(PIVOTS)))).alias("k", "pivot")).join(sig, F.col("pivot") == F.col("rid"))
-    own = lambda c, k: F.first(F.when(F.col("k") == k, F.col(c)), ignorenulls=True)
-    signed = drawn.groupBy("path").agg(*(own("pivot", k).alias(f"pivot{k}") for k in range(PIVOTS)), *(own("sig", k).alias(f"sig{k}") for k in range(PIVOTS)))
-    return large.select("path", "rid").join(sig, "rid").join(signed, "path").mapInArrow(_compare(bins, dtype), "path long, rid long, est double, near array<long>")
+    rows = large.select("path", "rid").join(sig, "rid")
+    picked = rows.groupBy("path").agg(*(F.min_by(F.struct("rid", "sig"), F.xxhash64("rid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
+    picked = picked.select("path", *(F.col(f"p{k}.rid").alias(f"pivot{k}") for k in range(PIVOTS)), *(F.col(f"p{k}.sig").alias(f"sig{k}") for k in range(PIVOTS)))
+    return rows.join(picked, "path").mapInArrow(_compare(bins, dtype), "path long, rid long, est double, near array<long>")
 
 
 def miss(bins: int, threshold: float, keys: int, rows: int, draws: int, splits: int = MAX_DEPTH - 1) -> float:
