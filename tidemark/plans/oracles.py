@@ -217,3 +217,7 @@ ORACLES["latest_signal"] = q(
     [TRADES, BUCKETS, _RECENT, FILLED.replace("buckets", "recent"), "flagged AS (SELECT * FROM filled)", LAG, RETURNS, f"ranked AS (SELECT *, CASE WHEN {_FIRES} THEN {_SCORE} ELSE 0.5::DOUBLE END AS p, row_number() OVER (PARTITION BY market_id ORDER BY bucket_time DESC) AS n FROM returned)"],
     "SELECT market_id, bucket_time, round(yes_ratio, 6) AS yes_ratio, round(p, 6) AS p, CASE WHEN p >= 0.55::DOUBLE THEN CASE WHEN yes_ratio > 0.5::DOUBLE THEN 'BID YES' ELSE 'BID NO' END ELSE 'NO BID' END AS signal FROM ranked WHERE n = 1",
 )
+CLOSED = """fresh AS (SELECT market_id::VARCHAR AS token_id, s, price, tokens, price * tokens AS usd, CASE event_id % 3 WHEN 1 THEN 0 ELSE 1 END AS is_yes, time_bucket(INTERVAL '60 minutes', make_timestamp(s * 1000000)) AS bucket_time FROM records WHERE copy = 1 AND (event_id % 3 <> 2 OR event_id % 5 > 0) AND tokens <> 0),
+closed AS (SELECT token_id, bucket_time, count(*) AS trade_count, sum(usd) AS total_usd, sum(tokens) AS total_tokens, max(price) AS high_price, min(price) AS low_price, avg(price) AS mean_price, avg(is_yes::DOUBLE) AS yes_ratio, count(*) FILTER (usd > 1000) AS whale_count, sum(price * usd) / sum(usd) AS vwap
+  FROM fresh WHERE bucket_time + INTERVAL '60 minutes' <= (SELECT make_timestamp(max(s) * 1000000) FROM fresh) - INTERVAL '1 hour' GROUP BY ALL)"""
+ORACLES["live_buckets"] = q([TRADES, RECORDS, CLOSED], f"SELECT token_id, bucket_time, {r('trade_count', 'total_usd', 'total_tokens', 'high_price', 'low_price', 'mean_price', 'yes_ratio', 'whale_count', 'vwap')} FROM closed")

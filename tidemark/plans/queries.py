@@ -337,6 +337,14 @@ def retention(spark, sf):
     return live.prune(store, 7, now).groupBy("token_id").agg(F.count(F.lit(1)).alias("trades"), F.max("timestamp").alias("latest"))
 
 
+def live_buckets(spark, sf):
+    """Hourly buckets of the records from one append query: parsed, deduplicated and aggregated on the stream; those that the watermark has closed."""
+    path, sink, checkpoint = (shared_path(spark, name) for name in ("lines", "closed", "closed-checkpoint"))
+    _records(spark, sf).write.text(path)
+    live.bucket_stream(spark, path, sink, checkpoint, BucketConfig(minutes=plan.MINUTES), late="1 hour").awaitTermination()
+    return tidy(spark.read.parquet(sink).select("token_id", "bucket_time", "trade_count", "total_usd", "total_tokens", "high_price", "low_price", "mean_price", "yes_ratio", "whale_count", "vwap"))
+
+
 def run_history(spark, sf):
     """A run record for each day of events, appended as JSON, read back, the last five of each type."""
     day = F.to_date("timestamp")
@@ -393,7 +401,7 @@ QUERIES = {
     for f in (
         normalize_trades, normalize_markets, fills_etl, fills_counts, token_lookup_join, bucket_ohlcv, bucket_whales, gap_summary, gap_rollup, gap_fill, long_gap_edge, long_gap_run, exclusions, lag_features, price_returns,
         market_features, cross_features, time_features, feature_matrix, labels_, label_stats, low_memory_features, aligned_features, time_range, lookback, csv_round_trip, stage_sink, convert_markets, token_history, latest_trades, newer_trades, walk_forward_split, split_summary, holdout_split, time_chunks, strategy_coverage, metrics_confusion, metrics_logloss_brier, metrics_auc,
-        calibration, backtest_equity, backtest_summary, threshold_sweep, strategy_benchmark, latest_signal, json_trade_parse, dedup_trades, retention, run_history, strategy_roi, model_train_score, feature_importance, stream_buckets,
+        calibration, backtest_equity, backtest_summary, threshold_sweep, strategy_benchmark, latest_signal, json_trade_parse, dedup_trades, retention, live_buckets, run_history, strategy_roi, model_train_score, feature_importance, stream_buckets,
     )
 }
 QUERIES |= {"rolling_mean": _rolling("price_ma", "trade_count_ma", "momentum_ma"), "rolling_std": _rolling("price_std"), "rolling_sum": _rolling("volume_sum"), "price_vs_ma": _rolling("price_vs_ma")}
