@@ -79,6 +79,20 @@ def test_walk_forward_split_is_ordered(spark):
     assert [k for k, _ in __import__("itertools").groupby(x.split for x in got if x.split)] == ["train", "validation", "test"]
 
 
+def test_positions_over_days_equal_one_order(spark):
+    df = spark.range(3000).select((F.col("id") % 7).alias("market_id"), (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(hours=((F.col("id") * 37) % 500).cast("int"))).alias("bucket_time")).distinct()
+    got = [x.position for x in splits.positions(df).orderBy("bucket_time", "market_id").collect()]
+    assert got == list(range(len(got))) and len(got) > 2000
+    plan = splits.positions(df)._jdf.queryExecution().optimizedPlan().toString()
+    single = [line for line in plan.splitlines() if "Window" in line and "__day" in line and "__base" not in line and "__total" in line]
+    assert single  # the one window without a key is over totals of days
+
+
+def test_auc_ties_only_equal_scores_unless_asked(spark):
+    df = spark.createDataFrame([("a", 1.0, 0.3 + 1e-14), ("a", 0.0, 0.3)], "k string, y double, p double")
+    assert metrics.roc_auc(df, ["k"]).first().auc == 1.0 and metrics.roc_auc(df, ["k"], 12).first().auc == 0.5
+
+
 def test_auc_gives_half_for_ties_and_calibration_edges(spark):
     df = spark.createDataFrame([("a", 1.0, 0.3), ("a", 0.0, 0.3), ("a", 1.0, 1.0), ("a", 0.0, 0.0)], "k string, y double, p double")
     assert metrics.roc_auc(df, ["k"]).first().auc == pytest.approx((0.5 + 1 + 1 + 1) / 4)

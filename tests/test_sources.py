@@ -1,11 +1,14 @@
+import math
+import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.config import FeatureConfig, ModelConfig, SourceConfig
+from tidemark.config import ChunkConfig, FeatureConfig, ModelConfig, SourceConfig
 from tidemark.functions.numeric import sigmoid
-from tidemark.operators import features, gaps, labels, model, normalize, splits
+from tidemark.operators import chunks, features, gaps, labels, model, normalize, splits
 from tidemark.plans import pipeline
 from tidemark.sources import convert, readers, runlog
 from tidemark.streaming import live
@@ -89,6 +92,8 @@ def test_run_log_may_be_missing_or_broken(spark, tmp_path):
     (tmp_path / "log").mkdir()
     (tmp_path / "log" / "a.json").write_text('{"type": "model", "ts": "1"}\nbroken\n{"type": "model", "ts": "2"}\n')
     assert [x.ts for x in runlog.run_history(runlog.read_log(spark, str(tmp_path / "log")), 1).collect()] == ["2"]
+    (tmp_path / "log" / "b.json").write_text('{"type": "model", "ts": "2", "trades": 9}\n{"type": "model", "ts": "2", "trades": 8}\n')
+    assert [x.trades for x in runlog.run_history(runlog.read_log(spark, str(tmp_path / "log")).where("trades is not null"), 1).collect()] == [8]
 
 
 def test_markets_from_strings(spark):
@@ -166,6 +171,106 @@ def test_a_model_is_trained_stopped_early_stored_and_scored(spark, tmp_path):
     assert fitted.stages[-1].getNumTrees <= 8
 
 
+def played(spark, n=900, noise=0.3):
+    """Rows whose win follows x, but for noise; y has holes exactly where the win is turned."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(n):
+        x, gone = rng.random(), i % 3 == 0
+        win = int(x > 0.5) if rng.random() > noise else rng.randint(0, 1)
+        rows.append((x, [None, math.nan, math.inf][i // 3 % 3] if gone else model.MISSING + rng.uniform(-4, 4), 1 - win if gone else win, "train" if i < n * 0.6 else "validation" if i < n * 0.8 else "test"))
+    return spark.createDataFrame(rows, "x double, y double, win int, split string").cache()
+
+
+def test_best_iteration_waits_for_its_patience():
+    losses = [5.0, 4.0, 4.5, 4.2, 3.0, 3.5, 3.1, 3.2, 2.0]
+    assert model.best_iteration(losses, 3) == (4, True)
+    assert model.best_iteration(losses, 2) == (1, True)
+    assert model.best_iteration(losses, 5) == (8, False)
+    assert model.best_iteration([1.0, 1.0, 1.0], 2) == (0, True)
+
+
+def test_training_stops_by_patience_and_keeps_the_best_trees(spark, tmp_path, monkeypatch):
+    df = played(spark, noise=0.5)
+    kind = {"depth": 2, "min_leaf": 5, "learning_rate": 0.1}
+    fitted = model.train(df, ["x", "y"], ModelConfig(max_trees=32, patience=3, **kind))
+    kept = fitted.stages[-1].getNumTrees
+    with monkeypatch.context() as m:
+        m.setattr(model, "first_trees", lambda fitted, n: fitted)  # nothing is cut off
+        every = model.curve(model.train(df, ["x", "y"], ModelConfig(max_trees=32, patience=32, **kind)), df)
+    assert len(every) == 32 and kept - 1 == model.best_iteration(every, 3)[0] and 1 < kept < 24  # it was found with 24 trees
+    assert every[kept - 1] == min(every[: kept + 3]) and every[kept - 1] > min(every)
+    assert model.curve(fitted, df) == pytest.approx(every[:kept])
+    model.save(fitted, str(tmp_path / "m"))
+    again = model.load(str(tmp_path / "m"))
+    assert again.stages[-1].getNumTrees == kept
+    assert [x.p for x in model.score(again, df).orderBy("x").collect()] == [x.p for x in model.score(fitted, df).orderBy("x").collect()]
+
+
+def test_missing_values_split_off_from_small_ones(spark, tmp_path):
+    df = played(spark)
+    fitted = model.train(df, ["x", "y"], ModelConfig(max_trees=12, patience=12, depth=3, min_leaf=5, column_share="all"))
+    gains = {x.feature: x.gain for x in model.importance(fitted, df).collect()}
+    assert set(gains) == {"x", "y", "y_missing"} and gains["y_missing"] > gains["y"]  # x has no holes, and so no indicator
+    model.save(fitted, str(tmp_path / "m"))
+    again = model.load(str(tmp_path / "m"))
+    p = {}
+    for name, value in {"null": None, "nan": math.nan, "inf": math.inf, "less": -math.inf, "small": -1e9, "sentinel": model.MISSING}.items():
+        p[name] = model.score(again, spark.createDataFrame([(0.9, value)], "x double, y double")).first().p
+    assert p["null"] == p["nan"] == p["inf"] == p["less"] < 0.5 < min(p["small"], p["sentinel"])
+    assert model.score(again, spark.createDataFrame([(0.9,)], "x double")).first().p == p["null"]
+
+
+def test_training_without_validation_rows_keeps_all_trees(spark):
+    fitted = model.train(played(spark).where("split <> 'validation'"), ["x"], ModelConfig(max_trees=4, depth=2, min_leaf=5))
+    assert fitted.stages[-1].getNumTrees == 4
+
+
+def test_chunks_of_features_equal_the_whole(spark, tmp_path):
+    grid = gaps.fill_buckets(buckets(spark), 5).withColumns({"in_long_gap": F.lit(False), "exclude_from_training": F.lit(False)}).cache()
+    cfg, path = ChunkConfig(days=1, origin=T0 - timedelta(hours=17)), str(tmp_path / "f")
+    cfg = ChunkConfig(days=1, origin=cfg.origin, context=60)
+    table = market_table(spark)
+    early = grid.where(F.col("bucket_time") < T0 + timedelta(hours=9))
+    assert chunks.build_chunks(early, table, path, cfg) == [0, 1]  # the second one is cut off
+    assert chunks.build_chunks(grid, table, path, cfg) == [1]
+    assert chunks.build_chunks(grid, table, path, cfg) == [1] and chunks.known_chunks(grid, path) == [0, 1]
+    whole = features.build_features(grid, table)
+    got = spark.read.parquet(path)
+    assert got.groupBy("chunk_id").count().count() == 2 and grid.count() == got.count()
+    got = got.select(*whole.columns)
+    assert got.exceptAll(whole).count() == 0 and whole.exceptAll(got).count() == 0
+
+
+def test_a_chunk_is_built_anew_alone(spark, tmp_path):
+    grid = gaps.fill_buckets(buckets(spark, n=900), 5).cache()
+    cfg, path, table = ChunkConfig(days=1, origin=T0), str(tmp_path / "f"), market_table(spark)
+    assert chunks.build_chunks(grid, table, path, cfg) == [0, 1, 2, 3]
+    before = {f: os.stat(f).st_mtime_ns for f in map(str, (tmp_path / "f").rglob("*.parquet"))}
+    changed = grid.withColumn("total_usd", F.when((F.col("bucket_time") >= T0 + timedelta(days=1)) & (F.col("bucket_time") < T0 + timedelta(days=2)), F.col("total_usd") * 2).otherwise(F.col("total_usd")))
+    assert chunks.build_chunks(changed, table, path, cfg, chunks=[1, 2]) == [1, 2]
+    after = {f: os.stat(f).st_mtime_ns for f in map(str, (tmp_path / "f").rglob("*.parquet"))}
+    same = [f for f in before if after.get(f) == before[f]]
+    assert {f.split("chunk_id=")[1][0] for f in same} == {"0", "3"} and {f.split("chunk_id=")[1][0] for f in set(after) - set(same)} == {"1", "2"}
+    whole = features.build_features(changed, table)
+    got = spark.read.parquet(path).select(*whole.columns)
+    assert got.exceptAll(whole).count() == 0 and got.count() == whole.count()
+    with pytest.raises(ValueError):
+        chunks.chunk_features(grid, table, [0], ChunkConfig(context=20))
+    assert chunks.runs([5, 1, 2, 2, 7, 6]) == [(1, 2), (5, 7)]
+
+
+def test_late_trades_are_told_from_stored_ones(spark):
+    kind = "token_id string, timestamp long, price double, usd_amount double, token_amount double, is_yes int, tx_hash string"
+    row = lambda token, at, tx: (token, at, 0.5, 1.0, 2.0, 1, tx)
+    store = spark.createDataFrame([row("a", 10, "h1"), row("a", 20, "h2"), row("b", 10, "h1"), row("b", 5, None)], kind)
+    batch = spark.createDataFrame([row("a", 20, "h2"), row("a", 20, "h3"), row("a", 4, "h0"), row("a", 30, "h4"), row("a", 30, "h4"), row("c", 10, "h1"), row("b", 5, None), row(None, 1, "h9")], kind)
+    got = sorted((x.token_id or "", x.timestamp, x.tx_hash or "") for x in live.unseen(batch, store).collect())
+    assert got == [("", 1, "h9"), ("a", 4, "h0"), ("a", 20, "h3"), ("a", 30, "h4"), ("b", 5, ""), ("c", 10, "h1")]
+    assert {x.tx_hash for x in live.newer(batch.where("token_id = 'a'"), store).collect()} == {"h4"}
+    assert live.unseen(batch, store.where("false")).count() == 7 and live.unseen(batch.where("false"), store).count() == 0
+
+
 def test_scored_stream_goes_on_after_a_failed_batch(spark, tmp_path):
     """Three micro-batches, the second of which fails once: each gives its signals once, as the batch decision on all that came so far."""
     table, markets = buckets(spark, 3, 150).cache(), market_table(spark, 3)

@@ -64,6 +64,14 @@ class SplitConfig:
     purge: int = 6
 
 
+@dataclass(frozen=True)
+class ChunkConfig:
+    days: int = 90
+    context: int = 60  # buckets before a chunk that its features may look back on
+    minutes: int = 5
+    origin: datetime = datetime(2020, 1, 1)
+
+
 @dataclass(frozen=True)
 class ModelConfig:
     max_trees: int = 200
@@ -72,7 +80,7 @@ class ModelConfig:
     min_leaf: int = 50
     row_share: float = 0.8
     column_share: str = "0.8"
-    tolerance: float = 1e-6
+    patience: int = 50
     seed: int = 42
 
 

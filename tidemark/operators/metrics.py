@@ -23,12 +23,13 @@ def classification_metrics(df: DataFrame, keys: list[str], threshold: float = 0.
     return out.withColumns({"accuracy": share(tp + tn, F.col("n")), "precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)})
 
 
-def roc_auc(df: DataFrame, keys: list[str], digits: int = 12) -> DataFrame:
+def roc_auc(df: DataFrame, keys: list[str], digits: int | None = None) -> DataFrame:
     """Area under the ROC curve with half credit for ties, from counts per distinct score; null with one class.
-    Scores that agree in ``digits`` digits are tied, as how sums were added up must not decide.
+    With ``digits``, scores that agree in so many digits are tied, so that how sums were added up doesn't decide.
 
     Scores are ranked within narrow ranges and ranges by their totals, so no task sorts all scores of a key."""
-    scores = df.withColumn("p", F.round("p", digits)).groupBy(*keys, "p").agg(F.sum("y").alias("pos"), F.sum(F.lit(1.0) - F.col("y")).alias("neg"))
+    rows = df if digits is None else df.withColumn("p", F.round("p", digits))
+    scores = rows.groupBy(*keys, "p").agg(F.sum("y").alias("pos"), F.sum(F.lit(1.0) - F.col("y")).alias("neg"))
     scores = scores.withColumn("__range", F.floor(F.col("p") * F.lit(4096.0)))
     below = F.sum("neg").over(Window.partitionBy(*keys, "__range").orderBy("p")) - F.col("neg")
     ranked = scores.withColumn("__credit", F.col("pos") * (below + F.lit(0.5) * F.col("neg")))

@@ -13,7 +13,7 @@ from tidemark.operators.labels import trainable
 def positions(df: DataFrame) -> DataFrame:
     """``position`` in (bucket_time, market_id) order: rows before the time, then a number within it.
 
-    The running count is over one row per time, so no window has all rows in one partition."""
+    The running count is over the times of a day and over days, so no window has all rows or all times in one partition."""
     return _placed(df, _times(df))
 
 
@@ -22,8 +22,11 @@ def _times(df: DataFrame) -> DataFrame:
 
 
 def _placed(df: DataFrame, times: DataFrame) -> DataFrame:
-    before = Window.orderBy("bucket_time").rowsBetween(Window.unboundedPreceding, -1)
-    times = times.select("bucket_time", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    times = times.withColumn("__day", F.to_date("bucket_time"))
+    earlier = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    days = times.groupBy("__day").agg(F.sum("__n").alias("__total")).select("__day", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__base"))
+    before = Window.partitionBy("__day").orderBy("bucket_time").rowsBetween(Window.unboundedPreceding, -1)
+    times = times.join(days, "__day").select("bucket_time", (F.col("__base") + F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("bucket_time").orderBy("market_id"))
     return df.withColumn("__in", inside).join(times, "bucket_time").withColumn("position", F.col("__before") + F.col("__in") - 1).drop("__in", "__before")
 
@@ -72,7 +75,7 @@ def time_holdout(df: DataFrame, days: int = 60, embargo_minutes: int = 60) -> Da
 
 
 def time_chunks(df: DataFrame, days: int = 90, context_buckets: int = 60, minutes: int = 5) -> DataFrame:
-    """Each row in its chunk of ``days``, and once more as context of the next one if it is just before it."""
+    """Each row in its chunk of ``days``, and once more as context of the next one if it is just before it. ``operators.chunks`` builds features by chunk."""
     out = df.crossJoin(F.broadcast(time_bounds(df).select("t_min")))  # one row
     width, context = days * 86400, context_buckets * minutes * 60
     second = F.timestamp_diff("SECOND", F.col("t_min"), F.col("bucket_time"))

@@ -103,8 +103,8 @@ def coverage(long: DataFrame) -> DataFrame:
     return long.groupBy("strategy").agg(F.avg(F.col("fires").cast("double")).alias("coverage"))
 
 
-def strategy_benchmark(df: DataFrame, cfg: BacktestConfig = BacktestConfig()) -> DataFrame:
-    """One row per strategy: coverage, status, metrics and backtest."""
+def strategy_benchmark(df: DataFrame, cfg: BacktestConfig = BacktestConfig(), digits: int | None = None) -> DataFrame:
+    """One row per strategy: coverage, status, metrics and backtest; ``digits`` as in ``metrics.roc_auc``."""
     from tidemark.operators import backtest, metrics
 
     long = stored(long_form(test_period(df)), "played")  # all parts read these few columns instead of making the features anew
@@ -113,7 +113,7 @@ def strategy_benchmark(df: DataFrame, cfg: BacktestConfig = BacktestConfig()) ->
     parts = [
         state,
         metrics.classification_metrics(valid, ["strategy"], cfg.threshold),
-        metrics.roc_auc(valid, ["strategy"]),
+        metrics.roc_auc(valid, ["strategy"], digits),
         backtest.backtest_summary(backtest.backtest(valid, ["strategy"], ["bucket_time", "market_id"], cfg), ["strategy"], cfg),
     ]
     return reduce(lambda a, b: a.join(b, "strategy", "left"), parts, coverage(long))

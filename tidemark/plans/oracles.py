@@ -211,6 +211,11 @@ ORACLES["convert_markets"] = """SELECT c_custkey::INTEGER::BIGINT AS market_id,
 ORACLES["token_history"] = q([TRADES, RECORDS], """SELECT DISTINCT token_id, "timestamp", price, is_yes, tx_hash FROM parsed WHERE token_id = '7' AND "timestamp" >= 1704500000""")
 ORACLES["latest_trades"] = q([TRADES, RECORDS], 'SELECT token_id, max("timestamp") AS latest FROM parsed GROUP BY token_id')
 ORACLES["newer_trades"] = q([TRADES, RECORDS, 'old AS (SELECT token_id, max("timestamp") AS latest FROM parsed WHERE "timestamp" < 1705300000 GROUP BY token_id)'], 'SELECT DISTINCT token_id, "timestamp", tx_hash FROM parsed LEFT JOIN old USING (token_id) WHERE "timestamp" > coalesce(latest, 0)')
+ORACLES["unseen_trades"] = q([TRADES, RECORDS], 'SELECT DISTINCT token_id, "timestamp", price, tx_hash FROM parsed WHERE NOT ("timestamp" < 1705300000 AND price >= 0.1::DOUBLE)')
+_WHOLE = {"trade_count", "whale_count", "hour", "day_of_week", "is_weekend", *(f"trade_count_lag{k}" for k in LAGS)}
+_INFINITE = ("trade_size_vs_liquidity", "volume_concentration", "momentum_per_day")
+_LIFT = "(1.0::DOUBLE + 1e-12::DOUBLE)"
+ORACLES["feature_chunks"] = q(FEATURES, f"SELECT market_id, bucket_time, {', '.join(c if c in _WHOLE else r_inf(c) if c in _INFINITE else f'round({c}::DOUBLE * {_LIFT}, 6) AS {c}' for c in FEATURE_NAMES)} FROM featured")
 _RECENT = "recent AS (SELECT * EXCLUDE (top) FROM (SELECT *, max(bucket_time) OVER (PARTITION BY market_id) AS top FROM buckets) WHERE date_diff('minute', bucket_time, top) < 3600)"
 _SCORE, _FIRES, _ = RULES["momentum"]
 ORACLES["latest_signal"] = q(

@@ -7,9 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import BacktestConfig, BucketConfig, FeatureConfig, ModelConfig, SourceConfig
-from tidemark.functions.shared import shared_path
-from tidemark.operators import backtest, features, gaps, labels, metrics, model, normalize, splits, strategies
+from tidemark.config import BacktestConfig, BucketConfig, ChunkConfig, FeatureConfig, ModelConfig, SourceConfig
+from tidemark.functions.shared import shared_path, stored
+from tidemark.operators import backtest, chunks, features, gaps, labels, metrics, model, normalize, splits, strategies
 from tidemark.plans import pipeline as plan
 from tidemark.sources import adapters, convert, readers, runlog
 from tidemark.streaming import live
@@ -137,6 +137,16 @@ def feature_matrix(spark, sf):
     return _known(plan.featured(spark, sf))
 
 
+def feature_chunks(spark, sf):
+    """All features of all rows, from a table built by chunks of a week: first as of a time, then what came after."""
+    grid, path = stored(plan.excluded(spark, sf), "grid"), shared_path(spark, "chunks")
+    cfg = ChunkConfig(days=7, minutes=plan.MINUTES)
+    chunks.build_chunks(grid.where(F.col("bucket_time") < datetime(2024, 1, 17)), plan.markets(spark, sf), path, cfg)
+    chunks.build_chunks(grid, plan.markets(spark, sf), path, cfg)
+    df = spark.read.parquet(path)
+    return tidy(df.select(*KEY, *(c for c in features.feature_columns(df) if c != "chunk_id")), INFINITE, lift=1e-12)
+
+
 def low_memory_features(spark, sf):
     return _known(plan.featured(spark, sf, FeatureConfig.low_memory()))
 
@@ -255,7 +265,7 @@ def metrics_logloss_brier(spark, sf):
 
 
 def metrics_auc(spark, sf):
-    return tidy(metrics.roc_auc(_long(spark, sf), ["strategy"]))
+    return tidy(metrics.roc_auc(_long(spark, sf), ["strategy"], 12))
 
 
 def calibration(spark, sf):
@@ -278,7 +288,7 @@ def threshold_sweep(spark, sf):
 
 
 def strategy_benchmark(spark, sf):
-    df = strategies.strategy_benchmark(plan.split(spark, sf, wanted=strategies.FEATURES))
+    df = strategies.strategy_benchmark(plan.split(spark, sf, wanted=strategies.FEATURES), digits=12)
     return tidy(df.select("strategy", "coverage", "status", "n", "auc", "brier", "trades", "total_pnl"))
 
 
@@ -331,6 +341,13 @@ def newer_trades(spark, sf):
     return tidy(live.newer(trades, trades.where("timestamp < 1705300000")).select("token_id", "timestamp", "tx_hash"))
 
 
+def unseen_trades(spark, sf):
+    """Of all records, those that a store lacks: all after a time, and of before it the ones of a low price, which come late."""
+    trades = live.dedup_trades(live.parse_trades(_records(spark, sf)))
+    store = trades.where("timestamp < 1705300000 and price >= 0.1")
+    return tidy(live.unseen(live.parse_trades(_records(spark, sf)), store).select("token_id", "timestamp", "price", "tx_hash"))
+
+
 def retention(spark, sf):
     store = live.dedup_trades(live.parse_trades(_records(spark, sf)))
     now = store.agg(F.timestamp_seconds(F.max("timestamp"))).first()[0]
@@ -400,7 +417,7 @@ QUERIES = {
     f.__name__.rstrip("_"): f
     for f in (
         normalize_trades, normalize_markets, fills_etl, fills_counts, token_lookup_join, bucket_ohlcv, bucket_whales, gap_summary, gap_rollup, gap_fill, long_gap_edge, long_gap_run, exclusions, lag_features, price_returns,
-        market_features, cross_features, time_features, feature_matrix, labels_, label_stats, low_memory_features, aligned_features, time_range, lookback, csv_round_trip, stage_sink, convert_markets, token_history, latest_trades, newer_trades, walk_forward_split, split_summary, holdout_split, time_chunks, strategy_coverage, metrics_confusion, metrics_logloss_brier, metrics_auc,
+        market_features, cross_features, time_features, feature_matrix, feature_chunks, labels_, label_stats, low_memory_features, aligned_features, time_range, lookback, csv_round_trip, stage_sink, convert_markets, token_history, latest_trades, newer_trades, unseen_trades, walk_forward_split, split_summary, holdout_split, time_chunks, strategy_coverage, metrics_confusion, metrics_logloss_brier, metrics_auc,
         calibration, backtest_equity, backtest_summary, threshold_sweep, strategy_benchmark, latest_signal, json_trade_parse, dedup_trades, retention, live_buckets, run_history, strategy_roi, model_train_score, feature_importance, stream_buckets,
     )
 }

@@ -65,13 +65,14 @@ def load_markets(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
     return normalize_markets(read_table(spark, cfg.markets_path, cfg, MARKETS_CSV))
 
 
-def write_table(df: DataFrame, path: str, codec: str = "snappy", partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ("market_id", "bucket_time"), files: int | None = None) -> None:
+def write_table(df: DataFrame, path: str, codec: str = "snappy", partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ("market_id", "bucket_time"), files: int | None = None, replace: bool = False) -> None:
     """Parquet, clustered by the partition columns and then ``sort_by``: each task has a range of them, in order, so that a partition has few
-    files and statistics prune. The number of files follows Spark's target size of partitions, or is ``files``."""
+    files and statistics prune. The number of files follows Spark's target size of partitions, or is ``files``. With ``replace``, only partitions that have rows are written anew."""
     keys = [*partition_by, *(c for c in sort_by if c in df.columns and c not in partition_by)]
     if keys:
         df = df.repartitionByRange(*([files] if files else []), *keys).sortWithinPartitions(*keys)
-    df.write.mode("overwrite").option("compression", codec).partitionBy(*partition_by).parquet(path)
+    mode = "dynamic" if replace else "static"
+    df.write.mode("overwrite").option("partitionOverwriteMode", mode).option("compression", codec).partitionBy(*partition_by).parquet(path)
 
 
 def cached(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:

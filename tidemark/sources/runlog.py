@@ -24,8 +24,8 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_history(log: DataFrame, n: int = 10) -> DataFrame:
-    """The last n runs of each type."""
-    last = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("ts")))
+    """The last n runs of each type; of one time those whose record as text comes first."""
+    last = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("ts"), F.to_json(F.struct(*log.columns))))
     return log.withColumn("__n", last).where(F.col("__n") <= n).drop("__n")
 
 

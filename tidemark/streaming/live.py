@@ -63,6 +63,18 @@ def newer(trades: DataFrame, store: DataFrame) -> DataFrame:
     return trades.join(latest, "token_id", "left").where(F.col("timestamp") > F.coalesce("__latest", F.lit(0))).drop("__latest")
 
 
+def unseen(trades: DataFrame, store: DataFrame) -> DataFrame:
+    """Trades that the store doesn't have, by (token_id, tx_hash), whatever their time: late ones of a second that the store has passed count, which
+    ``newer`` drops. Repeats within the batch become one; trades without a token or hash can't be known and stay.
+
+    The store is first cut to the keys of the batch, so that only what is in both meets the second join: Spark broadcasts the keys if they are small enough, and then
+    the store is read in two columns and not shuffled."""
+    key = ["token_id", "tx_hash"]
+    known = store.select(*key).join(trades.select(*key).distinct(), key, "left_semi")
+    whole = F.col("token_id").isNotNull() & F.col("tx_hash").isNotNull()
+    return dedup_trades(trades.where(whole)).join(known, key, "left_anti").unionByName(trades.where(~whole)).select(*trades.columns)
+
+
 def latest_timestamps(store: DataFrame) -> DataFrame:
     return store.groupBy("token_id").agg(F.max("timestamp").alias("latest"))
 
