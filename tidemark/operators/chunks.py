@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import ChunkConfig, FeatureConfig
+from tidemark.functions.shared import stored
 from tidemark.operators.features import build_features
 from tidemark.sources.readers import write_table
 
@@ -65,5 +66,6 @@ def build_chunks(filled: DataFrame, markets: DataFrame, path: str, cfg: ChunkCon
         found = [x[0] for x in filled.where("bucket_time is not null").select(chunk_of(cfg)).distinct().collect()]  # one row a chunk
         chunks = [c for c in found if c not in there[:-1]]
     if chunks:
-        write_table(chunk_features(filled, markets, chunks, cfg, wanted), path, partition_by=("chunk_id",), replace=True)
+        rows = stored(chunk_features(filled, markets, chunks, cfg, wanted), "chunk")  # clustering reads its input twice
+        write_table(rows, path, partition_by=("chunk_id",), replace=True)
     return sorted(chunks)

@@ -215,7 +215,8 @@ ORACLES["unseen_trades"] = q([TRADES, RECORDS], 'SELECT DISTINCT token_id, "time
 _WHOLE = {"trade_count", "whale_count", "hour", "day_of_week", "is_weekend", *(f"trade_count_lag{k}" for k in LAGS)}
 _INFINITE = ("trade_size_vs_liquidity", "volume_concentration", "momentum_per_day")
 _LIFT = "(1.0::DOUBLE + 1e-12::DOUBLE)"
-ORACLES["feature_chunks"] = q(FEATURES, f"SELECT market_id, bucket_time, {', '.join(c if c in _WHOLE else r_inf(c) if c in _INFINITE else f'round({c}::DOUBLE * {_LIFT}, 6) AS {c}' for c in FEATURE_NAMES)} FROM featured")
+_FLOATS = [c for c in FEATURE_NAMES if c not in _WHOLE]
+ORACLES["feature_chunks"] = q(FEATURES, f"SELECT * REPLACE ({', '.join(f'CASE WHEN {c} = 0 THEN 0.0::DOUBLE ELSE {c} END AS {c}' for c in _FLOATS)}) FROM (SELECT market_id, bucket_time, {', '.join(c if c in _WHOLE else r_inf(c) if c in _INFINITE else f'round({c}::DOUBLE * {_LIFT}, 6) AS {c}' for c in FEATURE_NAMES)} FROM featured)")
 _RECENT = "recent AS (SELECT * EXCLUDE (top) FROM (SELECT *, max(bucket_time) OVER (PARTITION BY market_id) AS top FROM buckets) WHERE date_diff('minute', bucket_time, top) < 3600)"
 _SCORE, _FIRES, _ = RULES["momentum"]
 ORACLES["latest_signal"] = q(

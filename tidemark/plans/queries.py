@@ -144,7 +144,8 @@ def feature_chunks(spark, sf):
     chunks.build_chunks(grid.where(F.col("bucket_time") < datetime(2024, 1, 17)), plan.markets(spark, sf), path, cfg)
     chunks.build_chunks(grid, plan.markets(spark, sf), path, cfg)
     df = spark.read.parquet(path)
-    return tidy(df.select(*KEY, *(c for c in features.feature_columns(df) if c != "chunk_id")), INFINITE, lift=1e-12)
+    out = tidy(df.select(*KEY, *(c for c in features.feature_columns(df) if c != "chunk_id")), INFINITE, lift=1e-12)
+    return out.withColumns({c: F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)) for c, kind in out.dtypes if kind == "double"})  # no negative zeros
 
 
 def low_memory_features(spark, sf):
