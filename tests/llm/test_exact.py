@@ -329,3 +329,13 @@ def test_buckets_are_found_whatever_their_size(spark, monkeypatch):
     texts = [line[:k] + "QQ" + line[k + 2 :] for k in range(0, len(line) - 2, 2)] + [sentence(rng, 12) for _ in range(30)]
     got = {x.doc_id: len(x.removed) for x in line_dedup.duplicate_lines(frame(spark, texts)).collect()}
     assert sum(not n for n in got.values()) == 31
+
+
+def test_overlap_of_findings_against_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        spans = [(int(a), "assign", int(a + n)) for a, n in zip(rng.integers(0, 60, 8), rng.integers(1, 12, 8), strict=True)][: rng.integers(0, 9)]
+        covered = secrets._merged(spans)
+        for s in range(0, 70, 3):
+            for e in (s + 1, s + 4, s + 20):
+                assert secrets._free(s, e, *covered) == all(e <= a or b <= s for a, _, b in spans)

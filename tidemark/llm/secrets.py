@@ -22,6 +22,7 @@ rows; random strings under ``SHORTEST`` characters are not looked for; other col
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -226,11 +227,14 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
                 starts, ends = starts[long], ends[long]
                 data, bounds = _gather(buf, starts, ends)
                 cell = _cell(*(lambda found: (found[0], np.diff(bounds), found[1]))(scores(data, bounds)))
+                taken = {}
                 for j in np.flatnonzero(cell % SCORES <= cut[cell // SCORES]) if len(cell) else ():
                     i = int(np.searchsorted(offsets, starts[j], "right")) - 1
                     shift = offsets[i] + later[starts[j]] - later[offsets[i]]
                     s, e = int(starts[j] - shift), int(ends[j] - shift)
-                    if all(e <= a or b <= s for a, _, b in spans[i]):
+                    if i not in taken:
+                        taken[i] = _merged(spans[i])
+                    if _free(s, e, *taken[i]):  # tokens themselves never overlap
                         spans[i].append((s, "random", e))
                 out = [[{"kind": k, "start": a, "stop": b} for a, k, b in sorted(x, key=lambda x: (x[0], KINDS.index(x[1])))] for x in spans]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])))], names=["doc_id", "spans"])
@@ -238,6 +242,24 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     return own.mapInArrow(rows, "doc_id long, spans array<struct<kind:string,start:int,stop:int>>")
 
 
+def _merged(spans: list[tuple[int, str, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, in order and apart from each other."""
+    starts, ends = [], []
+    for a, _, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _free(start: int, stop: int, starts: list[int], ends: list[int]) -> bool:
+    """Whether nothing of what is covered lies between start and stop."""
+    at = bisect.bisect_right(ends, start)
+    return at == len(ends) or starts[at] >= stop
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"] != "random")
