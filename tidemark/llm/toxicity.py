@@ -5,7 +5,9 @@ its bytes with end marks, and of itself; its vector is the mean of theirs, and a
 ``SEGMENT`` words, half overlapping the next, averages its words'. A linear softmax over two classes scores segments; a
 document is as toxic as its most toxic segment, so that one word in a long text isn't averaged away.
 Embeddings and softmax are trained together in numpy by Adam, first on all segments, then on each
-document's top one, and a logistic map calibrates the document scores. As the softmax is linear, a word's
+document's top one. Grams of few texts get no vector and squared embeddings are penalised, so that what is learned is
+what many texts share, not the words of each. A part of the learned rows that is first kept out says how many rounds to take
+and calibrates the document scores by a logistic map. As the softmax is linear, a word's
 part of the score is a scalar, computed once for each distinct word of a slice.
 
 Fitting takes at most ``SAMPLE`` labelled documents of each class (least hashes of doc_id first), none of which is
@@ -30,6 +32,8 @@ from tidemark.llm.decontaminate import WORD
 SAMPLE = 1500
 BUCKETS, DIM, SEGMENT, GRAMS = 1 << 18, 8, 8, (3, 4, 5)
 WARM, ROUNDS, STEPS, STEP = 30, 12, 8, 0.05
+#: Weight of the squared embeddings in the loss, texts that a bucket must occur in, rounds without a gain.
+PENALTY, COMMON, PATIENCE = 1e-5, 3, 3
 
 
 def _bags(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,63 +130,107 @@ def _top(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return best, low, high
 
 
+def gradients(table: np.ndarray, out: np.ndarray, bias: np.ndarray, data, labels: np.ndarray, share: np.ndarray, spans, learned: np.ndarray):
+    """Loss of the joint model over segments, and its gradients by embeddings, softmax and bias.
+
+    ``spans`` are first word, last word and row of each segment; those of a row share its weight. Embeddings that aren't ``learned`` stay 0."""
+    which, _, bag, at = data
+    low, high, owner = spans
+    direction, size = out[:, 1] - out[:, 0], high - low
+    sums = np.append(0, np.cumsum(_mean((table @ direction.astype(table.dtype))[bag].astype(np.float64), at)[which]))
+    z = np.clip((sums[high] - sums[low]) / size + bias[1] - bias[0], -30, 30)
+    weight = share[owner] / np.bincount(owner, minlength=len(labels))[owner]
+    loss = float(weight @ (np.logaddexp(0, z) - labels[owner] * z)) + PENALTY / 2 * float(np.sum(table.astype(np.float64) ** 2))
+    d = (1 / (1 + np.exp(-z)) - labels[owner]) * weight
+    edge = np.zeros(len(which) + 1)
+    np.add.at(edge, low, d / size)
+    np.add.at(edge, high, -d / size)
+    by_word = np.bincount(which, np.cumsum(edge[:-1]), len(at) - 1)
+    by_gram = np.bincount(bag, np.repeat(by_word / np.maximum(np.diff(at), 1), np.diff(at)), len(table)) * learned
+    half = by_gram @ table
+    return loss, ((by_gram[:, None] * direction).astype(table.dtype) + table.dtype.type(PENALTY) * table, np.stack([-half, half], 1), np.array([-d.sum(), d.sum()]))
+
+
+def _common(data, use: np.ndarray) -> np.ndarray:
+    """Which buckets occur in ``COMMON`` of the used rows or more."""
+    which, rows, bag, at = data
+    seen = np.zeros(BUCKETS, np.int32)
+    for i in np.flatnonzero(use):
+        words = np.unique(which[rows[i] : rows[i + 1]])
+        size = at[words + 1] - at[words]
+        seen[np.unique(bag[np.repeat(at[words] - np.cumsum(size) + size, size) + np.arange(size.sum())])] += 1
+    return seen >= COMMON
+
+
+def _rounds(data, labels: np.ndarray, use: np.ndarray, seed: int):
+    """Learns from the used rows; (scalar of each bucket, bias) after each round, the first of which takes all segments."""
+    rng = np.random.default_rng(seed)
+    learned, rows = _common(data, use), data[1]
+    table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32) * learned[:, None]
+    out, bias = rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, out, bias)]
+    share = use * np.where(labels > 0, 0.5 / max((use * labels).sum(), 1), 0.5 / max((use * (1 - labels)).sum(), 1))
+    start, stop, bounds = _segments(rows)
+    owner = text.row_of(bounds)
+    mine = use[owner]
+    spans, t = (start[mine], stop[mine], owner[mine]), 0
+    for number in range(ROUNDS + 1):
+        for _ in range(STEPS if number else WARM):
+            t += 1
+            _, grads = gradients(table, out, bias, data, labels, share, spans, learned)
+            for p, g, (m, v) in zip((table, out, bias), grads, moments, strict=True):
+                m *= 0.9
+                m += 0.1 * g
+                v *= 0.999
+                v += 0.001 * g * g
+                p -= STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        theta = table @ (out[:, 1] - out[:, 0])
+        yield theta, float(bias[1] - bias[0])
+        _, low, high = _top(_mean(theta[data[2]], data[3])[data[0]], rows)
+        full = np.flatnonzero((high > low) & use)
+        spans = (low[full], high[full], full)
+
+
 def train(texts: list[str], labels: np.ndarray, rate: float, seed: int = 7) -> Model:
-    """Fits on texts with 0/1 labels; ``rate`` is the share of label 1 that scores are calibrated to."""
+    """Fits on texts with 0/1 labels; ``rate`` is the share of label 1 that scores are calibrated to.
+
+    A fifth of each class is first kept out: by its loss the number of rounds is chosen and the scores are calibrated. Then all texts are learned from."""
     model = Model(rate)
     labels = np.asarray(labels, np.float64)
     if not 0 < labels.sum() < len(labels):
         return model
-    which, rows, bag, at = _joined(texts)
-    n_words, per_word = len(at) - 1, np.repeat(1 / np.maximum(np.diff(at), 1), np.diff(at))
-    rng = np.random.default_rng(seed)
-    table, out = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, 2))
-    bias = np.zeros(2)
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, out, bias)]
-    balance = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    t = 0
-
-    def scalars():
-        return _mean((table @ (out[:, 1] - out[:, 0]).astype(np.float32))[bag].astype(np.float64), at)[which]
-
-    def step(low, high, owner):
-        nonlocal t
-        t += 1
-        z = scalars()
-        sums = np.append(0, np.cumsum(z))
-        size = high - low
-        p = 1 / (1 + np.exp(-np.clip((sums[high] - sums[low]) / size + bias[1] - bias[0], -30, 30)))
-        weight = balance[owner] / np.bincount(owner, minlength=len(labels))[owner] / len(labels)
-        d = (p - labels[owner]) * weight
-        edge = np.zeros(len(which) + 1)
-        np.add.at(edge, low, d / size)
-        np.add.at(edge, high, -d / size)
-        by_word = np.bincount(which, np.cumsum(edge[:-1]), n_words)
-        by_gram = np.bincount(bag, np.repeat(by_word, np.diff(at)) * per_word, BUCKETS)
-        direction = out[:, 1] - out[:, 0]
-        half = by_gram @ table
-        grads = [(by_gram[:, None] * direction).astype(np.float32), np.stack([-half, half], 1), np.array([-d.sum(), d.sum()])]
-        for p_, g, (m, v) in zip((table, out, bias), grads, moments, strict=True):
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.999
-            v += 0.001 * g * g
-            p_ -= STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-
-    start, stop, bounds = _segments(rows)
-    for _ in range(WARM):
-        step(start, stop, text.row_of(bounds))
-    for _ in range(ROUNDS):
-        _, low, high = _top(scalars(), rows)
-        full = np.flatnonzero(high > low)
-        for _ in range(STEPS):
-            step(low[full], high[full], full)
-    model.theta, model.bias = (table @ (out[:, 1] - out[:, 0])), float(bias[1] - bias[0])
-    z = _top(scalars(), rows)[0] + model.bias
+    data = _joined(texts)
+    use, rng = np.ones(len(labels), bool), np.random.default_rng(seed + 1)
+    for value in (0, 1):
+        part = np.flatnonzero(labels == value)
+        use[rng.permutation(part)[: len(part) // 5]] = False
+    part = ~use
+    chosen, best, maps = ROUNDS, np.inf, None
+    if 0 < labels[part].sum() < part.sum():
+        for number, (theta, bias) in enumerate(_rounds(data, labels, use, seed)):
+            z = _top(_mean(theta[data[2]], data[3])[data[0]], data[1])[0] + bias
+            known = part & ~np.isnan(z)
+            found = calibrate(z[known], labels[known], rate)
+            loss = _loss(found[0] * z[known] + found[1], labels[known], rate)
+            if loss < best:
+                chosen, best, maps = number, loss, found
+            elif number - chosen >= PATIENCE:
+                break
+    for number, (model.theta, model.bias) in enumerate(_rounds(data, labels, np.ones(len(labels), bool), seed)):
+        if number == chosen:
+            break
+    z = _top(_mean(model.theta[data[2]], data[3])[data[0]], data[1])[0] + model.bias
     known = ~np.isnan(z)
-    model.scale, model.shift = calibrate(z[known], labels[known], rate)
+    model.scale, model.shift = maps or calibrate(z[known], labels[known], rate)
     return model
 
 
+def _loss(z: np.ndarray, y: np.ndarray, rate: float) -> float:
+    """Mean logistic loss with classes weighted to ``rate``."""
+    weight = np.where(y > 0, rate / max(y.sum(), 1), (1 - rate) / max((1 - y).sum(), 1))
+    return float(weight @ (np.logaddexp(0, z) - y * z))
+
+
 def calibrate(z: np.ndarray, y: np.ndarray, rate: float, steps: int = 50) -> tuple[float, float]:
     """Slope and intercept of a logistic map from logits, with classes weighted to ``rate`` and softened targets."""
     pos, neg = max(y.sum(), 1), max((1 - y).sum(), 1)
