@@ -281,10 +281,57 @@ def test_toxicity_scores_against_plain_words():
         size, half = toxicity.SEGMENT, toxicity.SEGMENT // 2
         cuts = range(0, max(len(values) - size, 0) + half, half) if len(values) > size else [0]
         top = max(np.mean(values[a : a + size]) for a in cuts if values[a : a + size]) + model.bias
-        assert s == pytest.approx(1 / (1 + np.exp(-(model.scale * top + model.shift))), abs=1e-6)
+        high = np.mean(sorted(values)[-toxicity.HIGHEST :]) + model.bias
+        z = np.dot(model.weights, [top, high, np.log(len(values))]) + model.shift
+        assert s == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
     assert got[-1] == 0.5
 
 
+def test_toxicity_gradients_by_finite_differences():
+    rng = np.random.default_rng(3)
+    data = toxicity._joined(["ab cd ef", "gh ab ab cd xy zz ab cd ef gh ij", "", "cd", "été ß ab"])
+    labels, share = np.array([1.0, 0, 1, 0, 1]), np.array([0.1, 0.3, 0.2, 0.15, 0.25])
+    start, stop, bounds = toxicity._segments(data[1])
+    spans = (start, stop, text.row_of(bounds))
+    slots = np.unique(data[2])
+    learned = np.zeros(toxicity.BUCKETS, bool)
+    learned[slots[::2]] = True
+    parts = [rng.normal(0, 0.5, (toxicity.BUCKETS, toxicity.DIM)) * learned[:, None], rng.normal(0, 0.5, (toxicity.DIM, 2)), rng.normal(0, 0.5, 2)]
+    loss = lambda: toxicity.gradients(*parts, data, labels, share, spans, learned)[0]
+    grads = toxicity.gradients(*parts, data, labels, share, spans, learned)[1]
+    places = [(0, (int(k), d)) for k in slots[::2][:6] for d in (0, 5)] + [(1, (d, c)) for d in (0, 7) for c in (0, 1)] + [(2, (0,)), (2, (1,))]
+    for i, at in places:
+        kept = parts[i][at]
+        parts[i][at] = kept + 1e-5
+        above = loss()
+        parts[i][at] = kept - 1e-5
+        below = loss()
+        parts[i][at] = kept
+        assert grads[i][at] == pytest.approx((above - below) / 2e-5, abs=1e-7)
+    assert not grads[0][slots[1::2]].any()
+
+
+def test_toxicity_knows_unseen_misspellings_in_two_scripts():
+    rng = random.Random(17)
+    stems = {"a": ("snorkwit", "abdeghilmnorstu"), "b": ("дурнохват", "авгеиклмнопрсту")}
+    words = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(3000)] for k, (_, letters) in stems.items()}
+
+    def some(i, k, toxic, tail):
+        w = rng.choices(words[k], k=rng.randint(20, 150))
+        for _ in range(3 if toxic else 0):
+            w[rng.randrange(len(w))] = stems[k][0] + rng.choice(stems[k][1]) + tail
+        return " ".join(w)
+
+    labels = np.array([i % 4 == 0 for i in range(600)], int)
+    model = toxicity.train([some(i, "ab"[i % 2 if i % 4 else i // 4 % 2], labels[i], "") for i in range(600)], labels, 0.25)
+    import pyarrow as pa
+
+    for k in "ab":
+        bad = model.score(pa.array([some(i, k, 1, stems[k][1][i % 9] * 2) for i in range(60)]))
+        clean = model.score(pa.array([some(i, k, 0, "") for i in range(200)]))
+        assert np.mean(bad >= 0.5) >= 0.9 and np.mean(clean >= 0.5) <= 0.02, k
+
+
 def test_quality_takes_the_surest_of_all_unlabelled(spark, monkeypatch):
     monkeypatch.setattr(quality, "MOVED", 3)
     rng = random.Random(101)

@@ -3,11 +3,12 @@
 A word (A-Z lower-cased; digits, letters and non-ASCII characters) is the bag of the hashed 3- to 5-grams of
 its bytes with end marks, and of itself; its vector is the mean of theirs, and a segment of
 ``SEGMENT`` words, half overlapping the next, averages its words'. A linear softmax over two classes scores segments; a
-document is as toxic as its most toxic segment, so that one word in a long text isn't averaged away.
+document is as toxic as its most toxic segment and its most toxic words, so that one word in a long text isn't averaged away.
 Embeddings and softmax are trained together in numpy by Adam, first on all segments, then on each
 document's top one. Grams of few texts get no vector and squared embeddings are penalised, so that what is learned is
 what many texts share, not the words of each. A part of the learned rows that is first kept out says how many rounds to take
-and calibrates the document scores by a logistic map. As the softmax is linear, a word's
+and calibrates the document scores by a logistic map from the top segment's logit, the mean logit of the highest words and the log of
+the number of words. As the softmax is linear, a word's
 part of the score is a scalar, computed once for each distinct word of a slice.
 
 Fitting takes at most ``SAMPLE`` labelled documents of each class (least hashes of doc_id first), none of which is
@@ -34,6 +35,10 @@ BUCKETS, DIM, SEGMENT, GRAMS = 1 << 18, 8, 8, (3, 4, 5)
 WARM, ROUNDS, STEPS, STEP = 30, 12, 8, 0.05
 #: Weight of the squared embeddings in the loss, texts that a bucket must occur in, rounds without a gain.
 PENALTY, COMMON, PATIENCE = 1e-5, 3, 3
+#: Words whose mean logit stands beside the top segment's.
+HIGHEST = 3
+#: Weight of the squared weights that calibrate these.
+RIDGE = 0.1
 
 
 def _bags(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,18 +104,30 @@ def _segments(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 class Model:
     def __init__(self, base: float):
-        self.base, self.theta, self.bias, self.scale, self.shift = base, None, 0.0, 1.0, 0.0
+        self.base, self.theta, self.bias, self.weights, self.shift = base, None, 0.0, np.zeros(3), 0.0
 
-    def logits(self, column) -> np.ndarray:
-        """Logit of the top segment of each text, NaN for those without words."""
+    def evidence(self, column) -> np.ndarray:
+        """What the score of each text is made of, NaN for those without words."""
         which, rows, bag, at = _words(column)
-        return _top(_mean(self.theta[bag], at)[which], rows)[0] + self.bias
+        return _evidence(_mean(self.theta[bag], at)[which], rows, self.bias)
 
     def score(self, column) -> np.ndarray:
         if self.theta is None:
             return np.full(len(column), self.base)
-        z = self.logits(column)
-        return np.where(np.isnan(z), self.base, 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30))))
+        z = self.evidence(column) @ self.weights + self.shift
+        return np.where(np.isnan(z), self.base, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def _evidence(words: np.ndarray, rows: np.ndarray, bias: float) -> np.ndarray:
+    """Logit of each row's top segment, mean logit of its ``HIGHEST`` words, and log of its number of words, by which a maximum grows; NaN without words."""
+    n = np.diff(rows)
+    order = np.lexsort((-words, text.row_of(rows)))
+    at = rows[:-1, None] + np.arange(HIGHEST)
+    there = at < rows[1:, None]
+    high = np.where(there, words[order[np.minimum(at, max(len(words) - 1, 0))]] if len(words) else 0.0, 0.0).sum(1) / np.maximum(there.sum(1), 1)
+    out = np.stack([_top(words, rows)[0] + bias, high + bias, np.log(np.maximum(n, 1))], 1)
+    out[n == 0] = np.nan
+    return out
 
 
 def _top(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,10 +225,10 @@ def train(texts: list[str], labels: np.ndarray, rate: float, seed: int = 7) -> M
     chosen, best, maps = ROUNDS, np.inf, None
     if 0 < labels[part].sum() < part.sum():
         for number, (theta, bias) in enumerate(_rounds(data, labels, use, seed)):
-            z = _top(_mean(theta[data[2]], data[3])[data[0]], data[1])[0] + bias
-            known = part & ~np.isnan(z)
-            found = calibrate(z[known], labels[known], rate)
-            loss = _loss(found[0] * z[known] + found[1], labels[known], rate)
+            x = _evidence(_mean(theta[data[2]], data[3])[data[0]], data[1], bias)
+            known = part & ~np.isnan(x[:, 0])
+            found = combine(x[known], labels[known], rate, RIDGE)
+            loss = _loss(x[known] @ found[0] + found[1], labels[known], rate)
             if loss < best:
                 chosen, best, maps = number, loss, found
             elif number - chosen >= PATIENCE:
@@ -219,9 +236,11 @@ def train(texts: list[str], labels: np.ndarray, rate: float, seed: int = 7) -> M
     for number, (model.theta, model.bias) in enumerate(_rounds(data, labels, np.ones(len(labels), bool), seed)):
         if number == chosen:
             break
-    z = _top(_mean(model.theta[data[2]], data[3])[data[0]], data[1])[0] + model.bias
-    known = ~np.isnan(z)
-    model.scale, model.shift = maps or calibrate(z[known], labels[known], rate)
+    if maps is None:
+        x = _evidence(_mean(model.theta[data[2]], data[3])[data[0]], data[1], model.bias)
+        known = ~np.isnan(x[:, 0])
+        maps = combine(x[known], labels[known], rate, RIDGE)
+    model.weights, model.shift = maps
     return model
 
 
@@ -231,21 +250,27 @@ def _loss(z: np.ndarray, y: np.ndarray, rate: float) -> float:
     return float(weight @ (np.logaddexp(0, z) - y * z))
 
 
-def calibrate(z: np.ndarray, y: np.ndarray, rate: float, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a logistic map from logits, with classes weighted to ``rate`` and softened targets."""
+def calibrate(z: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float]:
+    """Slope and intercept of a logistic map from logits, as ``combine``."""
+    (slope,), shift = combine(z[:, None], y, rate)
+    return slope, shift
+
+
+def combine(x: np.ndarray, y: np.ndarray, rate: float, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic map from columns, with classes weighted to ``rate`` and softened targets."""
     pos, neg = max(y.sum(), 1), max((1 - y).sum(), 1)
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     weight = np.where(y > 0, rate / pos, (1 - rate) / neg) * len(y)
-    center, width = z.mean(), z.std() + 1e-9
-    x = np.stack([(z - center) / width, np.ones_like(z)], 1)
-    w = np.zeros(2)
+    center, width = x.mean(0), x.std(0) + 1e-9
+    x = np.column_stack([(x - center) / width, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - target)) + 1e-3 * w
-        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + 1e-3 * np.eye(2)
-        move = np.linalg.solve(hessian, gradient)
-        w -= np.clip(move, -2, 2)
-    return w[0] / width, w[1] - w[0] * center / width
+        gradient = x.T @ (weight * (p - target)) + ridge * w
+        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + ridge * np.eye(len(w))
+        w -= np.clip(np.linalg.solve(hessian, gradient), -2, 2)
+    slopes = w[:-1] / width
+    return slopes, float(w[-1] - slopes @ center)
 
 
 def held_out() -> Column:
