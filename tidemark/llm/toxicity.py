@@ -159,9 +159,7 @@ def gradients(table: np.ndarray, out: np.ndarray, bias: np.ndarray, data, labels
     weight = share[owner] / np.bincount(owner, minlength=len(labels))[owner]
     loss = float(weight @ (np.logaddexp(0, z) - labels[owner] * z)) + PENALTY / 2 * float(np.sum(table.astype(np.float64) ** 2))
     d = (1 / (1 + np.exp(-z)) - labels[owner]) * weight
-    edge = np.zeros(len(which) + 1)
-    np.add.at(edge, low, d / size)
-    np.add.at(edge, high, -d / size)
+    edge = np.bincount(low, d / size, len(which) + 1) - np.bincount(high, d / size, len(which) + 1)
     by_word = np.bincount(which, np.cumsum(edge[:-1]), len(at) - 1)
     by_gram = np.bincount(bag, np.repeat(by_word / np.maximum(np.diff(at), 1), np.diff(at)), len(table)) * learned
     half = by_gram @ table
@@ -182,8 +180,12 @@ def _common(data, use: np.ndarray) -> np.ndarray:
 def _rounds(data, labels: np.ndarray, use: np.ndarray, seed: int):
     """Learns from the used rows; (scalar of each bucket, bias) after each round, the first of which takes all segments."""
     rng = np.random.default_rng(seed)
-    learned, rows = _common(data, use), data[1]
-    table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32) * learned[:, None]
+    slots, (which, rows, bag, at) = np.flatnonzero(_common(data, use)), data
+    # a table of the learned buckets only; all others share its last row, which stays 0
+    place = np.full(BUCKETS, len(slots), np.int32)
+    place[slots] = np.arange(len(slots))
+    data, learned = (which, rows, place[bag], at), np.arange(len(slots) + 1) < len(slots)
+    table = np.append(rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)[slots], np.zeros((1, DIM), np.float32), 0)
     out, bias = rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, out, bias)]
     share = use * np.where(labels > 0, 0.5 / max((use * labels).sum(), 1), 0.5 / max((use * (1 - labels)).sum(), 1))
@@ -201,9 +203,10 @@ def _rounds(data, labels: np.ndarray, use: np.ndarray, seed: int):
                 v *= 0.999
                 v += 0.001 * g * g
                 p -= STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        theta = table @ (out[:, 1] - out[:, 0])
+        scalars, theta = table @ (out[:, 1] - out[:, 0]), np.zeros(BUCKETS)
+        theta[slots] = scalars[:-1]
         yield theta, float(bias[1] - bias[0])
-        _, low, high = _top(_mean(theta[data[2]], data[3])[data[0]], rows)
+        _, low, high = _top(_mean(scalars[data[2]], at)[which], rows)
         full = np.flatnonzero((high > low) & use)
         spans = (low[full], high[full], full)
 
