@@ -175,6 +175,11 @@ def copied(node: bytes, path: bytes) -> list[bytes]:
     return out
 
 
+def folded(node: bytes, path: bytes) -> bytes:
+    """The root that a leaf and the siblings on its path make."""
+    return copied(node, path)[-1] if path else node
+
+
 def _descend(nodes: DataFrame, above: DataFrame, levels: int, function, schema: str) -> DataFrame:
     """function(a block's rows, their paths to the root of all, subroot) for each block; above: (part, pos, path, subroot) of its top."""
     keep = [c for c in nodes.columns if c not in ("part", "pos", "n", "node")]
@@ -217,24 +222,26 @@ class Tree:
         self.root = top and bytes(top["node"])
 
     def versions(self) -> DataFrame:
-        """doc_id, source, part, pos, leaf, subroot, proof and ``copied`` of each document: digests of the nodes that its own version of the
-        tree copied, from its leaf's parent up to the version's root; null where the leaf didn't change and there is no version."""
+        """doc_id, source, part, pos, leaf, subroot, proof, ``copied`` and ``folded`` of each document. copied: digests of the nodes that its own version of the
+        tree copied, from its leaf's parent up to the version's root; null where the leaf didn't change and there is no version. folded: the root
+        recomputed from the leaf, the changed one where there is one, and the siblings on its path."""
         top = self.upper[-1].select("part", "pos", F.lit(b"").alias("path"), F.lit(None).cast("binary").alias("subroot"))
         above = paths(self.upper, top, 0, self.levels).select(F.col("pos").alias("part"), F.lit(0).cast("long").alias("pos"), "path")
         above = paths(self.tiers, above.join(self.tiers[-1].select("part", F.col("node").alias("subroot")), "part"), 1, self.levels)
 
         def finish(here, found, subroot):
-            then = here.column("then").to_pylist()
+            then, node = here.column("then").to_pylist(), here.column("node").to_pylist()
             return pa.RecordBatch.from_pydict({
                 **{c: here.column(c).chunk(0) for c in ("doc_id", "source", "part", "pos")},
                 "leaf": here.column("node").chunk(0),
                 "subroot": pa.array([subroot] * len(found), pa.binary()),
                 "proof": pa.array([proof(x) for x in found], pa.binary()),
                 "copied": pa.array([None if t is None else [t, *copied(t, x)] for t, x in zip(then, found, strict=True)], pa.list_(pa.binary())),
+                "folded": pa.array([folded(own if t is None else t, x) for own, t, x in zip(node, then, found, strict=True)], pa.binary()),
             })
 
         rows = self.rows.select("part", "pos", "n", F.col("leaf").alias("node"), "doc_id", "source", "then")
-        return _descend(rows, above, self.levels, finish, "doc_id long, source string, part long, pos long, leaf binary, subroot binary, proof binary, copied array<binary>")
+        return _descend(rows, above, self.levels, finish, "doc_id long, source string, part long, pos long, leaf binary, subroot binary, proof binary, copied array<binary>, folded binary")
 
 
 def tree(docs: DataFrame, changed: Column | None = None, text_then: Column | None = None, levels: int = LEVELS) -> Tree:
@@ -243,8 +250,8 @@ def tree(docs: DataFrame, changed: Column | None = None, text_then: Column | Non
 
 
 def checked(found: Tree) -> DataFrame:
-    """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of each document, in hex; folded_root is its version's root."""
-    digest = [F.lower(F.hex(c)).alias(name) for c, name in (("leaf", "leaf"), ("subroot", "subroot"), (F.lit(found.root), "root"), ("proof", "proof_sha256"), (F.coalesce(F.element_at("copied", -1), F.lit(found.root)), "folded_root"))]
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of each document, in hex; folded_root is recomputed from each leaf and its path."""
+    digest = [F.lower(F.hex(c)).alias(name) for c, name in (("leaf", "leaf"), ("subroot", "subroot"), (F.lit(found.root), "root"), ("proof", "proof_sha256"), ("folded", "folded_root"))]
     return found.versions().select("doc_id", *digest).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
