@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import BacktestConfig, BucketConfig, ChunkConfig, FeatureConfig, ModelConfig, SourceConfig
-from tidemark.functions.shared import shared_path, stored
+from tidemark.functions.shared import partitions, shared_path, stored
 from tidemark.operators import backtest, chunks, features, gaps, labels, metrics, model, normalize, splits, strategies
 from tidemark.plans import pipeline as plan
 from tidemark.sources import adapters, convert, readers, runlog
@@ -303,8 +303,9 @@ def latest_signal(spark, sf):
 
 
 def _records(spark, sf):
-    """Live records as producers spell them, three variants in turn; every fourth stands twice."""
-    e = adapters.raw_trades(spark, sf).withColumn("s", F.unix_seconds(F.col("timestamp").cast("timestamp")))
+    """Live records as producers spell them, three variants in turn; every fourth stands twice. Writing and parsing JSON is dealt to all cores, however few files there are."""
+    events = adapters.raw_trades(spark, sf)
+    e = events.repartition(partitions(events), "event_id").withColumn("s", F.unix_seconds(F.col("timestamp").cast("timestamp")))
     iso = F.date_format(F.timestamp_seconds("s"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     kind = F.col("event_id") % 3
     text = F.when(kind == 0, F.to_json(F.struct(F.col("s").alias("timestamp"), "price", F.col("token_amount").alias("size"), F.lit("Yes").alias("outcome"), F.col("market_id").cast("string").alias("token_id"), F.concat(F.lit("h"), F.col("event_id").cast("string")).alias("hash"))))

@@ -34,20 +34,26 @@ def _given(*names: str) -> Column:
     return F.coalesce(*(F.when(~F.col(f"r.{n}").isin("", "0", "0.0"), F.col(f"r.{n}")) for n in names))
 
 
+def _once(df: DataFrame, made: Column, name: str) -> DataFrame:
+    """The column alone, computed once a row: conditions on what comes out of a generator stay behind it, while those on a
+    projection go below it and compute it again for each mention."""
+    return df.select(F.explode(F.array(made)).alias(name))
+
+
 def parse_trades(lines: DataFrame, token: str | None = None, fractional: bool = False) -> DataFrame:
     """Trades of the store's shape from JSON records in column ``value``; incomplete ones are skipped.
 
     ``token`` is the one asked for; without it each record's own counts. Field names fall back as producers vary.
     Timestamps are whole seconds, or doubles with their fraction."""
-    raw = lines.select(F.from_json("value", RECORD).alias("r"))
+    raw = _once(lines, F.from_json("value", RECORD), "r")
     when = _given("timestamp", "created_at", "time")
     second = F.coalesce(number(when), F.unix_micros(parsed_time(when)) / F.lit(1e6), F.unix_micros(when.try_cast("timestamp")) / F.lit(1e6))
     second = second if fractional else F.floor(second).cast("long")
     asked = F.lit(token) if token is not None else F.col("r.token_id")
     outcome = F.upper(F.coalesce("r.outcome", F.lit("")))
     is_yes = F.when(outcome.isin("YES", "1"), 1).when(outcome.isin("NO", "0"), 0).otherwise(F.when(F.coalesce("r.token_id", F.lit("")) == asked, 1).otherwise(0))
-    out = raw.select(asked.alias("token_id"), second.alias("timestamp"), number("r.price").alias("price"), number(_given("size", "amount")).alias("token_amount"), is_yes.alias("is_yes"), _given("transaction_hash", "transactionHash", "hash").alias("tx_hash"))
-    out = out.where("timestamp is not null and price is not null and token_amount is not null")
+    fields = [asked.alias("token_id"), second.alias("timestamp"), number("r.price").alias("price"), number(_given("size", "amount")).alias("token_amount"), is_yes.alias("is_yes"), _given("transaction_hash", "transactionHash", "hash").alias("tx_hash")]
+    out = _once(raw, F.struct(*fields), "t").select("t.*").where("timestamp is not null and price is not null and token_amount is not null")
     made = F.concat_ws("_", "token_id", F.col("timestamp").cast("string"), F.col("price").cast("string"))
     return out.withColumns({"usd_amount": F.col("price") * F.col("token_amount"), "tx_hash": F.coalesce("tx_hash", made)}).select(*STORE)
 
