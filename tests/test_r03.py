@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timedelta
 
+import pytest
+
+from tidemark.operators import gaps
+from tidemark.plans import pipeline, queries
 from tidemark.streaming import live
 
 
@@ -14,3 +19,30 @@ def test_json_is_parsed_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
     assert sorted((x.timestamp, x.price, x.usd_amount, x.tx_hash) for x in out.collect()) == [(1, 0.5, 1.0, "h1"), (2, 0.5, 1.0, "h2")]
+
+
+@pytest.mark.parametrize("most", [0, 1, 3])
+def test_long_gaps_need_no_other_sort(spark, most):
+    """Rows are flagged by rows that far away in the market's own order."""
+    shapes = {1: "xooooxooxooo", 2: "oooox", 3: "x", 4: "xoooooooo", 5: "oo"}
+    start = datetime(2024, 1, 1)
+    rows = [(m, start + timedelta(hours=i), c == "o") for m, shape in shapes.items() for i, c in enumerate(shape)]
+    out = gaps.flag_long_gaps(spark.createDataFrame(rows, "market_id long, bucket_time timestamp_ntz, is_empty_bucket boolean"), most)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    found = {(x.market_id, x.bucket_time): x.in_long_gap for x in out.collect()}
+    for m, shape in shapes.items():
+        for i, c in enumerate(shape):
+            at, left = len(shape[: i + 1]) - len(shape[: i + 1].rstrip("o")), len(shape[i:]) - len(shape[i:].lstrip("o"))
+            assert found[m, start + timedelta(hours=i)] == (c == "o" and max(at, left) > most), (m, i)
+
+
+def test_grid_tasks_grow_with_events(spark, monkeypatch):
+    monkeypatch.setattr(pipeline, "EVENTS", 100)
+    assert pipeline.filled(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 10
+
+
+def test_feature_sums_make_no_row_for_each_value(spark):
+    df = spark.createDataFrame([(1.0, None), (float("inf"), None), (2.0, None), (float("nan"), None)], "a double, b double")
+    out = queries._known(df)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.feature, x.known, x.mean) for x in out.collect()) == [("a", 2, 1.5), ("b", 0, None)]
