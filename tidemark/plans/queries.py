@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,12 +156,22 @@ def low_memory_features(spark, sf):
 
 
 def _known(df: DataFrame) -> DataFrame:
-    """One group for each feature instead of two aggregates for each, which would not fit into compiled code."""
+    """Each task counts and sums its columns; a row for each value, or two aggregates for each column in one, would cost many times that."""
     names = features.feature_columns(df)
-    values = (F.col(c).cast("double") for c in names)
-    each = df.select(F.posexplode(F.array(*(F.when(F.abs(x) < float("inf"), x) for x in values))).alias("at", "x"))
-    found = each.groupBy("at").agg(F.count("x").alias("known"), F.round(F.avg("x"), 5).alias("mean"))
-    return found.select(F.get(F.array(*map(F.lit, names)), "at").alias("feature"), "known", "mean")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = np.zeros(len(names), np.int64), np.zeros(len(names))
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                x = column.to_numpy(zero_copy_only=False)  # null is NaN
+                x = x[np.isfinite(x)]
+                known[i] += len(x)
+                total[i] += x.sum()
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(names))), "known": pa.array(known), "total": pa.array(total)})
+
+    parts = df.select(*(F.col(c).cast("double").alias(c) for c in names)).mapInArrow(count, "at long, known long, total double")
+    found = parts.groupBy("at").agg(F.sum("known").alias("known"), F.round(F.try_divide(F.sum("total"), F.sum("known").cast("double")), 5).alias("mean"))
+    return found.select(F.get(F.array(*map(F.lit, names)), F.col("at").cast("int")).alias("feature"), "known", "mean")
 
 
 def labels_(spark, sf):
