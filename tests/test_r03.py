@@ -7,7 +7,8 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tidemark.operators import gaps
+from tidemark.config import ChunkConfig
+from tidemark.operators import chunks, gaps
 from tidemark.plans import pipeline, queries
 from tidemark.streaming import live
 
@@ -46,3 +47,24 @@ def test_feature_sums_make_no_row_for_each_value(spark):
     out = queries._known(df)
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((x.feature, x.known, x.mean) for x in out.collect()) == [("a", 2, 1.5), ("b", 0, None)]
+
+
+def test_chunks_are_written_once(spark, monkeypatch, tmp_path):
+    """Features go to their table from the tasks that made them: no table between, no second shuffle of all columns."""
+    grid = pipeline.excluded(spark, "/root/testdata/sf0.001")
+    grid.write.parquet(str(tmp_path / "grid"))
+    grid, made = spark.read.parquet(str(tmp_path / "grid")), []
+    whole = chunks.chunk_features
+    monkeypatch.setattr(chunks, "chunk_features", lambda *a: made.append(whole(*a)) or made[-1])
+    monkeypatch.setattr("tidemark.functions.shared.shared_path", lambda *a: 1 / 0)
+    assert chunks.build_chunks(grid, pipeline.markets(spark, "/root/testdata/sf0.001"), str(tmp_path / "out"), ChunkConfig(days=7, minutes=60), tasks=3)
+    assert made[0].rdd.getNumPartitions() == 3
+    table = spark.read.parquet(str(tmp_path / "out"))
+    assert table.count() == grid.count() == table.select("market_id", "bucket_time").distinct().count()
+
+
+def test_chunked_features_are_rounded_once(spark):
+    """Rounding goes through decimals, so that it isn't repeated for each mention."""
+    out = queries.feature_chunks(spark, "/root/testdata/sf0.001")
+    doubles = sum(kind == "double" for _, kind in out.dtypes)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("round(") <= doubles

@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import ChunkConfig, FeatureConfig
-from tidemark.functions.shared import stored
 from tidemark.operators.features import build_features
-from tidemark.sources.readers import write_table
 
 
 def chunk_of(cfg: ChunkConfig = ChunkConfig()):
@@ -42,9 +40,9 @@ def runs(chunks: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def chunk_features(filled: DataFrame, markets: DataFrame, chunks: list[int], cfg: ChunkConfig = ChunkConfig(), wanted: FeatureConfig = FeatureConfig()) -> DataFrame:
+def chunk_features(filled: DataFrame, markets: DataFrame, chunks: list[int], cfg: ChunkConfig = ChunkConfig(), wanted: FeatureConfig = FeatureConfig(), tasks: int | None = None) -> DataFrame:
     """The features of some chunks' rows, equal to those over the whole grid. Of what is before a run of chunks only the last ``cfg.context`` buckets
-    are read; both ends are conditions on the time, which reach the scan of a stored grid."""
+    are read; both ends are conditions on the time, which reach the scan of a stored grid. Markets are dealt to ``tasks``, or by Spark's setting."""
     reach = max([*wanted.lags, *(n - 1 for n in wanted.windows)], default=0)
     if cfg.context < reach:
         raise ValueError(f"features look back {reach} buckets, the context has {cfg.context}")
@@ -52,11 +50,12 @@ def chunk_features(filled: DataFrame, markets: DataFrame, chunks: list[int], cfg
     for first, last in runs(chunks):
         start, stop = (cfg.origin + timedelta(days=cfg.days * n) for n in (first, last + 1))
         rows = filled.where((time >= F.lit(start - timedelta(minutes=cfg.context * cfg.minutes))) & (time < F.lit(stop)))
+        rows = rows.repartition(tasks, "market_id") if tasks else rows
         parts.append(build_features(rows, markets, wanted).where(time >= F.lit(start)).withColumn("chunk_id", chunk_of(cfg)))
     return reduce(DataFrame.unionByName, parts)
 
 
-def build_chunks(filled: DataFrame, markets: DataFrame, path: str, cfg: ChunkConfig = ChunkConfig(), wanted: FeatureConfig = FeatureConfig(), chunks: list[int] | None = None) -> list[int]:
+def build_chunks(filled: DataFrame, markets: DataFrame, path: str, cfg: ChunkConfig = ChunkConfig(), wanted: FeatureConfig = FeatureConfig(), chunks: list[int] | None = None, tasks: int | None = None) -> list[int]:
     """Writes the features of ``chunks``, each in place of what was there of it, and leaves all others alone; returns their numbers.
 
     Without ``chunks``, those that the table doesn't have, and its last one, which may have been open when it was built. A chunk that got late rows is named
@@ -66,6 +65,7 @@ def build_chunks(filled: DataFrame, markets: DataFrame, path: str, cfg: ChunkCon
         found = [x[0] for x in filled.where("bucket_time is not null").select(chunk_of(cfg)).distinct().collect()]  # one row a chunk
         chunks = [c for c in found if c not in there[:-1]]
     if chunks:
-        rows = stored(chunk_features(filled, markets, chunks, cfg, wanted), "chunk")  # clustering reads its input twice
-        write_table(rows, path, partition_by=("chunk_id",), replace=True)
+        # written by the tasks that made them: another shuffle would move all columns of all rows once more
+        rows = chunk_features(filled, markets, chunks, cfg, wanted, tasks).sortWithinPartitions("chunk_id", "market_id", "bucket_time")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(path)
     return sorted(chunks)

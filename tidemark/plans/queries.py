@@ -18,6 +18,8 @@ from tidemark.sources import adapters, convert, readers, runlog
 from tidemark.streaming import live
 
 CFG = BacktestConfig()
+#: Rows of the grid whose features one task makes.
+GRID_ROWS = 500_000
 THRESHOLDS = [0.5, 0.55, 0.6, 0.7]
 
 
@@ -143,12 +145,12 @@ def feature_matrix(spark, sf):
 def feature_chunks(spark, sf):
     """All features of all rows, from a table built by chunks of a week: first as of a time, then what came after."""
     grid, path = stored(plan.excluded(spark, sf), "grid"), shared_path(spark, "chunks")
-    cfg = ChunkConfig(days=7, minutes=plan.MINUTES)
-    chunks.build_chunks(grid.where(F.col("bucket_time") < datetime(2024, 1, 17)), plan.markets(spark, sf), path, cfg)
-    chunks.build_chunks(grid, plan.markets(spark, sf), path, cfg)
+    cfg, tasks = ChunkConfig(days=7, minutes=plan.MINUTES), max(partitions(grid), grid.count() // GRID_ROWS)
+    chunks.build_chunks(grid.where(F.col("bucket_time") < datetime(2024, 1, 17)), plan.markets(spark, sf), path, cfg, tasks=tasks)
+    chunks.build_chunks(grid, plan.markets(spark, sf), path, cfg, tasks=tasks)
     df = spark.read.parquet(path)
     out = tidy(df.select(*KEY, *(c for c in features.feature_columns(df) if c != "chunk_id")), INFINITE, lift=1e-12)
-    return out.withColumns({c: F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)) for c, kind in out.dtypes if kind == "double"})  # no negative zeros
+    return out.select(*((F.col(c) + F.lit(0.0)).alias(c) if kind == "double" else c for c, kind in out.dtypes))  # no negative zeros, and each value is rounded once
 
 
 def low_memory_features(spark, sf):
