@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from tidemark.config import ChunkConfig
-from tidemark.operators import chunks, gaps
+from tidemark.operators import chunks, features, gaps, strategies
 from tidemark.plans import pipeline, queries
 from tidemark.streaming import live
 
@@ -68,3 +68,21 @@ def test_chunked_features_are_rounded_once(spark):
     out = queries.feature_chunks(spark, "/root/testdata/sf0.001")
     doubles = sum(kind == "double" for _, kind in out.dtypes)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("round(") <= doubles
+
+
+def test_windows_of_strategies_are_added_in_order(spark):
+    """Conditions and bins decide on a sum's last bit, so it is that of the rows in their order."""
+    start, price = datetime(2024, 1, 1), [((i * 37) % 100 + 0.5) / 100.0 for i in range(200)]
+    rows = [(m, start + timedelta(hours=i), p, 7.1 * p, 1, p / 3) for m in (1, 2) for i, p in enumerate(price)] + [(3, start + timedelta(hours=i), None if i == 30 else 0.5, 1.0, 1, 0.1) for i in range(60)]
+    df = spark.createDataFrame(rows, "market_id long, bucket_time timestamp_ntz, mean_price double, total_usd double, trade_count long, momentum double")
+    cfg = strategies.FEATURES
+    got = features.rolling_features(df, cfg.windows, cfg.in_order).orderBy("market_id", "bucket_time").collect()
+    for i, x in enumerate(got[:200]):
+        price_sum = usd_sum = 0.0
+        for p in price[max(0, i - 23) : i + 1]:
+            price_sum, usd_sum = price_sum + p, usd_sum + 7.1 * p
+        assert (x.price_ma24, x.volume_sum24) == ((price_sum / 24.0, usd_sum) if i >= 23 else (None, None))
+        assert (x.price_std24 is None) == (i < 23)
+    assert [x.price_ma24 is None for x in got[400:]] == [i < 23 or 30 <= i < 54 for i in range(60)]
+    whole = features.rolling_features(df, cfg.windows).orderBy("market_id", "bucket_time").collect()
+    assert [x.price_std24 for x in got] == pytest.approx([x.price_std24 for x in whole])
