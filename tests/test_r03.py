@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
 
-from tidemark.config import ChunkConfig
-from tidemark.operators import chunks, features, gaps, strategies
+from tidemark.config import BacktestConfig, ChunkConfig
+from tidemark.operators import backtest, chunks, features, gaps, strategies
 from tidemark.plans import pipeline, queries
 from tidemark.streaming import live
 
@@ -86,3 +87,21 @@ def test_windows_of_strategies_are_added_in_order(spark):
     assert [x.price_ma24 is None for x in got[400:]] == [i < 23 or 30 <= i < 54 for i in range(60)]
     whole = features.rolling_features(df, cfg.windows).orderBy("market_id", "bucket_time").collect()
     assert [x.price_std24 for x in got] == pytest.approx([x.price_std24 for x in whole])
+
+
+def test_backtest_adds_up_in_order(spark):
+    """The bankroll is that of the plain fold in every bit, across chunks, also where it starts low and where it has grown."""
+    cfg, draw = BacktestConfig(), random.Random(11)
+    plays = {k: [float(draw.random() < share) for _ in range(n)] for k, n, share in (("long", 60_000, 0.8), ("low", 3_000, 0.515), ("bust", 500, 0.3))}
+    df = spark.createDataFrame([(k, i, y, 0.6) for k, ys in plays.items() for i, y in enumerate(ys)], "k string, i long, y double, p double")
+    got = backtest.backtest(df, ["k"], ["i"], cfg, chunk=512).orderBy("k", "seq").collect()
+    for k, ys in plays.items():
+        bank = peak = cfg.bankroll
+        want = []
+        for y in ys:
+            stake = min(cfg.max_position, bank * 0.5)
+            if stake >= 1 and bank >= 10:
+                bank += stake * (1.0 - cfg.fee) if y == 1 else -stake
+                peak = max(peak, bank)
+                want.append((bank, peak))
+        assert [(x.equity, x.peak) for x in got if x.k == k] == want

@@ -3,8 +3,10 @@
 A trade maps the bankroll before it to the one after it. In a chunk of consecutive trades that map is, below the least bankroll
 that trades at all, the identity, and from some bankroll on, as every stake is then the maximum, a sum: (sum, from where on) of two chunks
 make those of both. In between it is piecewise linear. Chunks are summarised in parallel, their maps are followed in order
-(a few numbers a chunk; pieces only for chunks that a bankroll really enters in between), and from each chunk's first
-bankroll its trades are replayed, again in parallel. No task has more than a chunk of a key's trades at a time."""
+(a few numbers and one bit a trade, its result; pieces only with Kelly stakes, for chunks that a bankroll really enters in between), and from each chunk's first
+bankroll its trades are replayed, again in parallel. No task has more than a chunk of a key's trades at a time.
+
+Gains are added up one by one, so that bankrolls are those of the plain fold in every bit; only pieces differ from it in the last ones."""
 
 from __future__ import annotations
 
@@ -27,6 +29,8 @@ CHUNK = 4096
 BUST, LEAST_STAKE = 10.0, 1.0
 #: Pieces of a map are wider than this.
 NARROW = 1e-9
+#: So far above the least bankroll for maximal stakes, rounding can't matter.
+SAFE = 1e-3
 _OUT = ("seq", "stake", "pnl", "equity", "peak", "drawdown")
 _DEAD, _HIGH, _BETWEEN, _LATER = range(4)
 
@@ -102,14 +106,24 @@ def replay(y: np.ndarray, p: np.ndarray, bankroll: float, cfg: BacktestConfig) -
     return at.astype(np.int64), stake, pnl, equity
 
 
+def results(y: np.ndarray, p: np.ndarray, cfg: BacktestConfig) -> bytes:
+    """One bit for each trade that stakes anything: whether it is won."""
+    return np.packbits(y[slopes(p, cfg) > 0] == 1).tobytes()
+
+
+def added(start: float, won: np.ndarray, cfg: BacktestConfig) -> np.ndarray:
+    """The bankroll after each trade of maximal stake, gains being added up in order."""
+    return np.cumsum(np.append(start, gains(won, cfg) * cfg.max_position))[1:]
+
+
 def chunked(played: DataFrame, keys: list[str], order: list[str], cfg: BacktestConfig, most: int = CHUNK) -> DataFrame:
-    """Stored chunks of consecutive trades of one key: key hash, chunk (ascending in order), keys, trades and the summary."""
+    """Stored chunks of consecutive trades of one key: key hash, chunk (ascending in order), keys, trades, and what following the bankroll needs."""
     played = stored(played, "played")  # ranges are drawn from a sample, so that the input would be computed twice
     by = [*keys, *order]
     rows = played.withColumn("__k", F.xxhash64(*keys)).repartitionByRange(partitions(played), *by).sortWithinPartitions(*by).select("__k", *by, "y", "p")
     trade = T.StructType([played.schema[c] for c in (*order, "y", "p")])
     schema = T.StructType([T.StructField("__k", T.LongType()), T.StructField("chunk", T.LongType()), *(played.schema[c] for c in keys), T.StructField("rows", T.ArrayType(trade))])
-    schema = T.StructType([*schema, *(T.StructField(c, T.DoubleType()) for c in ("total", "high", "top")), T.StructField("trades", T.LongType())])
+    schema = T.StructType([*schema, T.StructField("high", T.DoubleType()), T.StructField("trades", T.LongType()), T.StructField("won", T.BinaryType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 32, []
@@ -119,11 +133,11 @@ def chunked(played: DataFrame, keys: list[str], order: list[str], cfg: BacktestC
             number += 1
             table = table.combine_chunks()
             values = [table.column(c).combine_chunks() for c in (*order, "y", "p")]
-            total, high, n, top = summary(np.asarray(values[-2], float), np.asarray(values[-1], float), cfg)
+            y, p = np.asarray(values[-2], float), np.asarray(values[-1], float)
+            _, high, n, _ = summary(y, p, cfg)
             rows = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), pa.StructArray.from_arrays(values, names=[*order, "y", "p"]))
-            one = [pa.array([x]) for x in (total, high, top)]
             first = [table.column(c).combine_chunks().slice(0, 1) for c in keys]
-            return pa.RecordBatch.from_arrays([table.column("__k").combine_chunks().slice(0, 1), pa.array([number]), *first, rows, *one, pa.array([n])], names=schema.names)
+            return pa.RecordBatch.from_arrays([table.column("__k").combine_chunks().slice(0, 1), pa.array([number]), *first, rows, pa.array([high]), pa.array([n]), pa.array([results(y, p, cfg)], pa.binary())], names=schema.names)
 
         for batch in batches:
             while batch.num_rows:
@@ -149,56 +163,63 @@ def _trades(rows) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(rows.values.field("y"), float), np.asarray(rows.values.field("p"), float)
 
 
-def _followed(chunks: DataFrame, bankroll: float) -> DataFrame:
-    """(chunk, start, kind), stored: each chunk's first bankroll. Chunks may have pieces of their map; without them a key ends at
-    the first that would need some, and what comes later has no start. ``start``: where a key's first chunk begins, or null for ``bankroll``."""
+def _followed(chunks: DataFrame, cfg: BacktestConfig) -> DataFrame:
+    """(chunk, start, kind, n, top), stored: each chunk's first bankroll, its trades and highest bankroll. With Kelly stakes chunks may have pieces
+    of their map, and no n and top then; without them a key ends at the first that would need some, and what comes later has no start.
+    ``start``: where a key's first chunk begins, or null for the first bankroll."""
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, now = None, bankroll
+        key, now = None, cfg.bankroll
         for batch in batches:
             out = []
-            column = {c: batch.column(c).to_pylist() for c in ("__k", "chunk", "total", "high", "start")}
+            column = {c: batch.column(c).to_pylist() for c in ("__k", "chunk", "high", "start", "trades", "won")}
             maps = [batch.column(c) for c in ("left", "a", "c")]
             for i, own in enumerate(column["__k"]):
                 if own != key:
-                    key, now = own, bankroll if column["start"][i] is None else column["start"][i]
-                kind = _LATER if now is None else _DEAD if now < BUST else _HIGH if now >= column["high"][i] else _BETWEEN
-                out.append((column["chunk"][i], now, kind))
-                if kind == _HIGH:
-                    now += column["total"][i]
+                    key, now = own, cfg.bankroll if column["start"][i] is None else column["start"][i]
+                high, trades = column["high"][i], column["trades"][i]
+                kind = _LATER if now is None else _DEAD if now < BUST else _HIGH if now >= high + (0.0 if cfg.kelly else SAFE) else _BETWEEN
+                start, n, top = now, 0, now
+                if kind == _HIGH or kind == _BETWEEN and not cfg.kelly:
+                    won = np.unpackbits(np.frombuffer(column["won"][i], np.uint8), count=trades)
+                    equity = added(now, won, cfg) if kind == _HIGH else replay(won, won, now, cfg)[3]  # scores only matter to Kelly stakes
+                    if len(equity):
+                        now, n, top = float(equity[-1]), len(equity), max(now, float(equity.max()))
                 elif kind == _BETWEEN:
+                    n = top = None
                     if maps[0][i].is_valid:
                         left, a, c = (np.asarray(m[i].values) for m in maps)
                         at = np.searchsorted(left, now, "right") - 1
                         now = float(a[at] * now + c[at])
                     else:
                         now = None
-            chunk, start, kind = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(start, pa.float64()), pa.array(kind, pa.int32())], names=["chunk", "start", "kind"])
+                out.append((column["chunk"][i], start, kind, n, top))
+            kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], names=["chunk", "start", "kind", "n", "top"])
 
-    rows = chunks.select("__k", "chunk", "total", "high", "start", "left", "a", "c").repartition("__k").sortWithinPartitions("__k", "chunk")
-    return stored(rows.mapInArrow(follow, "chunk long, start double, kind int"), "starts")
+    rows = chunks.select("__k", "chunk", "high", "start", "trades", "won", "left", "a", "c").repartition("__k").sortWithinPartitions("__k", "chunk")
+    return stored(rows.mapInArrow(follow, "chunk long, start double, kind int, n long, top double"), "starts")
 
 
 def _starts(chunks: DataFrame, cfg: BacktestConfig) -> DataFrame:
-    """(chunk, start, kind) of all chunks."""
+    """(chunk, start, kind, n, top) of all chunks."""
     none = {c: F.lit(None).cast("array<double>") for c in ("left", "a", "c")}
-    found = _followed(chunks.withColumns(none | {"start": F.lit(None).cast("double")}), cfg.bankroll)
+    found = _followed(chunks.withColumns(none | {"start": F.lit(None).cast("double")}), cfg)
     between = found.where(F.col("kind") >= _BETWEEN)
-    if between.isEmpty():
+    if not cfg.kelly or between.isEmpty():
         return found
 
+    names = ["__k", "chunk", "high", "start", "trades", "won"]
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             maps = [pieces(*_trades(rows), high, cfg) for rows, high in zip(batch.column("rows"), batch.column("high").to_pylist(), strict=True)]
-            names = ["__k", "chunk", "total", "high", "start"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array([m[i].tolist() for m in maps], pa.list_(pa.float64())) for i in range(3))], names=[*names, "left", "a", "c"])
 
-    entered = chunks.where(F.col("high") > BUST).join(between.select("chunk", "start"), "chunk").select("__k", "chunk", "total", "high", "start", "rows").repartition(partitions(chunks), "chunk")
-    mapped = stored(entered.mapInArrow(build, "__k long, chunk long, total double, high double, start double, left array<double>, a array<double>, c array<double>"), "maps")
-    plain = chunks.where(F.col("high") <= BUST).join(between.select("chunk", "start"), "chunk").select("__k", "chunk", "total", "high", "start").withColumns(none)
-    rest = _followed(mapped.unionByName(plain), cfg.bankroll)
-    return found.where(F.col("kind") < _BETWEEN).union(rest)
+    entered = chunks.where(F.col("high") > BUST).join(between.select("chunk", "start"), "chunk").select(*names, "rows").repartition(partitions(chunks), "chunk")
+    mapped = stored(entered.mapInArrow(build, "__k long, chunk long, high double, start double, trades long, won binary, left array<double>, a array<double>, c array<double>"), "maps")
+    plain = chunks.where(F.col("high") <= BUST).join(between.select("chunk", "start"), "chunk").select(*names).withColumns(none)
+    return found.where(F.col("kind") < _BETWEEN).union(_followed(mapped.unionByName(plain), cfg))
 
 
 def backtest(df: DataFrame, keys: list[str], order: list[str], cfg: BacktestConfig = BacktestConfig(), chunk: int = CHUNK) -> DataFrame:
@@ -207,19 +228,19 @@ def backtest(df: DataFrame, keys: list[str], order: list[str], cfg: BacktestConf
     Rows below the threshold, and those without a result, never reach Python. Chunks run in parallel, whatever their keys."""
     played = df.where((F.col("p") >= cfg.threshold) & F.col("y").isNotNull()).select(*keys, *order, F.col("y").cast("double").alias("y"), F.col("p").cast("double").alias("p"))
     chunks = chunked(played, keys, order, cfg, chunk)
-    begun = chunks.join(_starts(chunks, cfg), "chunk")
+    begun = chunks.select("__k", "chunk", "rows").join(_starts(chunks, cfg), "chunk")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, top = [], []
-            for rows, start, kind, trades, most in zip(batch.column("rows"), *(batch.column(c).to_pylist() for c in ("start", "kind", "trades", "top")), strict=True):
-                equity = replay(*_trades(rows), start, cfg)[3] if kind == _BETWEEN else None
-                n.append(0 if kind == _DEAD else trades if equity is None else len(equity))
-                top.append(start if not n[-1] else start + most if equity is None else max(start, float(equity.max())))
+            n, top = batch.column("n").to_pylist(), batch.column("top").to_pylist()
+            for i, (rows, start) in enumerate(zip(batch.column("rows"), batch.column("start").to_pylist(), strict=True)):
+                if n[i] is None:
+                    equity = replay(*_trades(rows), start, cfg)[3]
+                    n[i], top[i] = len(equity), max([start, *equity.tolist()])
             yield pa.RecordBatch.from_arrays([batch.column("__k"), batch.column("chunk"), batch.column("start"), pa.array(n, pa.int64()), pa.array(top, pa.float64())], names=["__k", "chunk", "start", "n", "top"])
 
-    light = F.when(F.col("kind") == _BETWEEN, F.col("rows"))  # the others need no replay
-    counts = begun.select("__k", "chunk", "start", "kind", "trades", "top", F.coalesce(light, F.slice("rows", 1, 0)).alias("rows")).mapInArrow(count, "__k long, chunk long, start double, n long, top double")
+    light = F.when(F.col("n").isNull(), F.col("rows"))  # the others need no replay
+    counts = begun.select("__k", "chunk", "start", "n", "top", F.coalesce(light, F.slice("rows", 1, 0)).alias("rows")).mapInArrow(count, "__k long, chunk long, start double, n long, top double")
     before = Window.partitionBy("__k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("chunk", "start", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("seq0"), F.coalesce(F.max("top").over(before), F.lit(cfg.bankroll)).alias("peak0")).where("n > 0")
     offsets = stored(offsets.withColumn("peak0", F.greatest("peak0", F.lit(cfg.bankroll))), "offsets")
