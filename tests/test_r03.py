@@ -105,3 +105,9 @@ def test_backtest_adds_up_in_order(spark):
                 peak = max(peak, bank)
                 want.append((bank, peak))
         assert [(x.equity, x.peak) for x in got if x.k == k] == want
+    totals = {x.k: x.total_pnl for x in backtest.backtest_summary(spark.createDataFrame(got).repartition(5), ["k"], cfg).collect()}
+    for k in plays:
+        total = 0.0
+        for x in got:
+            total += x.pnl if x.k == k else 0.0
+        assert totals[k] == total
