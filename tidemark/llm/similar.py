@@ -28,6 +28,8 @@ SAME = 0.7
 MAX_DEPTH = 4
 #: What is left of a large bucket is cut into blocks of LIMIT / 2 at once if there are so many at most; that loses nothing.
 BLOCKS = 16
+#: Where only signatures are compared, a block has so many times that: each record is then in at most BLOCKS / WIDER tiles, for the same pairs.
+WIDER = 4
 #: Pivots of a large bucket.
 PIVOTS = 4
 #: A child of a large bucket is what agrees in so many bins.
@@ -160,11 +162,11 @@ def token(path, i: int, width: int, bins: int = 1):
     return F.xxhash64(path, F.lit(i), F.substring("sig", width * i + 1, width * bins))
 
 
-def in_buckets(signed: Callable[[DataFrame], DataFrame], buckets: DataFrame, bins: int, dtype, draws: int) -> tuple[DataFrame, DataFrame | None]:
+def in_buckets(signed: Callable[[DataFrame], DataFrame], buckets: DataFrame, bins: int, dtype, draws: int, wider: int = 1) -> tuple[DataFrame, DataFrame | None]:
     """(path, rid) of the small buckets in which records meet, each set of records once, and ties (a, b) to the pivots of large ones.
 
     buckets: (path, rid); signed: gives (rid, sig) of distinct rids. In a large bucket all are compared with its pivots,
-    PIVOTS records drawn by hash; those near are tied to each, and the nearest leave; the rest is cut into blocks, each two of which are a small bucket,
+    PIVOTS records drawn by hash; those near are tied to each, and the nearest leave; the rest is cut into blocks of ``wider`` * LIMIT / 2, each two of which are a small bucket,
     or, where that would be many, split again by ``draws`` drawn pairs of bins (``miss`` says what that loses) down to the last depth."""
     split = splitter(bins, np.dtype(dtype).itemsize, draws)
     small, ties, sig, depth = None, None, None, 0
@@ -185,7 +187,7 @@ def in_buckets(signed: Callable[[DataFrame], DataFrame], buckets: DataFrame, bin
         rest = star.where(F.col("est") < SAME).select("path", "rid", F.count(F.lit(1)).over(whole).alias("n"))
         depth += 1
         few = F.lit(depth == MAX_DEPTH) | (F.col("n") <= BLOCKS * (LIMIT // 2))
-        tiles = rest.where(few & (F.col("n") > 1)).select("path", "rid", F.ceil(F.col("n") / F.lit(LIMIT // 2)).cast("long").alias("blocks"))
+        tiles = rest.where(few & (F.col("n") > 1)).select("path", "rid", F.ceil(F.col("n") / F.lit(wider * (LIMIT // 2))).cast("long").alias("blocks"))
         small = small.union(_tiled(tiles, "path", "rid").select("path", "rid"))
         rest = rest.where(~few)
         if depth == MAX_DEPTH or rest.isEmpty():
@@ -197,7 +199,7 @@ def in_buckets(signed: Callable[[DataFrame], DataFrame], buckets: DataFrame, bin
 def candidates(records: DataFrame, buckets: DataFrame, bins: int, dtype, draws: int) -> DataFrame:
     """Edges (a, b) that tie every two records which share a bucket and look alike, through others or directly."""
     sig = records.select("rid", "sig")
-    small, ties = in_buckets(lambda rids: sig.join(rids, "rid", "left_semi"), buckets, bins, dtype, draws)
+    small, ties = in_buckets(lambda rids: sig.join(rids, "rid", "left_semi"), buckets, bins, dtype, draws, WIDER)
     found = _brute_edges(small, sig, bins, dtype)
     return found if ties is None else found.union(ties)
 
