@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from tidemark.config import BacktestConfig, ChunkConfig
-from tidemark.operators import backtest, chunks, features, gaps, strategies
+from tidemark.operators import backtest, chunks, features, gaps, labels, strategies
 from tidemark.plans import pipeline, queries
 from tidemark.streaming import live
 
@@ -111,3 +111,14 @@ def test_backtest_adds_up_in_order(spark):
         for x in got:
             total += x.pnl if x.k == k else 0.0
         assert totals[k] == total
+
+
+def test_features_are_made_for_labeled_rows_only(spark):
+    """The filter on labels gets down to the windows, below the join with markets and all ratios, and the split reads rows made once."""
+    df = labels.trainable(pipeline.dataset(spark, "/root/testdata/sf0.001"))
+    assert df.columns[-3:] == ["future_price", "future_return", "win"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = {what: next(i for i, line in enumerate(plan) if what in line) for what in ("Join", "Filter (isnotnull(win", "Window")}
+    assert first["Join"] < first["Filter (isnotnull(win"] < first["Window"]
+    split = pipeline.split(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in split and "explode(" not in split
