@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """For actions on very wide rows: the JVM never compiles a method of over 8000 bytes of code, and Spark by default puts a whole stage in one.
+    Inside, Spark splits such a stage's expressions into methods that are compiled. Results are the same."""
+    key, limit = "spark.sql.codegen.hugeMethodLimit", 8000
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

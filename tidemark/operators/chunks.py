@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import ChunkConfig, FeatureConfig
+from tidemark.functions.shared import small_methods
 from tidemark.operators.features import build_features
 
 
@@ -67,5 +68,6 @@ def build_chunks(filled: DataFrame, markets: DataFrame, path: str, cfg: ChunkCon
     if chunks:
         # written by the tasks that made them: another shuffle would move all columns of all rows once more
         rows = chunk_features(filled, markets, chunks, cfg, wanted, tasks).sortWithinPartitions("chunk_id", "market_id", "bucket_time")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(path)
+        with small_methods(filled.sparkSession):
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(path)
     return sorted(chunks)

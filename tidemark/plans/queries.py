@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import BacktestConfig, BucketConfig, ChunkConfig, FeatureConfig, ModelConfig, SourceConfig
+from tidemark.functions.numeric import rounded
 from tidemark.functions.shared import partitions, shared_path, stored
 from tidemark.operators import backtest, chunks, features, gaps, labels, metrics, model, normalize, splits, strategies
 from tidemark.plans import pipeline as plan
@@ -41,6 +42,23 @@ def tidy(df: DataFrame, infinite: tuple[str, ...] = (), lift: float = 0.0) -> Da
     return df.select(*out)
 
 
+def tidy_wide(df: DataFrame, infinite: tuple[str, ...], lift: float) -> DataFrame:
+    """``tidy`` without negative zeros, for many columns of many rows. What ``filter`` does has no generated code, so Spark makes these columns apart from the
+    stage's one method, which the JVM would not compile at this size, in methods of a few columns each, which it does."""
+    below = float("inf")
+    limits = {c: F.get(F.filter(F.array(F.col(c).cast("double")), lambda v: F.abs(v) < below), F.lit(0)) for c in infinite}
+    return df.select(*(z for c, kind in df.dtypes for z in _tidied(c, kind, limits, lift)))
+
+
+def _tidied(c: str, kind: str, limits: dict, lift: float) -> list:
+    x = F.col(c)
+    if c in limits:
+        return [rounded(limits[c]).alias(c), F.when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").alias(f"{c}_inf")]
+    if kind in ("double", "float"):
+        return [rounded(x.cast("double") * F.lit(1.0 + lift)).alias(c)]
+    return [x.cast("long").alias(c) if kind in ("int", "tinyint", "smallint") else x]
+
+
 KEY = ("market_id", "bucket_time")
 
 
@@ -149,8 +167,7 @@ def feature_chunks(spark, sf):
     chunks.build_chunks(grid.where(F.col("bucket_time") < datetime(2024, 1, 17)), plan.markets(spark, sf), path, cfg, tasks=tasks)
     chunks.build_chunks(grid, plan.markets(spark, sf), path, cfg, tasks=tasks)
     df = spark.read.parquet(path)
-    out = tidy(df.select(*KEY, *(c for c in features.feature_columns(df) if c != "chunk_id")), INFINITE, lift=1e-12)
-    return out.select(*((F.col(c) + F.lit(0.0)).alias(c) if kind == "double" else c for c, kind in out.dtypes))  # no negative zeros, and each value is rounded once
+    return tidy_wide(df.select(*KEY, *(c for c in features.feature_columns(df) if c != "chunk_id")), INFINITE, lift=1e-12)
 
 
 def low_memory_features(spark, sf):
