@@ -50,3 +50,13 @@ def test_wide_rows_are_tidied_like_others(spark):
     assert got.dtypes == want.dtypes
     plain = want.select(*((F.col(c) + F.lit(0.0)).alias(c) if kind == "double" else c for c, kind in want.dtypes))
     assert [repr(x) for x in got.orderBy("market_id").collect()] == [repr(x) for x in plain.orderBy("market_id").collect()]
+
+
+def test_model_queries_train_the_whole_model(spark, monkeypatch):
+    """They fit the reference's trees, as many as validation asks for: neither fewer, nor flatter, nor with smaller leaves."""
+    seen = []
+    monkeypatch.setattr(queries.model, "train", lambda df, names, cfg: seen.append((df.count(), len(names), cfg)))
+    df, _ = queries._model(spark, "/root/testdata/sf0.01")
+    (rows, features, cfg) = seen[0]
+    assert rows == pipeline.split(spark, "/root/testdata/sf0.01").count() == df.count() and features > 90
+    assert (cfg.max_trees, cfg.depth, cfg.min_leaf, cfg.learning_rate, cfg.row_share, cfg.column_share, cfg.patience) == (5000, 7, 50, 0.05, 0.8, "0.8", 50)
